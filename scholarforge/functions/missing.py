@@ -12,7 +12,7 @@ STAND_INS = (
     "0", "00", "000", "0000", "0.0", "9999", "9999.0", "-1", "-1.0", "-99", "-999", "99999", "1900-01-01", "#n/a", "(none)", "(null)", "(unknown)",
 )
 
-_SPACES = r"[\s ­ -‍  ⁠　﻿]+"
+_SPACES = r"[\s\u0085\u00a0\u00ad\u1680\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]+"
 
 
 def plain(value: Column) -> Column:

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from scholarforge.plans import queries_data
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_data.QUERIES}
+ORACLE: dict[str, str] = {**queries_data.ORACLE}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
