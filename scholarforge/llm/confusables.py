@@ -39,9 +39,9 @@ LOOKALIKES = """
 ɑ a ɡ g ɩ i ɪ i ʏ y ᴄ c ᴏ o ᴠ v ᴡ w ᴢ z
 """
 # Signs drawn like an ordinary one.
-SIGNS = {"‐": "-", "‑": "-", "‒": "-", "−": "-", "﹣": "-", "ʹ": "'", "ʼ": "’", "․": ".", "‚": ",", "∕": "/", "⁄": "/", "ꞏ": "·"}
+SIGNS = {"\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2212": "-", "\ufe63": "-", "\u02b9": "'", "\u02bc": "\u2019", "\u2024": ".", "\u2215": "/", "\u2044": "/", "\ua78f": "\u00b7"}
 _INVISIBLE = [0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10)]
-_SCRIPTS = (("latin", "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ"), ("greek", "Ͱ-Ͽἀ-῿"), ("cyrillic", "Ѐ-ԯ"), ("armenian", "԰-֏"))
+_SCRIPTS = (("latin", r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u1e00-\u1eff"), ("greek", r"\u0370-\u03ff\u1f00-\u1fff"), ("cyrillic", r"\u0400-\u052f"), ("armenian", r"\u0530-\u058f"))
 
 
 class UnionFind:
@@ -119,7 +119,7 @@ def character_counts(df: DataFrame, fields: list[str]) -> dict[str, int]:
     return {r["c"]: r["count"] for r in got if r["c"] in members}
 
 
-_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[̀-ͯ­​-‍⁠﻿])*")
+_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f\u00ad\u200b-\u200d\u2060\ufeff])*")
 _RANGES = [(name, re.compile(f"[{r}]")) for name, r in _SCRIPTS]
 
 

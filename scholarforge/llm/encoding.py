@@ -126,12 +126,12 @@ def _evidence_of(text: str) -> list[tuple]:
                 # Letters of the form's own script beside the run speak for a genuine word of that script.
                 before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
                 inside = (before and m.start() == last) or (after and regex.match(text, m.end()) is not None)
-                alone[seq] += bool(inside) or not any("Ͱ" <= c <= "׿" for c in before + after)
+                alone[seq] += bool(inside) or not any("\u0370" <= c <= "\u05ff" for c in before + after)
                 last = m.end()
-        if seen and any("Ͱ" <= c <= "׿" for c in "".join(seen)):
+        if seen and any("\u0370" <= c <= "\u05ff" for c in "".join(seen)):
             # a cell decoded wrongly as a whole leaves no letter of that script outside the forms
             rest = regex.sub(lambda m: "" if m.group() in forms else m.group(), text)
-            if any("Ͱ" <= c <= "׿" for c in rest):
+            if any("\u0370" <= c <= "\u05ff" for c in rest):
                 alone.clear()
         out += [(chain, seq, forms[seq], n, alone[seq]) for seq, n in seen.items()]
     return out
@@ -289,14 +289,14 @@ def _restore_lost(broken: DataFrame, all_cells: DataFrame, key: str, text: str,
     lost = broken.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))).alias("__w")).where(F.col("__w").contains("�"))
     lost = lost.withColumn("__s", _skeleton(F.col("__w"))).where(F.length("__s") > 2)
     wanted = lost.select("__s").distinct()
-    words = all_cells.where(F.col(text).rlike(r"[À-ɏ]")).select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}*[À-ɏ][\p{L}\p{M}]*"), F.lit(0))).alias("__v"))
+    words = all_cells.where(F.col(text).rlike(r"[\u00c0-\u024f]")).select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}*[\u00c0-\u024f][\p{L}\p{M}]*"), F.lit(0))).alias("__v"))
     words = words.groupBy("__v").count().withColumn("__s", _skeleton(F.col("__v"))).join(wanted, "__s", "left_semi")
     best = words.groupBy("__s").agg(F.max_by("__v", F.struct("count", "__v")).alias("__v"), (F.max("count") / F.sum("count")).alias("share")).where(F.col("share") >= least).select("__s", "__v")
     fixes = lost.join(best, "__s").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__w", "__v"))).alias("__fix"))
 
     @F.pandas_udf(T.StringType())
     def put(t: pd.Series, fix: pd.Series) -> pd.Series:
-        word = re.compile(r"(?:[^\W\d_]|[̀-ͯ]|�)+")
+        word = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f]|�)+")
         return pd.Series([word.sub(lambda m, d=dict(f): d.get(m.group(), m.group()), x) if x and f is not None else x for x, f in zip(t, fix)], dtype=object)
 
     return broken.join(fixes, key, "left").withColumn(text, put(F.col(text), F.col("__fix"))).drop("__fix")

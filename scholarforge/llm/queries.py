@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarforge.llm import boilerplate, confusables, encoding, entities
+from scholarforge.llm import boilerplate, confusables, encoding, entities, neardup, quality
 from scholarforge.runtime import read_table, stage
 
 
@@ -76,6 +76,56 @@ def p6_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.one_form(_profiles(spark, sf_dir).select("profile_id", *fields), fields).select("profile_id", *[f"{f}_plain" for f in fields])
 
 
+def _own_text(page: str) -> str:
+    return "\n".join(boilerplate.main_lines(page))
+
+
+def _page_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of three-word sequences of the main texts, as p5_found asks for."""
+    return neardup.sketched(_page_texts(spark, sf_dir), "profile_id", "text_raw", n=3, m=10, width=2, least_words=20, prepare=_own_text)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows whose main texts share at least half of their three-word sequences."""
+    pairs = neardup.row_pairs(_page_sketches(spark, sf_dir), 10, 0.5)
+    return pairs.select(F.col("a").alias("profile_id_a"), F.col("b").alias("profile_id_b"))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every profile with the class of its main text and the number of its links."""
+    found = neardup.classes(_page_sketches(spark, sf_dir), 10, 0.5)
+    return found.select(F.col("id").alias("profile_id"), "class_id", "links")
+
+
+def p5_document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class at five-word sequences and a similarity of 0.8."""
+    found = neardup.classes(neardup.sketched(read_table(spark, sf_dir, "documents"), "doc_id", "text"), 10, 0.8)
+    return found.select(F.col("id").alias("doc_id"), "class_id", "links")
+
+
+MAX_LABELLED = 5_000
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _profiles(spark, sf_dir).select("profile_id", "profile_link", "text_raw").where(F.length("text_raw") > 0)
+    pages = encoding.repaired(df, "profile_id", "text_raw", _site(), restore_lost=False).select("profile_id", "text_raw")
+    labels = read_table(spark, sf_dir, "text_labels").where(F.col("text_kind").isin(*quality.KINDS))
+    sample = labels.groupBy("profile_id").agg(F.min("text_kind").alias("text_kind")).orderBy(F.hash("profile_id"), "profile_id").limit(MAX_LABELLED)
+    labelled = df.join(F.broadcast(sample), "profile_id")  # at most MAX_LABELLED rows
+    model = quality.fit(boilerplate.main_text(labelled, "text_raw"), "text_raw", "text_kind", MAX_LABELLED)
+    return quality.describe(pages, "text_raw", model, prepare=_own_text)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles whose main text is a list, a table or junk."""
+    return _quality(spark, sf_dir).where("quality.verdict != 'prose'").select("profile_id")
+
+
+def p7_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, label shares and verdict of every main text."""
+    return _quality(spark, sf_dir).select("profile_id", "quality.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_repaired": p1_repaired,
@@ -83,7 +133,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_main_text": p3_main_text,
     "p4_found": p4_found,
     "p4_unmatched": p4_unmatched,
+    "p5_found": p5_found,
+    "p5_classes": p5_classes,
+    "p5_document_classes": p5_document_classes,
     "p6_found": p6_found,
     "p6_one_form": p6_one_form,
+    "p7_found": p7_found,
+    "p7_statistics": p7_statistics,
 }
 ORACLE: dict[str, str] = {}
