@@ -6,11 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scholarforge.plans import queries_data
+from scholarforge.plans import queries_data, queries_store
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_data.QUERIES}
-ORACLE: dict[str, str] = {**queries_data.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**queries_data.QUERIES, **queries_store.QUERIES}
+ORACLE: dict[str, str] = {**queries_data.ORACLE, **queries_store.ORACLE}
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+flagship = queries_store.flagship
