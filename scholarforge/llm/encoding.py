@@ -289,7 +289,7 @@ def _restore_lost(broken: DataFrame, all_cells: DataFrame, key: str, text: str,
     lost = broken.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))).alias("__w")).where(F.col("__w").contains("�"))
     lost = lost.withColumn("__s", _skeleton(F.col("__w"))).where(F.length("__s") > 2)
     wanted = lost.select("__s").distinct()
-    words = all_cells.where(F.col(text).rlike(r"[\u00c0-\u024f]")).select(F.explode(F.regexp_extract_all(text, F.lit(r"\p{L}*[\u00c0-\u024f][\p{L}\p{M}]*"), F.lit(0))).alias("__v"))
+    words = all_cells.where(F.col(text).rlike(r"[\u00c0-\u024f]")).select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<!\p{L})[a-zA-Z]*+[\u00c0-\u024f][\p{L}\p{M}]*"), F.lit(0))).alias("__v"))
     words = words.groupBy("__v").count().withColumn("__s", _skeleton(F.col("__v"))).join(wanted, "__s", "left_semi")
     best = words.groupBy("__s").agg(F.max_by("__v", F.struct("count", "__v")).alias("__v"), (F.max("count") / F.sum("count")).alias("share")).where(F.col("share") >= least).select("__s", "__v")
     fixes = lost.join(best, "__s").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__w", "__v"))).alias("__fix"))

@@ -7,10 +7,13 @@ sub-key of either collection, so ``m * m`` tables need only ``2 * m * width``
 minhashes.  Pairs that share a key are candidates, and every candidate is verified
 on the whole sets.
 
-A pair of similarity s shares a key with probability (1 - (1 - s^width)^m)^2: with
-m = 10 and width = 2 that is 0.89 at 0.5, 0.977 at 0.6, 0.995 at 0.7 and 0.9999 at
-0.8.  No bucket is capped: the members of a bucket larger than ``block`` are cut
-into blocks, and the pairs of blocks are spread over the tasks.
+A pair of similarity s agrees in i sub-keys of the one and j of the other collection,
+both binomial with m and s^width, and meets in i * j tables; it is a candidate if it
+meets in two.  With m = 9 and width = 2 that has a probability of 0.80 at 0.5, 0.956
+at 0.6, 0.994 at 0.7, 0.9996 at 0.8; unrelated pairs of similarity 0.05 one of 1e-5.
+Keys travel packed, some bytes each.  No bucket is capped: a bucket that is large
+within one batch is cut into blocks before anything is shuffled, one that turns out
+large afterwards is cut there, and the pairs of blocks are spread over the tasks.
 
 Defined results: documents with fewer than ``least_words`` words (or than n words)
 belong to no pair and to a class of their own; null and empty texts likewise; an id
@@ -47,7 +50,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Hashed word n-grams of texts; remembers the hashes of words it has met."""
 
-    def __init__(self, n: int, remember: int = 400_000) -> None:
+    def __init__(self, n: int, remember: int = 100_000) -> None:
         self.n, self.remember, self.known = n, remember, {}
 
     def __call__(self, text: str) -> tuple[np.ndarray, int]:
@@ -76,49 +79,79 @@ def _seeds(count: int) -> np.ndarray:
     return _mix(np.arange(1, count + 1, dtype=np.uint64) * _A)
 
 
-def sub_keys(shingles: np.ndarray, seeds: np.ndarray, width: int) -> np.ndarray:
-    """One key per ``width`` minhashes."""
-    least = np.empty(len(seeds), dtype=np.uint64)
-    for i, s in enumerate(seeds):  # one row at a time stays in the processor's cache
-        x = (shingles ^ s) * _A
-        least[i] = (x ^ (x >> np.uint64(32))).min()
-    parts = least.reshape(-1, width)
-    out = np.arange(len(parts), dtype=np.uint64)
+def sub_keys(sets: list[np.ndarray], seeds: np.ndarray, width: int, chunk: int = 60_000) -> np.ndarray:
+    """Sets x sub-keys; a sub-key combines ``width`` minhashes. The sets hold well-mixed hashes and are not empty."""
+    least = np.empty((len(sets), len(seeds)), dtype=np.uint64)
+    at = 0
+    while at < len(sets):  # so many sets at a time as stay in the processor's cache
+        end, size = at, 0
+        while end < len(sets) and (size == 0 or size + len(sets[end]) <= chunk):
+            size += len(sets[end])
+            end += 1
+        flat = np.concatenate(sets[at:end])
+        starts = np.concatenate([[0], np.cumsum([len(x) for x in sets[at:end]])[:-1]])
+        for k, seed in enumerate(seeds):
+            least[at:end, k] = np.minimum.reduceat(flat * (seed | np.uint64(1)), starts)
+        at = end
+    parts = least.reshape(len(sets), -1, width)
+    out = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(width):
-        out = _mix(out * _B + parts[:, k])
+        out = _mix(out * _B + parts[:, :, k])
     return out.view(np.int64)
 
 
-SKETCH = T.StructType([T.StructField("set_hash", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("shingles", T.BinaryType())])
+SKETCH = T.StructType([T.StructField("set_hash", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
 
 
 def sketch_udf(n: int, m: int, width: int, least_words: int, prepare: Callable[[str], str] | None = None):
-    """``text -> (set_hash, keys, shingles)``, null for texts with fewer words than ``least_words``."""
+    """``text -> (set_hash, keys, prepared text)``, null for texts with fewer words than ``least_words``."""
 
     @F.pandas_udf(SKETCH)
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         shingler, seeds = Shingler(n), _seeds(2 * m * width)
         for texts in batches:
-            rows = []
-            for text in texts:
-                if not text:
-                    rows.append((None, None, None))
-                    continue
-                found, words = shingler(prepare(text) if prepare else text)
-                if words < max(least_words, n):
-                    rows.append((None, None, None))
-                    continue
-                short = np.unique((found >> np.uint64(16)).astype(np.uint64)).astype("<u8")  # 48 bits tell n-grams of a pair apart
-                raw = short.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                rows.append((xxhash.xxh64_intdigest(raw) - (1 << 63), sub_keys(found, seeds, width), raw))
-            yield pd.DataFrame(rows, columns=["set_hash", "keys", "shingles"])
+            own = [prepare(t) if prepare and t else t for t in texts]
+            rows: list[tuple] = [(None, None, None)] * len(own)
+            sets, places = [], []
+            for i, text in enumerate(own):
+                if text:
+                    found, count = shingler(text)
+                    if count >= max(least_words, n):
+                        sets.append(found)
+                        places.append(i)
+            if sets:
+                for i, found, keys in zip(places, sets, sub_keys(sets, seeds, width)):
+                    rows[i] = (xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63), keys, own[i])
+            yield pd.DataFrame(rows, columns=["set_hash", "keys", "text"])
 
     return sketch
 
 
-def _unpack(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+def set_udf(n: int):
+    """``text -> packed set``: the distinct n-gram hashes, 40 bits each, which tell the n-grams of a pair apart."""
+
+    @F.pandas_udf(T.BinaryType())
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingler = Shingler(n)
+        last, made = None, b""
+        for texts in batches:
+            out = []
+            for t in texts:
+                if t != last:  # a join brings the pairs of a document one after the other
+                    last, made = t, _pack(shingler(t)[0] >> np.uint64(24))
+                out.append(made)
+            yield pd.Series(out, dtype=object)
+
+    return packed
+
+
+def _pack(values: np.ndarray, width: int = 5) -> bytes:
+    return np.unique(values).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _unpack(raw: bytes, width: int = 5) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
 
 
@@ -138,108 +171,143 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-_RUNS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("part", T.LongType())])
+_BLOBS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("ids", T.BinaryType())])
+_BLOCKS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))])
+_FOUND = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType()), *_BLOCKS.fields])
+#: Stands among the ids of a bucket for members that went another way.
+_MARK = np.int64(-(1 << 62))
 
 
-def _pairs_of_runs(block: int):
-    """Pairs of equal keys in a sorted stream; members of runs longer than ``block`` are passed on with their block."""
+def _table_keys(batch: pa.RecordBatch, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all tables and the ids they belong to, sorted by key."""
+    ids = batch.column(0).to_numpy(zero_copy_only=False)
+    sub = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(len(ids), 2 * m).view(np.uint64)
+    key = _mix(sub[:, :m, None] * _A + sub[:, None, m:]).reshape(-1)
+    who = np.repeat(ids, m * m)
+    order = np.argsort(key, kind="stable")
+    return key[order], who[order]
 
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.name for f in _RUNS]
-        kind = pa.schema([(n, pa.int64()) for n in names])
-        empty = np.zeros(0, dtype=np.int64)
-        carry_k, carry_v = empty, empty
-        hot, hot_n = None, 0  # the key of a long run under way, and its members so far
-
-        def emit(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            pairs = np.unique(np.stack([lo, hi], axis=1), axis=0)
-            none = pa.nulls(len(pairs), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none], schema=kind)
-
-        def passed(v: np.ndarray, key: int, start: int) -> pa.RecordBatch:
-            part = (np.arange(len(v), dtype=np.int64) + start) // block
-            return pa.RecordBatch.from_arrays([pa.array(v), pa.nulls(len(v), pa.int64()), pa.array(np.full(len(v), key)), pa.array(part)], schema=kind)
-
-        def runs(k: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            edges = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
-            sizes = np.diff(edges)
-            aa, bb = [], []
-            for size in np.unique(sizes[(sizes > 1) & (sizes <= block)]):
-                at = edges[:-1][sizes == size]
-                members = v[at[:, None] + np.arange(size)]
-                i, j = np.triu_indices(size, 1)
-                aa.append(members[:, i].ravel())
-                bb.append(members[:, j].ravel())
-            if aa:
-                yield emit(np.concatenate(aa), np.concatenate(bb))
-            for at, size in zip(edges[:-1][sizes > block], sizes[sizes > block]):
-                yield passed(v[at : at + size], int(k[at]), 0)
 
+def _edges(key: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+
+
+def _spread(m: int, parts: int, block: int):
+    """Keys with their ids, packed by the task that will meet them; buckets large within the batch leave a mark only."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
         for batch in batches:
-            k = np.concatenate([carry_k, batch.column(0).to_numpy(zero_copy_only=False)])
-            v = np.concatenate([carry_v, batch.column(1).to_numpy(zero_copy_only=False)])
-            if not len(k):
+            if not batch.num_rows:
                 continue
-            if hot is not None:
-                more = int(np.searchsorted(k != hot, True)) if (k != hot).any() else len(k)
-                if more:
-                    yield passed(v[:more], hot, hot_n)
-                    hot_n += more
-                k, v = k[more:], v[more:]
-                if not len(k):
-                    carry_k, carry_v = empty, empty
-                    continue
-                hot = None
-            first = int(np.flatnonzero(k != k[-1])[-1]) + 1 if (k != k[-1]).any() else 0
-            if first:
-                yield from runs(k[:first], v[:first])
-            carry_k, carry_v = k[first:], v[first:]
-            if len(carry_k) > block:
-                hot, hot_n = int(carry_k[0]), len(carry_k)
-                yield passed(carry_v, hot, 0)
-                carry_k, carry_v = empty, empty
-        if len(carry_k):
-            yield from runs(carry_k, carry_v)
+            key, who = _table_keys(batch, m)
+            edges = _edges(key)
+            size = np.diff(edges)
+            if (size > block).any():
+                hot = np.repeat(size > block, size)
+                first = edges[:-1][size > block]
+                key, who = np.concatenate([key[~hot], key[first]]), np.concatenate([who[~hot], np.full(len(first), _MARK)])
+            to = ((key >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            key, who, to = key[order], who[order], to[order]
+            at = _edges(to)
+            rows = [(int(to[i]), key[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), who[i:j].astype("<i8").tobytes()) for i, j in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=kind)
 
     return walk
 
 
-def candidates(keys: DataFrame, m: int, block: int = 256) -> DataFrame:
-    """Distinct pairs ``a < b`` of ids that share a table's key; ``keys`` has ``id`` and ``keys`` (2 m sub-keys)."""
-    tables = keys.select("id", "keys", F.explode(F.sequence(F.lit(0), F.lit(m * m - 1))).alias("t"))
-    rows = tables.select(F.xxhash64("t", F.get("keys", (F.col("t") / m).cast("int")), F.get("keys", F.lit(m) + F.col("t") % m)).alias("k"), "id")
-    parts = max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = rows.repartition(parts, "k").sortWithinPartitions("k").mapInArrow(_pairs_of_runs(block), _RUNS)
-    found = stage(found, "runs")
-    near = found.where("bucket is null").select("a", "b")
-    hot = found.where("bucket is not null")
-    blocks = hot.groupBy("bucket", "part").agg(F.collect_list("a").alias("ids"))  # at most ``block`` ids
-    left, right = blocks.select("bucket", F.col("part").alias("p"), F.col("ids").alias("x")), blocks.select("bucket", F.col("part").alias("q"), F.col("ids").alias("y"))
-    both = left.join(right, "bucket").where("p <= q").repartition(parts, "bucket", "p", "q").select(F.explode("x").alias("u"), "y").select("u", F.explode("y").alias("v")).where("u != v")
-    return near.unionByName(both.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))).distinct()
+def _cut(m: int, block: int):
+    """Buckets large within the batch, in blocks of at most ``block`` ids."""
 
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("bucket", pa.int64()), ("ids", pa.list_(pa.int64()))])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, who = _table_keys(batch, m)
+            edges = _edges(key)
+            buckets, ids = [], []
+            for i, j in zip(edges[:-1][np.diff(edges) > block], edges[1:][np.diff(edges) > block]):
+                for at in range(i, j, block):
+                    buckets.append(int(key[i] & np.uint64((1 << 48) - 1)))
+                    ids.append(who[at : min(j, at + block)])
+            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], schema=kind)
 
-def similar_pairs(sketches: DataFrame, m: int, threshold: float, block: int = 256) -> DataFrame:
-    """``a, b, similarity`` between representatives of equal sets; ``sketches`` has id, set_hash, keys, shingles."""
-    reps = sketches.where("set_hash is not null").groupBy("set_hash").agg(F.min("id").alias("id"))
-    own = stage(sketches.join(reps.select("id", "set_hash"), ["id", "set_hash"], "left_semi").dropDuplicates(["id"]).select("id", "keys", "shingles"), "representatives")
-    pairs = stage(candidates(own.select("id", "keys"), m, block), "candidates")
-    sets = own.select("id", "shingles")
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return with_b.select("a", "b", _similarity("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold)
+    return walk
 
 
-def sketched(df: DataFrame, key: str, text: str, n: int = 5, m: int = 10, width: int = 2, least_words: int = 20, prepare: Callable[[str], str] | None = None) -> DataFrame:
-    """``id, set_hash, keys, shingles`` of every document, staged."""
+def _meet(block: int):
+    """Pairs of one task's buckets; large or marked buckets come out as blocks."""
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        key = np.concatenate([_unpack(k, 6) for k in rows["keys"]])
+        who = np.concatenate([np.frombuffer(i, dtype="<i8") for i in rows["ids"]])
+        order = np.lexsort((who, key))
+        key, who = key[order], who[order]
+        edges = _edges(key)
+        size, start = np.diff(edges), edges[:-1]
+        marked = who[start] == _MARK
+        aa, bb = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for n in np.unique(size[(size > 1) & (size <= block) & ~marked]):
+            members = who[start[(size == n) & ~marked][:, None] + np.arange(n)]
+            i, j = np.triu_indices(n, 1)
+            aa.append(members[:, i].ravel())
+            bb.append(members[:, j].ravel())
+        a, b = np.concatenate(aa), np.concatenate(bb)
+        at = np.lexsort((b, a))  # the tables of this task in which a pair meets, counted
+        a, b = a[at], b[at]
+        cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]])) if len(a) else np.zeros(1, dtype=np.int64)
+        pairs = np.stack([a[cut[:-1]], b[cut[:-1]]], axis=1)
+        out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "n": np.diff(cut), "bucket": pd.array([None] * len(pairs), dtype="Int64"), "ids": None})
+        blocks = []
+        for at, n in zip(start[marked | (size > block)], size[marked | (size > block)]):
+            own = who[at : at + n]
+            own = own[own != _MARK]
+            blocks += [(None, None, None, int(key[at]), own[i : i + block]) for i in range(0, len(own), block)]
+        return pd.concat([out, pd.DataFrame(blocks, columns=["a", "b", "n", "bucket", "ids"]).astype({"a": "Int64", "b": "Int64", "n": "Int64", "bucket": "Int64"})]) if blocks else out
+
+    return meet
+
+
+def candidates(keys: DataFrame, m: int, block: int = 256, rows_a_part: int = 2_000_000, least_tables: int = 2) -> DataFrame:
+    """Pairs ``a < b`` of ids that meet in ``least_tables`` tables; ``keys`` has ``id`` and ``keys`` (2 m sub-keys)."""
+    keys = keys.select("id", "keys")
+    parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys.count() * m * m // rows_a_part, 1)
+    found = keys.mapInArrow(_spread(m, parts, block), _BLOBS).repartition(parts, "part").groupBy("part").applyInPandas(_meet(block), _FOUND)
+    found = stage(found, "met")
+    near = found.where("bucket is null").select("a", "b", "n")
+    # large buckets: every block against every block of the same bucket, and within itself
+    blocks = keys.mapInArrow(_cut(m, block), _BLOCKS).unionByName(found.where("bucket is not null").select("bucket", "ids"))
+    blocks = blocks.withColumn("no", F.xxhash64("ids"))
+    right = blocks.select("bucket", F.col("no").alias("no2"), F.col("ids").alias("ids2"))
+    both = blocks.join(right, "bucket").where("no <= no2").repartition(parts, "no", "no2")
+    pairs = both.select("bucket", F.explode("ids").alias("u"), "ids2").select("bucket", "u", F.explode("ids2").alias("v")).where("u != v")
+    pairs = pairs.select("bucket", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().select("a", "b", F.lit(1).cast("long").alias("n"))
+    return near.unionByName(pairs).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least_tables).select("a", "b")
+
+
+def sketched(df: DataFrame, key: str, text: str, n: int = 5, m: int = 9, width: int = 2, least_words: int = 20, prepare: Callable[[str], str] | None = None) -> DataFrame:
+    """``id, set_hash, keys, text`` of every document, staged; null but for the id where it is too short."""
     made = df.select(F.col(key).cast("long").alias("id"), sketch_udf(n, m, width, least_words, prepare)(F.col(text)).alias("s")).select("id", "s.*")
     return stage(made, "sketches")
 
 
-def row_pairs(sketches: DataFrame, m: int, threshold: float) -> DataFrame:
+def similar_pairs(sketches: DataFrame, n: int, m: int, threshold: float, block: int = 256) -> DataFrame:
+    """``a, b, similarity`` between representatives of equal sets; ``sketches`` as :func:`sketched` makes them."""
+    reps = sketches.where("set_hash is not null").groupBy("set_hash").agg(F.min("id").alias("id"))
+    own = stage(sketches.select("id", "set_hash", "keys").join(reps, ["id", "set_hash"], "left_semi").dropDuplicates(["id"]), "representatives")
+    pairs = stage(candidates(own, m, block), "candidates")
+    # Texts travel once, by id, for both joins; of a pair, only the set of its first document travels on.
+    texts, packed = sketches.where("set_hash is not null").select("id", "text"), set_udf(n)
+    with_a = pairs.join(texts, pairs["a"] == texts["id"]).select("a", "b", packed("text").alias("sa"))
+    with_b = with_a.join(texts, with_a["b"] == texts["id"]).select("a", "b", "sa", packed("text").alias("sb"))
+    return with_b.select("a", "b", _similarity("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def row_pairs(sketches: DataFrame, n: int, m: int, threshold: float) -> DataFrame:
     """Every pair of rows ``a < b`` whose sets are at least ``threshold`` alike, copies included."""
-    links = stage(similar_pairs(sketches, m, threshold), "links")
+    links = stage(similar_pairs(sketches, n, m, threshold), "links")
     member = sketches.where("set_hash is not null").select("id", "set_hash")
     rep = member.groupBy("set_hash").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     member = member.join(rep, "set_hash").select("id", "rep", "n")
@@ -251,12 +319,12 @@ def row_pairs(sketches: DataFrame, m: int, threshold: float) -> DataFrame:
     return copies.unionByName(across).distinct()
 
 
-def classes(sketches: DataFrame, m: int, threshold: float, rounds: int = 30) -> DataFrame:
+def classes(sketches: DataFrame, n: int, m: int, threshold: float, rounds: int = 30) -> DataFrame:
     """``id, class_id, links``: one row per document; class = connected documents, links = similar other representatives.
 
     Connected components by hash-to-min over representatives, staged every round, until nothing changes.
     """
-    links = stage(similar_pairs(sketches, m, threshold).select("a", "b"), "links")
+    links = stage(similar_pairs(sketches, n, m, threshold).select("a", "b"), "links")
     member = sketches.groupBy("set_hash").agg(F.min("id").alias("rep")).where("set_hash is not null")
     own = sketches.select("id", "set_hash").join(member, "set_hash", "left").select("id", F.coalesce("rep", "id").alias("rep"))
     both = stage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")

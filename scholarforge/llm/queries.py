@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholarforge.llm import boilerplate, confusables, encoding, entities, neardup, quality
+from scholarforge.llm import boilerplate, confusables, encoding, entities, neardup, quality, queries_documents
 from scholarforge.runtime import read_table, stage
 
 
@@ -31,10 +31,10 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.where("name_chain is not null").select("profile_id", "name", "name_chain")
 
 
-def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``profile_id, text_raw`` as it was before any damage."""
+def _page_texts(spark: SparkSession, sf_dir: str, restore_lost: bool = False) -> DataFrame:
+    """``profile_id, text_raw`` as it was before any damage; words with lost bytes only if asked for."""
     df = _profiles(spark, sf_dir).select("profile_id", "profile_link", "text_raw").where(F.length("text_raw") > 0)
-    return encoding.repaired(df, "profile_id", "text_raw", _site()).select("profile_id", "text_raw")
+    return encoding.repaired(df, "profile_id", "text_raw", _site(), restore_lost=restore_lost).select("profile_id", "text_raw")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page's own content."""
-    return boilerplate.main_text(_page_texts(spark, sf_dir), "text_raw", "main_text").select("profile_id", "main_text")
+    return boilerplate.main_text(_page_texts(spark, sf_dir, restore_lost=True), "text_raw", "main_text").select("profile_id", "main_text")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,30 +76,34 @@ def p6_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return confusables.one_form(_profiles(spark, sf_dir).select("profile_id", *fields), fields).select("profile_id", *[f"{f}_plain" for f in fields])
 
 
+#: Sub-keys in either collection: TABLES squared tables.
+TABLES = 9
+
+
 def _own_text(page: str) -> str:
     return "\n".join(boilerplate.main_lines(page))
 
 
 def _page_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of three-word sequences of the main texts, as p5_found asks for."""
-    return neardup.sketched(_page_texts(spark, sf_dir), "profile_id", "text_raw", n=3, m=10, width=2, least_words=20, prepare=_own_text)
+    return neardup.sketched(_page_texts(spark, sf_dir), "profile_id", "text_raw", n=3, m=TABLES, width=2, least_words=20, prepare=_own_text)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of rows whose main texts share at least half of their three-word sequences."""
-    pairs = neardup.row_pairs(_page_sketches(spark, sf_dir), 10, 0.5)
+    pairs = neardup.row_pairs(_page_sketches(spark, sf_dir), 3, TABLES, 0.5)
     return pairs.select(F.col("a").alias("profile_id_a"), F.col("b").alias("profile_id_b"))
 
 
 def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every profile with the class of its main text and the number of its links."""
-    found = neardup.classes(_page_sketches(spark, sf_dir), 10, 0.5)
+    found = neardup.classes(_page_sketches(spark, sf_dir), 3, TABLES, 0.5)
     return found.select(F.col("id").alias("profile_id"), "class_id", "links")
 
 
 def p5_document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class at five-word sequences and a similarity of 0.8."""
-    found = neardup.classes(neardup.sketched(read_table(spark, sf_dir, "documents"), "doc_id", "text"), 10, 0.8)
+    found = neardup.classes(neardup.sketched(read_table(spark, sf_dir, "documents"), "doc_id", "text"), 5, TABLES, 0.8)
     return found.select(F.col("id").alias("doc_id"), "class_id", "links")
 
 
@@ -140,5 +144,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_one_form": p6_one_form,
     "p7_found": p7_found,
     "p7_statistics": p7_statistics,
+    **queries_documents.QUERIES,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {**queries_documents.ORACLE}

@@ -68,3 +68,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
     "p10_sanitised": p10_sanitised,
 }
+
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+_RUNS = "SELECT {k}, array_to_string(w[i:i + 11], ' ') AS run FROM (SELECT {k}, w, unnest(range(1, len(w) - 10)) AS i FROM (SELECT {k}, " + _WORDS.replace("{", "{{").replace("}", "}}") + " AS w FROM {t}) WHERE len(w) >= 12)"
+ORACLE = {
+    "p9_found": f"SELECT DISTINCT doc_id, item_id FROM ({_RUNS.format(k='doc_id', t='documents')}) JOIN (SELECT DISTINCT * FROM ({_RUNS.format(k='item_id', t='eval_items')})) USING (run)",
+}
