@@ -66,12 +66,20 @@ _NOTICE = re.compile(
 _CRUMB = re.compile(r"(?:you are here ?[:;.]? ?)?(?:home|startseite|accueil|inicio) ?(?:[»›>/]|�) ?\S")
 _FOOT = re.compile(
     rf"(?:last updated|updated|page last modified on|last modified|zuletzt geändert|dernière mise à jour|última actualización)[ :;]+(?:on )?{_DATE}[ .]*$"
-    r"|(?:©|�|\(c\)) ?\d{4} .{2,90}$|copyright (?:©|�)? ?.{2,90} ?\d{4}[ .]*$|.{2,90} all rights reserved[ .]*$"
-    r"|.{2,90} [–�-] (?:department|faculty|school|institute|college) of .{2,60} [–�-] \d{4}[ .]*$"
-    r"|charity registered in \w+[ .]*$|registered charity\b.{0,40}$|switchboard ?[:;] ?[\d +()/.-]{5,30}$"
-    r"|.{2,60} estate is a smoke-free area\b.*|privacy policy ?\| ?.*"
+    r"|(?:©|�|\(c\)) ?\d{4} .{2,90}$|copyright (?:©|�)? ?.{2,90} ?\d{4}[ .]*$"
+    r"|charity registered in \w+[ .]*$|registered charity\b.{0,40}$|switchboard ?[:;] ?[\d +()/.-]{5,30}$|privacy policy ?\| ?.*"
     r"|\d{1,4} [^\W\d]+ (?:road|street|avenue|lane|terrace|close|square)[,;] [^\W\d]+[,;] [^\W\d]+[ .]*$"
 )
+_UNIT = re.compile(r".{2,90} [–�-] (?:department|faculty|school|institute|college) of .{2,60} [–�-] \d{4}[ .]*$")
+_SEPARATORS = re.compile(r"[\t|/·•»›>�]|  ")
+
+
+def _is_footer(text: str) -> bool:
+    if _FOOT.match(text) or "all rights reserved" in text[-25:] or " estate is a smoke-free area" in text:
+        return True
+    return text.rstrip(" .")[-4:].isdigit() and _UNIT.match(text) is not None
+
+
 _PROMO = re.compile(r"join us at the .{2,40} open day\b|(?:the|our) \w+ has launched an appeal\b|applications for the .{2,40} (?:summer|winter) school close\b|register (?:now|your interest)\b|sign up (?:now|to|for) ")
 _SPLIT = re.compile(r"\s*\t\s*|\s+[|/·•»›>�]+\s+|\s{2,}")
 _BULLET = re.compile(r"(?:[•·▪‣◦*–»›-]|�+)\s+")
@@ -134,11 +142,11 @@ def _implied(line: str) -> str:
             return "notice"
         if _PROMO.match(text):
             return "promo"
-        if _FOOT.match(text):
+        if _is_footer(text):
             return "foot"
         if first in "-–|" and len(text) < 2:
             return "p"
-    parts = [x for x in _SPLIT.split(text) if x]
+    parts = [x for x in _SPLIT.split(text) if x] if _SEPARATORS.search(text) else ()
     if len(parts) > 1 and sum(_is("menu", x) for x in parts) >= max(2, 0.6 * len(parts)):
         return "bar"
     if bullet:
@@ -149,7 +157,7 @@ def _implied(line: str) -> str:
     return "p"
 
 
-_short = lru_cache(maxsize=1 << 17)(_implied)
+_short = lru_cache(maxsize=1 << 15)(_implied)
 
 HIDDEN = frozenset(("nav", "aside", "footer", "banner"))
 _HOLDER = {"tool": "nav", "crumb": "nav", "bar": "nav", "menu": "nav", "menu*": "nav", "notice": "banner", "promo": "aside", "aside": "aside", "foot": "footer"}
