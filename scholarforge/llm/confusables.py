@@ -95,15 +95,19 @@ def edges() -> list[tuple[str, str]]:
     return out
 
 
-def representatives(counts: dict[str, int]) -> dict[str, str]:
-    """Member -> representative, for every member that is not its own."""
+def representatives(counts: dict[str, int], prior: int = 50) -> dict[str, str]:
+    """Member -> representative, for every member that is not its own.
+
+    ``prior`` occurrences are added to a member in ASCII, so that a handful of cells
+    does not decide against it in a small table.
+    """
     sets = UnionFind()
     for a, b in edges():
         if b:
             sets.union(a, b)
     out = {chr(c): "" for c in _INVISIBLE}
     for members in sets.classes().values():
-        best = min(members, key=lambda m: (-counts.get(m, 0), len(m) > 1 and unicodedata.normalize("NFC", m) != m, m))
+        best = min(members, key=lambda m: (-counts.get(m, 0) - prior * m.isascii(), len(m) > 1 and unicodedata.normalize("NFC", m) != m, m))
         out.update({m: best for m in members if m != best})
     return out
 
@@ -161,8 +165,16 @@ class Rewriter:
         self.alien = frozenset(_letters())
 
     def __call__(self, text: str) -> str:
-        if text.isascii():
-            return text
+        for _ in range(4):  # what one pass makes ordinary may show the next that a word mixes scripts
+            if text.isascii():
+                return text
+            new = self._once(text)
+            if new == text:
+                return text
+            text = new
+        return text
+
+    def _once(self, text: str) -> str:
         spans = _alien_words(text) if any(c in self.alien for c in text) else []
         hits = []
         for end, member in self.automaton.iter(text):
