@@ -251,11 +251,11 @@ def _posterior(cells: DataFrame, model: dict, prior: DataFrame | None, overall:
     else:
         scored = scored.withColumn("prior", F.lit(None).cast("double"))
     scored = scored.withColumn("p", F.coalesce("prior", grid[F.concat_ws("\t", "__field", "chain")], F.lit(1e-6)))
-    scored = scored.withColumn("a", F.when(F.col("chain") == LOSSY, F.lit(-60.0)).otherwise(F.least(F.col("g"), F.lit(60.0)) + F.log(F.greatest("p", F.lit(1e-9)))))
-    # Against "undamaged" (score 0, its share close to 1): one exchange by cell, kept in the same row.
-    sums = scored.groupBy("__key", "__field", "__source").agg(F.collect_list(F.struct("chain", "a")).alias("x"), F.max("__lost").alias("__lost"))
-    sums = sums.withColumn("z", F.aggregate("x", F.lit(1.0), lambda acc, v: acc + F.exp(v["a"])))
-    return sums.select("__key", "__field", "__source", "__lost", F.explode("x").alias("v"), "z").select("__key", "__field", "__source", "__lost", F.col("v.chain").alias("chain"), (F.exp("v.a") / F.col("z")).alias("posterior"))
+    scored = scored.withColumn("a", F.when(F.col("chain") == LOSSY, F.lit(-60.0)).otherwise(F.col("g") + F.log(F.greatest("p", F.lit(1e-9)))))
+    # Against "undamaged" (score 0, its share close to 1), the highest score taken out before exponents are formed.
+    sums = scored.groupBy("__key", "__field", "__source").agg(F.collect_list(F.struct("chain", "a")).alias("x"), F.max("__lost").alias("__lost"), F.greatest(F.max("a"), F.lit(0.0)).alias("top"))
+    sums = sums.withColumn("z", F.aggregate("x", F.exp(-F.col("top")), lambda acc, v: acc + F.exp(v["a"] - F.col("top"))))
+    return sums.select("__key", "__field", "__source", "__lost", F.explode("x").alias("v"), "top", "z").select("__key", "__field", "__source", "__lost", F.col("v.chain").alias("chain"), (F.exp(F.col("v.a") - F.col("top")) / F.col("z")).alias("posterior"))
 
 
 def repair_text(text: str | None, chain: str | None) -> str | None:
