@@ -60,7 +60,7 @@ research|research interests|current projects|projects|keywords|interests|profile
 _MONTHS = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|sept|oct|nov|dec"
 _DATE = rf"(?:\d{{4}}-\d{{1,2}}-\d{{1,2}}|\d{{1,2}}[/.]\d{{1,2}}[/.]\d{{2,4}}|\d{{1,2}} (?:{_MONTHS}) \d{{4}})"
 _NOTICE = re.compile(
-    r"(?:we|this (?:web)?site|our (?:web)?site|cookies help|we and selected|by using|diese (?:web)?seite|wir (?:nutzen|verwenden|setzen)|ce site|nous (?:utilisons|déposons)"
+    r"(?:we|this (?:web)?site|our (?:web)?site|cookies help|we and selected|by using|diese (?:web)?seite|wir (?:nutzen|verwenden|setzen)|ce site|nous (?:utilisons|d[é�]posons)"
     r"|este sitio|usamos|utilizamos|cookies)\b.*(?:\bcookies?\b|stores? small files)|cookies help us\b|our website stores small files\b"
 )
 _CRUMB = re.compile(r"(?:you are here ?[:;.]? ?)?(?:home|startseite|accueil|inicio) ?(?:[»›>/]|�) ?\S")
@@ -121,8 +121,12 @@ def _implied(line: str) -> str:
         return ""
     if len(text) > 220:
         return "p"
+    if "�" in text:
+        text = re.sub("�+", "�", text)
     bullet = _BULLET.match(text)
     bare = text[bullet.end() :].strip() if bullet else text
+    if bullet and text[0] == "�" and not _is("menu", bare):
+        bullet, bare = None, text  # a lost character may be any sign
     mark = "*" if bullet else ""
     if _is("menu", bare):
         return ("shared" if bare in _SHARED else "menu") + mark
