@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scholarforge.functions.text import YEAR
+from scholarforge.functions.text import YEAR, contains_any
 
 # Patterns of the rules.
 PHD = r"(ph\.?[ ]?d\.?[ ]?)|(d\.?[ ]?phil\.?[ ]?)"
@@ -101,3 +101,25 @@ def is_personal(lines: Column, depth: Column, name_in_title: Column) -> Column:
     """Whether a page below the first level is a person's (C4)."""
     heading = F.exists(lines, lambda x: (F.lower(x).contains("publicati") | F.lower(x).contains("interest") | F.lower(x).contains("biograp")) & _short(x, 5))
     return (depth > 1) & (name_in_title | heading)
+
+
+# Words that no name of a person or an organisation holds.
+NO_ENTITY = ["library", "university", "department", "faculty", "menu", "copyright", "college", "staff", "student", "lab", "footer", "impact", "header", "view", "profile", "human", "resources", "hub", "scholar"]
+# Words that tell an organisation from a person.
+ORGANISATION = r"(?i)univ|insti|college|school|academy|hospital|laborator|centre|center|society|council"
+_RUN = r"(?U)\p{Lu}[\p{L}.’'-]*(?: (?:(?:of|for|and|the|de|du|von) )*\p{Lu}[\p{L}.’'-]*)+"
+
+
+def named_entities(c: Column, organisations: bool = True, only_organisations: bool = False) -> Column:
+    """Runs of words with a capital, by rule where no model is given (M11); those with a filter word left out."""
+    runs = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_RUN), F.lit(0))
+    if only_organisations:
+        return F.filter(runs, lambda x: x.rlike(ORGANISATION))
+    kept = F.filter(runs, lambda x: ~contains_any(x, NO_ENTITY))
+    return kept if organisations else F.filter(kept, lambda x: ~x.rlike(ORGANISATION))
+
+
+def resolved_name(link_title: Column, page_title: Column, headings: Column) -> Column:
+    """Name of a page's person: the link's title or the page's, if an entity is in it, else the first one in a heading."""
+    found = F.get(F.flatten(F.transform(headings, lambda h: named_entities(h))), 0)
+    return F.when(F.size(named_entities(link_title)) > 0, link_title).when(F.size(named_entities(page_title)) > 0, page_title).otherwise(F.coalesce(found, F.lit("Unknown")))

@@ -119,6 +119,23 @@ def embedding_similarity(df: DataFrame, key: str, query: int, phrases: str = "ph
     return df.select(key).join(scored, key, "left").fillna(0.0, ["word2vec_score"])
 
 
+def word_vectors(df: DataFrame, phrases: str = "phrases", size: int = 50, rounds: int = 1, seed: int = 124, least: int = 5) -> DataFrame:
+    """``word, vector`` of an embedding of all sentences."""
+    each = df.select(F.explode(phrases).alias("words"))
+    model = Word2Vec(vectorSize=size, minCount=least, maxIter=rounds, seed=seed, inputCol="words", outputCol="v").fit(each)
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+
+
+def closest_words(vectors: DataFrame, plus: list[str], minus: list[str] | None = None, n: int = 10) -> DataFrame:
+    """The ``n`` words closest to a sum and difference of words, as in analogies (O9, M13); unknown words count nothing."""
+    signs = [(w, 1.0) for w in plus] + [(w, -1.0) for w in minus or []]
+    asked = vectors.join(F.broadcast(vectors.sparkSession.createDataFrame(signs, "word string, sign double")), "word")
+    parts = asked.select(F.posexplode("vector").alias("i", "x"), "sign").groupBy("i").agg(F.sum(F.col("x") * F.col("sign")).alias("x"))
+    target = parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("q"))  # one row, one vector
+    others = vectors.where(~F.col("word").isin([w for w, _ in signs]))
+    return others.crossJoin(F.broadcast(target)).select("word", cosine(F.col("vector"), F.col("q")).alias("similarity")).where("similarity is not null").orderBy(F.desc("similarity"), "word").limit(n)
+
+
 def phrase_similarity(df: DataFrame, key: str, query: int, text: str) -> DataFrame:
     """``key, keyword_score``: mean over the query's noun phrases of the best word overlap with the text's."""
     phrased = stage(df.select(key, F.array_distinct(F.transform(phrases_udf()(F.col(text)), F.lower)).alias("k")), "phrases")

@@ -289,6 +289,25 @@ def e_common_part(spark, sf):
     return df.select("university", "phd_school", fuzzy.longest_common(F.col("university"), F.col("phd_school")).alias("common"), F.round(fuzzy.sequence_ratio(F.col("university"), F.col("phd_school")), 6).alias("ratio"))
 
 
+def e_entities(spark, sf):
+    """Entities in the names of schools, all and organisations only."""
+    c = F.col("phd_school")
+    df = _profiles(spark, sf).where("phd_school is not null").select("phd_school").distinct()
+    return df.select("phd_school", F.size(extract.named_entities(c)).alias("entities"), F.size(extract.named_entities(c, only_organisations=True)).alias("organisations"))
+
+
+def e_names(spark, sf):
+    """Names resolved from titles and first lines."""
+    rows = _profiles(spark, sf).where("text_raw is not null").select("profile_id", F.coalesce("name", F.lit("")).alias("t"), F.slice(F.split("text_raw", "\n"), 1, 3).alias("h"))
+    return rows.select("profile_id", extract.resolved_name(F.col("t"), F.lit(""), F.col("h")).alias("name"))
+
+
+def v_closest_words(spark, sf):
+    """Words closest to a sum of words."""
+    told = research.sentence_tokens(_documents(spark, sf).where("doc_type = 'call'").select("doc_id", "text"), "text", "phrases")
+    return research.closest_words(research.word_vectors(told, size=16), ["fusion", "membrane"], ["yeast"])
+
+
 def v_cosines(spark, sf):
     """Cosine of every vector with the first one."""
     e = _embeddings(spark, sf)

@@ -97,3 +97,10 @@ def test_page():
     assert frames == ["https://x.org/a/f.html"] and title == ["Ann Lee"] and h1 == ["Ann Lee"]
     assert got[9].split("\n")[-2:] == ["a     bbbb", "cccc  d"] and "1. one\n2. two" in got[9] and "no" not in got[9].split()
     assert html.read_page(None, None)[0] == [] and html.read_page("", "<p>a<b>c")[9] == "ac"
+
+
+def test_entities_and_names(spark):
+    df = spark.createDataFrame([("People", "Staff page", ["Welcome", "Dr Ann Lee of Xby"]), ("Ann Lee", "", []), (None, None, [])], "t string, p string, h array<string>")
+    assert [r[0] for r in df.select(extract.resolved_name(F.col("t"), F.col("p"), F.col("h"))).collect()] == ["Dr Ann Lee of Xby", "Ann Lee", "Unknown"]
+    assert one(spark, "PhD from Xby Institute of Art, with Ann Lee", lambda c: extract.named_entities(c, only_organisations=True)) == ["Xby Institute of Art"]
+    assert one(spark, "Department Library and Ann Lee", lambda c: extract.named_entities(c, organisations=False)) == []

@@ -118,6 +118,12 @@ def test_bigrams(spark):
     assert research.joined_bigrams(df, scores).first()["phrases"][0][0] == "new_york"
 
 
+def test_closest_words(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0]), ("z", [0.0, 0.0])], "word string, vector array<double>")
+    assert [r["word"] for r in research.closest_words(v, ["a"]).collect()] == ["b", "c"]
+    assert research.closest_words(v, ["none"]).count() == 0
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "u.json").write_text('{"A": {"Homepage": "h", "Rank": "=2"}, "B": {"Homepage": "g", "Rank": "1"}}')
     got = readers.json_by_key(spark, str(tmp_path / "u.json"), "Homepage string, Rank string", "university").orderBy("university").collect()
