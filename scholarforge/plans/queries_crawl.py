@@ -304,7 +304,7 @@ def e_names(spark, sf):
 
 def v_closest_words(spark, sf):
     """Words closest to a sum of words."""
-    told = research.sentence_tokens(_documents(spark, sf).where("doc_type = 'call'").select("doc_id", "text"), "text", "phrases")
+    told = research.sentence_tokens(_documents(spark, sf).select("doc_id", "text"), "text", "phrases")
     return research.closest_words(research.word_vectors(told, size=16), ["fusion", "membrane"], ["yeast"])
 
 
