@@ -232,6 +232,11 @@ def main_lines(text: str) -> list[str]:
     return [x for x, hold in zip(lines, build(lines)) if hold not in HIDDEN]
 
 
+def own_text(text: str) -> str:
+    """The page's own content as one text."""
+    return "\n".join(main_lines(text))
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _furniture(text: pd.Series) -> pd.Series:
     return text.map(furniture)

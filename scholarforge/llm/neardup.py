@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scholarforge.runtime import stage
+from scholarforge.runtime import small_batches, stage
 
 _TOKEN = re.compile(r"\w+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -275,7 +275,8 @@ def candidates(keys: DataFrame, m: int, block: int = 256, rows_a_part: int = 2_0
     keys = keys.select("id", "keys")
     parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys.count() * m * m // rows_a_part, 1)
     found = keys.mapInArrow(_spread(m, parts, block), _BLOBS).repartition(parts, "part").groupBy("part").applyInPandas(_meet(block), _FOUND)
-    found = stage(found, "met")
+    with small_batches(keys.sparkSession):
+        found = stage(found, "met")
     near = found.where("bucket is null").select("a", "b", "n")
     # large buckets: every block against every block of the same bucket, and within itself
     blocks = keys.mapInArrow(_cut(m, block), _BLOCKS).unionByName(found.where("bucket is not null").select("bucket", "ids"))
@@ -290,7 +291,8 @@ def candidates(keys: DataFrame, m: int, block: int = 256, rows_a_part: int = 2_0
 def sketched(df: DataFrame, key: str, text: str, n: int = 5, m: int = 9, width: int = 2, least_words: int = 20, prepare: Callable[[str], str] | None = None) -> DataFrame:
     """``id, set_hash, keys, text`` of every document, staged; null but for the id where it is too short."""
     made = df.select(F.col(key).cast("long").alias("id"), sketch_udf(n, m, width, least_words, prepare)(F.col(text)).alias("s")).select("id", "s.*")
-    return stage(made, "sketches")
+    with small_batches(df.sparkSession):  # whole texts: many rows at once are much memory
+        return stage(made, "sketches")
 
 
 def similar_pairs(sketches: DataFrame, n: int, m: int, threshold: float, block: int = 256) -> DataFrame:

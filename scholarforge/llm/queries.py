@@ -80,13 +80,9 @@ def p6_one_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 TABLES = 9
 
 
-def _own_text(page: str) -> str:
-    return "\n".join(boilerplate.main_lines(page))
-
-
 def _page_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of three-word sequences of the main texts, as p5_found asks for."""
-    return neardup.sketched(_page_texts(spark, sf_dir), "profile_id", "text_raw", n=3, m=TABLES, width=2, least_words=20, prepare=_own_text)
+    return neardup.sketched(_page_texts(spark, sf_dir), "profile_id", "text_raw", n=3, m=TABLES, width=2, least_words=20, prepare=boilerplate.own_text)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +113,7 @@ def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = labels.groupBy("profile_id").agg(F.min("text_kind").alias("text_kind")).orderBy(F.hash("profile_id"), "profile_id").limit(MAX_LABELLED)
     labelled = df.join(F.broadcast(sample), "profile_id")  # at most MAX_LABELLED rows
     model = quality.fit(boilerplate.main_text(labelled, "text_raw"), "text_raw", "text_kind", MAX_LABELLED)
-    return quality.describe(pages, "text_raw", model, prepare=_own_text)
+    return quality.describe(pages, "text_raw", model, prepare=boilerplate.own_text)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
