@@ -31,10 +31,10 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.where("name_chain is not null").select("profile_id", "name", "name_chain")
 
 
-def _page_texts(spark: SparkSession, sf_dir: str, restore_lost: bool = False) -> DataFrame:
-    """``profile_id, text_raw`` as it was before any damage; words with lost bytes only if asked for."""
+def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``profile_id, text_raw`` as it was before any damage, words with lost bytes included."""
     df = _profiles(spark, sf_dir).select("profile_id", "profile_link", "text_raw").where(F.length("text_raw") > 0)
-    return encoding.repaired(df, "profile_id", "text_raw", _site(), restore_lost=restore_lost).select("profile_id", "text_raw")
+    return encoding.repaired(df, "profile_id", "text_raw", _site()).select("profile_id", "text_raw")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page's own content."""
-    return boilerplate.main_text(_page_texts(spark, sf_dir, restore_lost=True), "text_raw", "main_text").select("profile_id", "main_text")
+    return boilerplate.main_text(_page_texts(spark, sf_dir), "text_raw", "main_text").select("profile_id", "main_text")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +108,7 @@ MAX_LABELLED = 5_000
 
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _profiles(spark, sf_dir).select("profile_id", "profile_link", "text_raw").where(F.length("text_raw") > 0)
-    pages = encoding.repaired(df, "profile_id", "text_raw", _site(), restore_lost=False).select("profile_id", "text_raw")
+    pages = _page_texts(spark, sf_dir)
     labels = read_table(spark, sf_dir, "text_labels").where(F.col("text_kind").isin(*quality.KINDS))
     sample = labels.groupBy("profile_id").agg(F.min("text_kind").alias("text_kind")).orderBy(F.hash("profile_id"), "profile_id").limit(MAX_LABELLED)
     labelled = df.join(F.broadcast(sample), "profile_id")  # at most MAX_LABELLED rows
