@@ -2,7 +2,7 @@
 
 import random
 
-from scholarforge.llm import queries
+from scholarforge.llm import neardup, queries
 
 
 def _profiles(spark, folder, rows):
@@ -18,3 +18,13 @@ def test_pairs_of_pages_with_lost_letters(spark, tmp_path):
     broken = [w if w.isascii() or i % 2 else "".join(c if c.isascii() else "\ufffd" for c in w) for i, w in enumerate(page)]
     sf = _profiles(spark, tmp_path, [(1, "A", " ".join(page)), (2, "B", " ".join(broken)), (3, "C", " ".join(rng.sample(plain, 60)))])
     assert [tuple(r) for r in queries.p5_found(spark, sf).collect()] == [(1, 2)]
+
+
+def test_pairs_at_the_threshold(spark):
+    rows = []
+    for i in range(200):  # 60 of 120 sequences are shared: a similarity of 0.5
+        common = [f"c{i}_{k}" for k in range(62)]
+        rows += [(2 * i + j, " ".join([*common, *(f"t{i}_{j}_{k}" for k in range(30))])) for j in (0, 1)]
+    sk = neardup.sketched(spark.createDataFrame(rows, "id long, text string"), "id", "text", n=3, m=queries.TABLES)
+    got = {tuple(r) for r in neardup.row_pairs(sk, 3, queries.TABLES, 0.5).collect()}
+    assert got <= {(2 * i, 2 * i + 1) for i in range(200)} and len(got) >= 186
