@@ -311,7 +311,8 @@ def similar_pairs(sketches: DataFrame, n: int, m: int, threshold: float, block:
 
 def row_pairs(sketches: DataFrame, n: int, m: int, threshold: float) -> DataFrame:
     """Every pair of rows ``a < b`` whose sets are at least ``threshold`` alike, copies included."""
-    links = stage(similar_pairs(sketches, n, m, threshold), "links")
+    with small_batches(sketches.sparkSession):
+        links = stage(similar_pairs(sketches, n, m, threshold), "links")
     member = sketches.where("set_hash is not null").select("id", "set_hash")
     rep = member.groupBy("set_hash").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     member = member.join(rep, "set_hash").select("id", "rep", "n")
@@ -323,27 +324,36 @@ def row_pairs(sketches: DataFrame, n: int, m: int, threshold: float) -> DataFram
     return copies.unionByName(across).distinct()
 
 
-def classes(sketches: DataFrame, n: int, m: int, threshold: float, rounds: int = 30) -> DataFrame:
-    """``id, class_id, links``: one row per document; class = connected documents, links = similar other representatives.
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge only, to a node that has none to a lesser one: then the edges name components."""
+    rows = edges.agg(F.count("*").alias("n"), F.count_distinct("u").alias("u")).first()
+    return rows["n"] == rows["u"] and not edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").limit(1).count()
 
-    Connected components by hash-to-min over representatives, staged every round, until nothing changes.
+
+def components(links: DataFrame) -> DataFrame:
+    """``u, v``: every node of the links ``a, b`` that is not the least of its component, with the least one.
+
+    Large stars and small stars in turn, staged, until every component is one star; the rounds
+    grow with the logarithm of a component's length, and nothing ends them early.
     """
-    links = stage(similar_pairs(sketches, n, m, threshold).select("a", "b"), "links")
+    edges = stage(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while not _stars(edges):
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = stage(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    return edges
+
+
+def classes(sketches: DataFrame, n: int, m: int, threshold: float) -> DataFrame:
+    """``id, class_id, links``: one row per document; class = connected documents, links = similar other representatives."""
+    with small_batches(sketches.sparkSession):
+        links = stage(similar_pairs(sketches, n, m, threshold).select("a", "b"), "links")
     member = sketches.groupBy("set_hash").agg(F.min("id").alias("rep")).where("set_hash is not null")
     own = sketches.select("id", "set_hash").join(member, "set_hash", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    both = stage(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
-    label = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c"))
-    label = stage(label, "label")
-    for _ in range(rounds):
-        heard = both.join(label.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("h"))
-        new = label.join(heard, "a", "left").select("a", F.least("c", F.coalesce("h", "c")).alias("c0"))
-        # shortcut: the class of one's class
-        jump = new.select(F.col("a").alias("c0"), F.col("c0").alias("c1"))
-        new = stage(new.join(jump, "c0", "left").select("a", F.least("c0", F.coalesce("c1", "c0")).alias("c")), "label")
-        changed = new.join(label.withColumnRenamed("c", "old"), "a").where("c != old").limit(1).count()
-        label = new
-        if not changed:
-            break
-    degree = both.groupBy("a").agg(F.count("*").alias("links"))
-    out = own.join(label.select(F.col("a").alias("rep"), "c"), "rep", "left").join(degree.select(F.col("a").alias("rep"), "links"), "rep", "left")
+    label = components(links).select(F.col("u").alias("rep"), F.col("v").alias("c"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    out = own.join(label, "rep", "left").join(degree, "rep", "left")
     return out.select("id", F.coalesce("c", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from scholarforge.llm import neardup, queries
 
 
@@ -28,3 +30,14 @@ def test_pairs_at_the_threshold(spark):
     sk = neardup.sketched(spark.createDataFrame(rows, "id long, text string"), "id", "text", n=3, m=queries.TABLES)
     got = {tuple(r) for r in neardup.row_pairs(sk, 3, queries.TABLES, 0.5).collect()}
     assert got <= {(2 * i, 2 * i + 1) for i in range(200)} and len(got) >= 186
+
+
+def test_a_long_chain_is_one_class(spark, monkeypatch):
+    ids = list(range(150))
+    random.Random(6).shuffle(ids)
+    chain = [(min(a, b), max(a, b), 0.9) for a, b in zip(ids, ids[1:])] + [(200, 201, 0.9), (201, 202, 0.9)]
+    monkeypatch.setattr(neardup, "similar_pairs", lambda *_: spark.createDataFrame(chain, "a long, b long, similarity double").coalesce(1))
+    sk = spark.range(203).withColumn("set_hash", F.when(F.col("id") != 150, F.col("id"))).coalesce(1)
+    got = {r["id"]: (r["class_id"], r["links"]) for r in neardup.classes(sk, 3, 9, 0.5).collect()}
+    assert len(got) == 203 and {got[i][0] for i in ids} == {0} and got[200] == (200, 1)
+    assert got[201] == (200, 2) and got[202] == (200, 1) and got[150] == (150, 0) and got[160] == (160, 0)
