@@ -26,9 +26,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every damaged name with its original, and what was undone."""
-    names = encoding.repaired(_profiles(spark, sf_dir).select("profile_id", "profile_link", "name"), "profile_id", "name", _site())
-    return names.where("name_chain is not null").select("profile_id", "name", "name_chain")
+    """Every damaged name and page text with its original, and what was undone."""
+    df = _profiles(spark, sf_dir)
+    fields = ["name", "text_raw"]
+    cells = stage(encoding.damaged_cells(df, "profile_id", fields, _site()), "cells")
+    out = None
+    for f in fields:
+        one = encoding.repaired(df.select("profile_id", "profile_link", f), "profile_id", f, _site(), cells=cells)
+        one = one.where(F.col(f"{f}_chain").isNotNull()).select("profile_id", F.lit(f).alias("field"), F.col(f).alias("repaired"), F.col(f"{f}_chain").alias("chain"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

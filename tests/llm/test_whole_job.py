@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from scholarforge.llm import neardup, queries
+from scholarforge.llm import encoding, neardup, queries
 
 
 def _profiles(spark, folder, rows):
@@ -41,3 +41,15 @@ def test_a_long_chain_is_one_class(spark, monkeypatch):
     got = {r["id"]: (r["class_id"], r["links"]) for r in neardup.classes(sk, 3, 9, 0.5).collect()}
     assert len(got) == 203 and {got[i][0] for i in ids} == {0} and got[200] == (200, 1)
     assert got[201] == (200, 2) and got[202] == (200, 1) and got[150] == (150, 0) and got[160] == (160, 0)
+
+
+def test_names_and_page_texts_are_given_back(spark, tmp_path):
+    texts = ["Die Universität für Bodenkultur und Geschichte", "Les élèves et la géographie générale", "Größe und Höhe der Flüsse"]
+    rows = [(i, "José Núñez", texts[i % 3]) for i in range(60)]
+    rows += [(100 + i, encoding.mangle("José Núñez", "cp1252"), encoding.mangle(texts[i % 3], "cp1252")) for i in range(6)]
+    rows += [(200, "José Núñez", "Gr\ufffd\ufffde und H\ufffdhe der Fl\ufffdsse"), (201, None, None)]
+    sf = _profiles(spark, tmp_path, rows)
+    got = {(r["profile_id"], r["field"]): (r["repaired"], r["chain"]) for r in queries.p1_repaired(spark, sf).collect()}
+    assert set(got) == {tuple(r) for r in queries.p1_found(spark, sf).collect()} and len(got) == 13
+    assert got[100, "name"][0] == "José Núñez" and all(got[100 + i, "text_raw"][0] == texts[i % 3] for i in range(6))
+    assert got[200, "text_raw"][1] == "lost" and "Höhe der Flüsse" in got[200, "text_raw"][0]
