@@ -172,7 +172,10 @@ class Mapper:
         for r, (f, _) in enumerate(self.forms):
             for i in range(len(f) - 1):
                 self.matrix[r, self.pair[f[i : i + 2]]] = 1
-        self.norms = np.sqrt(self.matrix.sum(axis=1))
+        self.length = np.array([len(f) for f, _ in self.forms])
+        self.most = np.minimum(self.edits, np.where(self.length < 8, 1, 2))
+        # An edit undoes at most three pairs of a form (an exchange of neighbours): what must be left of its pairs.
+        self.least = self.matrix.sum(axis=1) - 3 * self.most
 
     def _rest_allows(self, rest: str) -> bool:
         return not any(w in _OTHER or w in set(_KIND.values()) for w in rest.split())
@@ -235,15 +238,13 @@ class Mapper:
             if len(t) < 5:
                 continue
             vec = np.zeros(len(self.pair), dtype=np.float32)
-            n = 0
             for i in range(len(t) - 1):
-                n += 1
                 if t[i : i + 2] in self.pair:
                     vec[self.pair[t[i : i + 2]]] = 1
-            sim = (self.matrix @ vec) / (self.norms * np.sqrt(max(1, n)) + 1e-9)
-            for r in np.argsort(-sim, kind="stable")[:12]:
+            near = (self.matrix @ vec >= self.least) & (np.abs(self.length - len(t)) <= self.most)
+            for r in np.flatnonzero(near):
                 form, eid = self.forms[r]
-                most = min(self.edits, 1 if len(form) < 8 else 2)
+                most = int(self.most[r])
                 d = _distance(t, form, most)
                 if d <= most:
                     best.append((d - len(form) / 1000, eid))

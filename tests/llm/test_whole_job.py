@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from scholarforge.llm import encoding, neardup, queries
+from scholarforge.llm import encoding, entities, neardup, queries
 
 
 def _profiles(spark, folder, rows):
@@ -53,3 +53,21 @@ def test_names_and_page_texts_are_given_back(spark, tmp_path):
     assert set(got) == {tuple(r) for r in queries.p1_found(spark, sf).collect()} and len(got) == 13
     assert got[100, "name"][0] == "José Núñez" and all(got[100 + i, "text_raw"][0] == texts[i % 3] for i in range(6))
     assert got[200, "text_raw"][1] == "lost" and "Höhe der Flüsse" in got[200, "text_raw"][0]
+
+
+def test_every_form_within_the_edits_is_tried():
+    rng = random.Random(8)
+    places = ["".join(rng.choice(("ka", "ze", "lm", "ru", "fa", "hi", "tu", "po", "xi", "ne")) for _ in range(3)) for _ in range(140)]
+    mapper = entities.Mapper([(i + 1, f"University of {p.title()}", None) for i, p in enumerate(dict.fromkeys(places))])
+    for _ in range(100):
+        form, _ = rng.choice(mapper.forms)
+        t = list(form)
+        for _ in range(2):
+            i = rng.randrange(len(t) - 1)
+            t[i], t[i + 1] = t[i + 1], t[i]
+        t = "".join(t)
+        if len(t) < 5:
+            continue
+        near = [(entities._distance(t, f, m) - len(f) / 1000, e) for f, e in mapper.forms for m in [1 if len(f) < 8 else 2] if entities._distance(t, f, m) <= m]
+        ids = {e for d, e in near if d == min(near)[0]}
+        assert mapper._similar([t]) == (ids.pop() if len(ids) == 1 else 0)
