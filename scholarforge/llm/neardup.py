@@ -17,7 +17,8 @@ within one batch is cut into blocks before anything is shuffled, one that turns
 large afterwards is cut there, and the pairs of blocks are spread over the tasks.
 
 Defined results: documents with fewer than ``least_words`` words (or than n words)
-belong to no pair and to a class of their own; null and empty texts likewise; an id
+belong to no pair and to a class of their own, but with ``whole`` equal texts of fewer than
+n words (no words: equal signs) are copies; null and blank texts are alone likewise; an id
 that is repeated is one document for every different text; empty tables give empty
 results; whole texts are used.
 """
@@ -104,8 +105,11 @@ def sub_keys(sets: list[np.ndarray], seeds: np.ndarray, width: int, chunk: int =
 SKETCH = T.StructType([T.StructField("set_hash", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
 
 
-def sketch_udf(n: int, m: int, width: int, least_words: int, prepare: Callable[[str], str] | None = None):
-    """``text -> (set_hash, keys, prepared text)``, null for texts with fewer words than ``least_words``."""
+def sketch_udf(n: int, m: int, width: int, least_words: int, prepare: Callable[[str], str] | None = None, whole: bool = False):
+    """``text -> (set_hash, keys, prepared text)``, null for texts with fewer words than ``least_words``.
+
+    ``whole``: texts of fewer than ``n`` words are sets of one hash, that of all their words.
+    """
 
     @F.pandas_udf(SKETCH)
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -117,7 +121,12 @@ def sketch_udf(n: int, m: int, width: int, least_words: int, prepare: Callable[[
             for i, text in enumerate(own):
                 if text:
                     found, count = shingler(text)
-                    if count >= max(least_words, n):
+                    if whole and count < n and text.strip():
+                        said = " ".join(_TOKEN.findall(text.lower())) or text.strip()
+                        found = _mix(np.array([xxhash.xxh64_intdigest(said)], dtype=np.uint64))
+                    elif count < max(least_words, n):
+                        found = None
+                    if found is not None:
                         sets.append(found)
                         places.append(i)
             if sets:
@@ -289,9 +298,9 @@ def candidates(keys: DataFrame, m: int, block: int = 256, rows_a_part: int = 1_0
     return near.unionByName(pairs).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least_tables).select("a", "b")
 
 
-def sketched(df: DataFrame, key: str, text: str, n: int = 5, m: int = 9, width: int = 2, least_words: int = 20, prepare: Callable[[str], str] | None = None) -> DataFrame:
+def sketched(df: DataFrame, key: str, text: str, n: int = 5, m: int = 9, width: int = 2, least_words: int = 20, prepare: Callable[[str], str] | None = None, whole: bool = False) -> DataFrame:
     """``id, set_hash, keys, text`` of every document, staged; null but for the id where it is too short."""
-    made = df.select(F.col(key).cast("long").alias("id"), sketch_udf(n, m, width, least_words, prepare)(F.col(text)).alias("s")).select("id", "s.*")
+    made = df.select(F.col(key).cast("long").alias("id"), sketch_udf(n, m, width, least_words, prepare, whole)(F.col(text)).alias("s")).select("id", "s.*")
     with small_batches(df.sparkSession):  # whole texts: many rows at once are much memory
         return stage(made, "sketches")
 

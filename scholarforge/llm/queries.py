@@ -105,8 +105,8 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its class at five-word sequences and a similarity of 0.8."""
-    found = neardup.classes(neardup.sketched(read_table(spark, sf_dir, "documents"), "doc_id", "text", m=TABLES), 5, TABLES, 0.8)
+    """Every document with its class at five-word sequences and a similarity of 0.8; shorter ones by their whole text."""
+    found = neardup.classes(neardup.sketched(read_table(spark, sf_dir, "documents"), "doc_id", "text", m=TABLES, least_words=5, whole=True), 5, TABLES, 0.8)
     return found.select(F.col("id").alias("doc_id"), "class_id", "links")
 
 

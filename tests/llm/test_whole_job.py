@@ -71,3 +71,10 @@ def test_every_form_within_the_edits_is_tried():
         near = [(entities._distance(t, f, m) - len(f) / 1000, e) for f, e in mapper.forms for m in [1 if len(f) < 8 else 2] if entities._distance(t, f, m) <= m]
         ids = {e for d, e in near if d == min(near)[0]}
         assert mapper._similar([t]) == (ids.pop() if len(ids) == 1 else 0)
+
+
+def test_short_documents_are_grouped(spark, tmp_path):
+    texts = ["call for papers on river floods", "call for papers on river floods", "Call for papers", "call, for papers", "call for", "***", "***", "", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["class_id"] for r in queries.p5_document_classes(spark, str(tmp_path)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8, 9: 9}
