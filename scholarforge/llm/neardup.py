@@ -10,11 +10,15 @@ on the whole sets.
 A pair of similarity s agrees in i sub-keys of the one and j of the other collection,
 both binomial with m and s^width, and meets in i * j tables; it is a candidate if it
 meets in two.  With m = 16 and width = 2 that has a probability of 0.977 at 0.5, 0.998
-at 0.6, 0.99995 at 0.7 (m = 9: 0.80, 0.956, 0.994); unrelated pairs of similarity 0.05
-one of 6e-5.
-Keys travel packed, some bytes each.  No bucket is capped: a bucket that is large
-within one batch is cut into blocks before anything is shuffled, one that turns out
-large afterwards is cut there, and the pairs of blocks are spread over the tasks.
+at 0.6, 0.99995 at 0.7; unrelated pairs of similarity 0.05 one of 6e-5.
+
+Only the m sub-keys of the first collection are exchanged, each with all m of the second
+beside it; the tables are formed where documents with an equal first sub-key meet, so
+that the exchange grows with m and not with m * m.  No bucket is capped: first sub-keys
+that very many documents hold are exchanged by the whole key of their tables, and a table
+that is still large is cut into blocks by hash, every pair of blocks being a task's row.
+Candidates whose minhashes agree in far too few places (four deviations below the mean of
+a pair at the threshold) are put aside; all others are verified on their whole sets.
 
 Defined results: documents with fewer than ``least_words`` words (or than n words)
 belong to no pair and to a class of their own, but with ``whole`` equal texts of fewer than
@@ -25,6 +29,7 @@ results; whole texts are used.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 
@@ -81,8 +86,8 @@ def _seeds(count: int) -> np.ndarray:
     return _mix(np.arange(1, count + 1, dtype=np.uint64) * _A)
 
 
-def sub_keys(sets: list[np.ndarray], seeds: np.ndarray, width: int, chunk: int = 60_000) -> np.ndarray:
-    """Sets x sub-keys; a sub-key combines ``width`` minhashes. The sets hold well-mixed hashes and are not empty."""
+def minhashes(sets: list[np.ndarray], seeds: np.ndarray, chunk: int = 60_000) -> np.ndarray:
+    """Sets x minhashes. The sets hold well-mixed hashes and are not empty."""
     least = np.empty((len(sets), len(seeds)), dtype=np.uint64)
     at = 0
     while at < len(sets):  # so many sets at a time as stay in the processor's cache
@@ -95,19 +100,25 @@ def sub_keys(sets: list[np.ndarray], seeds: np.ndarray, width: int, chunk: int =
         for k, seed in enumerate(seeds):
             least[at:end, k] = np.minimum.reduceat(flat * (seed | np.uint64(1)), starts)
         at = end
-    parts = least.reshape(len(sets), -1, width)
+    return least
+
+
+def sub_keys(least: np.ndarray, width: int) -> np.ndarray:
+    """Sets x sub-keys; a sub-key combines ``width`` minhashes."""
+    parts = least.reshape(len(least), -1, width)
     out = np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(width):
         out = _mix(out * _B + parts[:, :, k])
-    return out.view(np.int64)
+    return out
 
 
-SKETCH = T.StructType([T.StructField("set_hash", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("text", T.StringType())])
+SKETCH = T.StructType([T.StructField("set_hash", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("signs", T.BinaryType()), T.StructField("text", T.StringType())])
 
 
 def sketch_udf(n: int, m: int, width: int, least_words: int, prepare: Callable[[str], str] | None = None, whole: bool = False):
-    """``text -> (set_hash, keys, prepared text)``, null for texts with fewer words than ``least_words``.
+    """``text -> (set_hash, keys, signs, prepared text)``, null for texts with fewer words than ``least_words``.
 
+    ``keys``: m sub-keys of 8 bytes and m of 3 bytes; ``signs``: one byte of every minhash.
     ``whole``: texts of fewer than ``n`` words are sets of one hash, that of all their words.
     """
 
@@ -116,7 +127,7 @@ def sketch_udf(n: int, m: int, width: int, least_words: int, prepare: Callable[[
         shingler, seeds = Shingler(n), _seeds(2 * m * width)
         for texts in batches:
             own = [prepare(t) if prepare and t else t for t in texts]
-            rows: list[tuple] = [(None, None, None)] * len(own)
+            rows: list[tuple] = [(None, None, None, None)] * len(own)
             sets, places = [], []
             for i, text in enumerate(own):
                 if text:
@@ -130,31 +141,18 @@ def sketch_udf(n: int, m: int, width: int, least_words: int, prepare: Callable[[
                         sets.append(found)
                         places.append(i)
             if sets:
-                for i, found, keys in zip(places, sets, sub_keys(sets, seeds, width)):
-                    rows[i] = (xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63), keys, own[i])
-            yield pd.DataFrame(rows, columns=["set_hash", "keys", "text"])
+                least = minhashes(sets, seeds)
+                sub = sub_keys(least, width)
+                first = np.ascontiguousarray(sub[:, :m]).view(np.uint8)
+                second = np.ascontiguousarray(sub[:, m:]).view(np.uint8).reshape(len(sets), m, 8)[:, :, :3].reshape(len(sets), -1)
+                keys, signs = np.concatenate([first, second], axis=1), _mix(least).astype(np.uint8)
+                for i, found, k, s in zip(places, sets, keys, signs):
+                    rows[i] = (xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63), k.tobytes(), s.tobytes(), own[i])
+            yield pd.DataFrame(rows, columns=["set_hash", "keys", "signs", "text"])
 
     return sketch
 
 
-def set_udf(n: int):
-    """``text -> packed set``: the distinct n-gram hashes, 40 bits each, which tell the n-grams of a pair apart."""
-
-    @F.pandas_udf(T.BinaryType())
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shingler = Shingler(n)
-        last, made = None, b""
-        for texts in batches:
-            out = []
-            for t in texts:
-                if t != last:  # a join brings the pairs of a document one after the other
-                    last, made = t, _pack(shingler(t)[0] >> np.uint64(24))
-                out.append(made)
-            yield pd.Series(out, dtype=object)
-
-    return packed
-
-
 def _pack(values: np.ndarray, width: int = 5) -> bytes:
     return np.unique(values).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
@@ -171,30 +169,76 @@ def jaccard(a: bytes, b: bytes) -> float:
         return 1.0
     x, y = _unpack(a), _unpack(b)
     both = np.concatenate([x, y])
-    both.sort()
+    both.sort(kind="stable")
     shared = int((both[1:] == both[:-1]).sum())
     return shared / max(1, len(x) + len(y) - shared)
 
 
+def _whole_set(shingler: Shingler, text: str, n: int) -> bytes:
+    """The set of a text that has been sketched, 40 bits a hash; one of fewer than ``n`` words is the set of all its words."""
+    found, count = shingler(text)
+    if count < n:
+        found = np.array([xxhash.xxh64_intdigest(" ".join(_TOKEN.findall(text.lower())) or text.strip())], dtype=np.uint64)
+    return _pack(found >> np.uint64(24))
+
+
+def set_udf(n: int):
+    """``text -> packed set``: the distinct n-gram hashes, which tell the n-grams of a pair apart."""
+
+    @F.pandas_udf(T.BinaryType())
+    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingler = Shingler(n)
+        for texts in batches:
+            yield pd.Series([_whole_set(shingler, t, n) for t in texts], dtype=object)
+
+    return packed
+
+
 @F.pandas_udf(T.DoubleType())
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-_BLOBS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("ids", T.BinaryType())])
-_BLOCKS = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))])
-_FOUND = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType()), *_BLOCKS.fields])
-#: Stands among the ids of a bucket for members that went another way.
-_MARK = np.int64(-(1 << 62))
+@F.pandas_udf(T.IntegerType())
+def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
+    if not len(a):
+        return pd.Series([], dtype="int32")
+    x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (a, b))
+    return pd.Series((x == y).sum(axis=1).astype("int32"))
+
+
+def least_agreeing(minhashes: int, threshold: float) -> int:
+    """Signs in which a pair at the threshold agrees but for once in some 50,000 pairs: four deviations below the mean."""
+    return max(0, math.ceil(minhashes * threshold - 4 * math.sqrt(minhashes * threshold * (1 - threshold))))
+
+
+_SENT = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("rows", T.BinaryType())])
+_TABLE_ROW = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("id", T.LongType())])
+_MET = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType()), *_TABLE_ROW.fields])
+
 
+def _record(m: int) -> np.dtype:
+    """What a document sends for one sub-key of the first collection: the sub-key, its id, all sub-keys of the second."""
+    return np.dtype([("x", "<u8"), ("id", "<i8"), ("y", "u1", (3 * m,))])
 
-def _table_keys(batch: pa.RecordBatch, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all tables and the ids they belong to, sorted by key."""
+
+def _records(batch: pa.RecordBatch, m: int) -> np.ndarray:
     ids = batch.column(0).to_numpy(zero_copy_only=False)
-    sub = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(len(ids), 2 * m).view(np.uint64)
-    key = _mix(sub[:, :m, None] * _A + sub[:, None, m:]).reshape(-1)
-    who = np.repeat(ids, m * m)
-    order = np.argsort(key, kind="stable")
+    raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(len(ids), 11 * m)
+    out = np.empty((len(ids), m), dtype=_record(m))
+    out["x"] = np.ascontiguousarray(raw[:, : 8 * m]).view("<u8")
+    out["id"] = ids[:, None]
+    out["y"] = raw[:, None, 8 * m :]
+    return out.reshape(-1)
+
+
+def _table_keys(rows: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the tables that the rows stand in, sorted, and their ids."""
+    y = np.zeros((len(rows), m, 4), dtype=np.uint8)
+    y[:, :, :3] = rows["y"].reshape(len(rows), m, 3)
+    second = y.view("<u4")[:, :, 0].astype(np.uint64) | (np.arange(m, dtype=np.uint64) << np.uint64(24))
+    key, who = _mix(rows["x"][:, None] * _A + second).ravel(), np.repeat(rows["id"], m)
+    order = np.lexsort((who, key))
     return key[order], who[order]
 
 
@@ -202,134 +246,158 @@ def _edges(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
 
 
-def _spread(m: int, parts: int, block: int):
-    """Keys with their ids, packed by the task that will meet them; buckets large within the batch leave a mark only."""
+def _send(m: int, parts: int, hot: np.ndarray):
+    """Rows packed by the task that will meet them; rows of hot sub-keys go another way."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
+        kind = pa.schema([("part", pa.int32()), ("rows", pa.binary())])
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, who = _table_keys(batch, m)
-            edges = _edges(key)
-            size = np.diff(edges)
-            if (size > block).any():
-                hot = np.repeat(size > block, size)
-                first = edges[:-1][size > block]
-                key, who = np.concatenate([key[~hot], key[first]]), np.concatenate([who[~hot], np.full(len(first), _MARK)])
-            to = ((key >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
+            rows = _records(batch, m)
+            if len(hot):
+                rows = rows[~np.isin(rows["x"], hot)]
+            to = ((rows["x"] >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
             order = np.argsort(to, kind="stable")
-            key, who, to = key[order], who[order], to[order]
-            at = _edges(to)
-            rows = [(int(to[i]), key[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), who[i:j].astype("<i8").tobytes()) for i, j in zip(at[:-1], at[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=kind)
+            rows, to = rows[order], to[order]
+            at = _edges(to) if len(to) else np.zeros(1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(to[at[:-1]].astype(np.int32)), pa.array([rows[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())], schema=kind)
 
     return walk
 
 
-def _cut(m: int, block: int):
-    """Buckets large within the batch, in blocks of at most ``block`` ids."""
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("bucket", pa.int64()), ("ids", pa.list_(pa.int64()))])
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key, who = _table_keys(batch, m)
-            edges = _edges(key)
-            buckets, ids = [], []
-            for i, j in zip(edges[:-1][np.diff(edges) > block], edges[1:][np.diff(edges) > block]):
-                for at in range(i, j, block):
-                    buckets.append(int(key[i] & np.uint64((1 << 48) - 1)))
-                    ids.append(who[at : min(j, at + block)])
-            yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], schema=kind)
-
-    return walk
+def _meet(m: int, block: int):
+    """Pairs of the tables of one task, with the number of tables in which they meet; tables larger than ``block`` come out as rows."""
 
-
-def _meet(block: int):
-    """Pairs of one task's buckets; large or marked buckets come out as blocks."""
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        key = np.concatenate([_unpack(k, 6) for k in rows["keys"]])
-        who = np.concatenate([np.frombuffer(i, dtype="<i8") for i in rows["ids"]])
-        order = np.lexsort((who, key))
-        key, who = key[order], who[order]
-        edges = _edges(key)
+    def meet(sent: pd.DataFrame) -> pd.DataFrame:
+        rows = np.frombuffer(b"".join(sent["rows"]), dtype=_record(m))
+        order = np.argsort(rows["x"], kind="stable")
+        size = np.diff(_edges(rows["x"][order]))
+        rows = rows[order][np.repeat(size > 1, size)]
+        key, who = _table_keys(rows, m)
+        edges = _edges(key) if len(key) else np.zeros(1, dtype=np.int64)
         size, start = np.diff(edges), edges[:-1]
-        marked = who[start] == _MARK
         aa, bb = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for n in np.unique(size[(size > 1) & (size <= block) & ~marked]):
-            members = who[start[(size == n) & ~marked][:, None] + np.arange(n)]
+        for n in np.unique(size[(size > 1) & (size <= block)]):
+            members = who[start[size == n][:, None] + np.arange(n)]
             i, j = np.triu_indices(n, 1)
             aa.append(members[:, i].ravel())
             bb.append(members[:, j].ravel())
         a, b = np.concatenate(aa), np.concatenate(bb)
-        at = np.lexsort((b, a))  # the tables of this task in which a pair meets, counted
+        a, b = a[a != b], b[a != b]
+        at = np.lexsort((b, a))
         a, b = a[at], b[at]
         cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]])) if len(a) else np.zeros(1, dtype=np.int64)
-        pairs = np.stack([a[cut[:-1]], b[cut[:-1]]], axis=1)
-        out = pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "n": np.diff(cut), "bucket": pd.array([None] * len(pairs), dtype="Int64"), "ids": None})
-        blocks = []
-        for at, n in zip(start[marked | (size > block)], size[marked | (size > block)]):
-            own = who[at : at + n]
-            own = own[own != _MARK]
-            blocks += [(None, None, None, int(key[at]), own[i : i + block]) for i in range(0, len(own), block)]
-        return pd.concat([out, pd.DataFrame(blocks, columns=["a", "b", "n", "bucket", "ids"]).astype({"a": "Int64", "b": "Int64", "n": "Int64", "bucket": "Int64"})]) if blocks else out
+        out = pd.DataFrame({"a": a[cut[:-1]], "b": b[cut[:-1]], "n": np.diff(cut)}).astype("Int64")
+        large = np.repeat(size > block, size)
+        if large.any():
+            out = pd.concat([out, pd.DataFrame({"bucket": key[large].view(np.int64), "id": who[large]}).astype("Int64")])
+        return out.reindex(columns=["a", "b", "n", "bucket", "id"])
 
     return meet
 
 
-def candidates(keys: DataFrame, m: int, block: int = 256, rows_a_part: int = 1_000_000, least_tables: int = 2) -> DataFrame:
-    """Pairs ``a < b`` of ids that meet in ``least_tables`` tables; ``keys`` has ``id`` and ``keys`` (2 m sub-keys)."""
+def _expand(m: int, hot: np.ndarray):
+    """Table rows ``bucket, id`` of the hot sub-keys."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _records(batch, m) if batch.num_rows else np.zeros(0, dtype=_record(m))
+            key, who = _table_keys(rows[np.isin(rows["x"], hot)], m)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who)], schema=pa.schema([("bucket", pa.int64()), ("id", pa.int64())]))
+
+    return walk
+
+
+def _hot(keys: DataFrame, m: int, hot: int, share: int = 8, most: int = 500_000) -> np.ndarray:
+    """Sub-keys of the first collection that about ``hot`` documents or more hold, counted over all tasks.
+
+    Counted on every ``share``-th document by hash: this decides only which way a sub-key
+    goes, never a result.  At most the ``most`` most frequent come to the driver (4 MB).
+    """
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, n = np.unique(_records(batch, m)["x"], return_counts=True) if batch.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], schema=pa.schema([("x", pa.int64()), ("n", pa.int64())]))
+
+    some = keys.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).mapInArrow(firsts, "x long, n long")
+    found = some.groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") * share >= hot).orderBy(F.desc("n")).limit(most).collect()
+    return np.sort(np.array([r["x"] for r in found], dtype=np.int64).view(np.uint64))
+
+
+def blocks_of(rows: DataFrame, bucket: str, member: str, block: int) -> DataFrame:
+    """``bucket, no, of, ids``: the members of every bucket of two or more in ``of`` blocks of about ``block``, by hash."""
+    sizes = rows.groupBy(bucket).agg(F.count("*").alias("__n")).where("__n > 1").select(F.col(bucket).alias("__k"), F.ceil(F.col("__n") / block).cast("int").alias("of"))
+    cut = rows.join(sizes, F.col(bucket) == F.col("__k")).select(F.col(bucket).alias("bucket"), "of", F.pmod(F.xxhash64(member), F.col("of")).cast("int").alias("no"), F.col(member).alias("__m"))
+    return cut.groupBy("bucket", "of", "no").agg(F.collect_list("__m").alias("ids"))
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """``a < b`` of all members of a bucket: every pair of its blocks is met by a task of its own."""
+    each = blocks.select("bucket", "no", "ids", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
+    two = each.groupBy("bucket", F.least("no", "other").alias("lo"), F.greatest("no", "other").alias("hi")).agg(F.collect_list("ids").alias("ids")).where("lo = hi or size(ids) = 2")
+    u = two.select("lo", "hi", F.explode(F.element_at("ids", 1)).alias("u"), F.element_at("ids", -1).alias("v")).select("lo", "hi", "u", F.explode("v").alias("v"))
+    return u.where("u != v and (lo != hi or u < v)").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+
+
+def candidates(keys: DataFrame, m: int, block: int = 256, rows_a_part: int = 131_072, least_tables: int = 2, hot: int = 4_096) -> DataFrame:
+    """Pairs ``a < b`` of ids that meet in ``least_tables`` tables; ``keys`` has ``id`` and ``keys`` as :func:`sketch_udf` makes them."""
     keys = keys.select("id", "keys")
-    parts = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys.count() * m * m // rows_a_part, 1)
-    found = keys.mapInArrow(_spread(m, parts, block), _BLOBS).repartition(parts, "part").groupBy("part").applyInPandas(_meet(block), _FOUND)
-    with small_batches(keys.sparkSession):
-        found = stage(found, "met")
-    near = found.where("bucket is null").select("a", "b", "n")
-    # large buckets: every block against every block of the same bucket, and within itself
-    blocks = keys.mapInArrow(_cut(m, block), _BLOCKS).unionByName(found.where("bucket is not null").select("bucket", "ids"))
-    blocks = blocks.withColumn("no", F.xxhash64("ids"))
-    right = blocks.select("bucket", F.col("no").alias("no2"), F.col("ids").alias("ids2"))
-    both = blocks.join(right, "bucket").where("no <= no2").repartition(parts, "no", "no2")
-    pairs = both.select("bucket", F.explode("ids").alias("u"), "ids2").select("bucket", "u", F.explode("ids2").alias("v")).where("u != v")
-    pairs = pairs.select("bucket", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct().select("a", "b", F.lit(1).cast("long").alias("n"))
+    spark = keys.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() * m // rows_a_part, 1)
+    hot_keys = _hot(keys, m, hot)
+    met = keys.mapInArrow(_send(m, parts, hot_keys), _SENT).repartition(parts, "part").groupBy("part").applyInPandas(_meet(m, block), _MET)
+    met = stage(met, "met")
+    large = met.where("bucket is not null").select("bucket", "id")
+    if len(hot_keys):
+        large = large.unionByName(keys.mapInArrow(_expand(m, hot_keys), _TABLE_ROW))
+    pairs = block_pairs(blocks_of(stage(large, "large"), "bucket", "id", block)).select("a", "b", F.lit(1).cast("long").alias("n"))
+    near = met.where("bucket is null").select("a", "b", "n")
     return near.unionByName(pairs).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least_tables).select("a", "b")
 
 
 def sketched(df: DataFrame, key: str, text: str, n: int = 5, m: int = 9, width: int = 2, least_words: int = 20, prepare: Callable[[str], str] | None = None, whole: bool = False) -> DataFrame:
-    """``id, set_hash, keys, text`` of every document, staged; null but for the id where it is too short."""
+    """``id, set_hash, keys, signs, text`` of every document, staged; null but for the id where it is too short."""
     made = df.select(F.col(key).cast("long").alias("id"), sketch_udf(n, m, width, least_words, prepare, whole)(F.col(text)).alias("s")).select("id", "s.*")
     with small_batches(df.sparkSession):  # whole texts: many rows at once are much memory
         return stage(made, "sketches")
 
 
 def similar_pairs(sketches: DataFrame, n: int, m: int, threshold: float, block: int = 256) -> DataFrame:
-    """``a, b, similarity`` between representatives of equal sets; ``sketches`` as :func:`sketched` makes them."""
-    reps = sketches.where("set_hash is not null").groupBy("set_hash").agg(F.min("id").alias("id"))
-    own = stage(sketches.select("id", "set_hash", "keys").join(reps, ["id", "set_hash"], "left_semi").dropDuplicates(["id"]), "representatives")
-    with small_batches(sketches.sparkSession):  # m * m keys of every row at once
-        pairs = stage(candidates(own, m, block), "candidates")
-    # Texts travel once, by id, for both joins; of a pair, only the set of its first document travels on.
-    texts, packed = sketches.where("set_hash is not null").select("id", "text"), set_udf(n)
-    with_a = pairs.join(texts, pairs["a"] == texts["id"]).select("a", "b", packed("text").alias("sa"))
-    with_b = with_a.join(texts, with_a["b"] == texts["id"]).select("a", "b", "sa", packed("text").alias("sb"))
-    return with_b.select("a", "b", _similarity("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold)
-
-
-def row_pairs(sketches: DataFrame, n: int, m: int, threshold: float) -> DataFrame:
+    """``a, b, similarity`` between different sets, named by their hash; ``sketches`` as :func:`sketched` makes them."""
+    spark = sketches.sparkSession
+    known = sketches.where("set_hash is not null")
+    own = stage(known.groupBy(F.col("set_hash").alias("id")).agg(F.first("keys").alias("keys"), F.first("signs").alias("signs")), "sets")
+    width = own.select(F.length("signs").alias("w")).first()
+    with small_batches(spark):
+        met = stage(candidates(own, m, block), "candidates")
+    # Pairs whose signs differ by far too much for the threshold need no verification.
+    signs = own.select("id", "signs")
+    near = met.join(signs.select(F.col("id").alias("a"), F.col("signs").alias("sa")), "a").join(signs.select(F.col("id").alias("b"), F.col("signs").alias("sb")), "b")
+    near = stage(near.where(_agreeing("sa", "sb") >= least_agreeing(width["w"] if width else 0, threshold)).select("a", "b"), "near")
+    # One text of every set that stands in a pair is shingled, once; the sets travel to their pairs.
+    wanted = near.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
+    texts = known.join(wanted, "set_hash", "left_semi").groupBy("set_hash").agg(F.first("text").alias("text"))
+    with small_batches(spark):
+        sets = stage(texts.select("set_hash", set_udf(n)("text").alias("set")), "whole-sets")
+    both = near.join(sets.select(F.col("set_hash").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("set_hash").alias("b"), F.col("set").alias("sb")), "b")
+    return both.select("a", "b", _similarity("sa", "sb").alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def row_pairs(sketches: DataFrame, n: int, m: int, threshold: float, block: int = 256) -> DataFrame:
     """Every pair of rows ``a < b`` whose sets are at least ``threshold`` alike, copies included."""
     with small_batches(sketches.sparkSession):
-        links = stage(similar_pairs(sketches, n, m, threshold), "links")
-    member = sketches.where("set_hash is not null").select("id", "set_hash")
-    rep = member.groupBy("set_hash").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    member = member.join(rep, "set_hash").select("id", "rep", "n")
-    # copies: pairs inside a group, made block against block so that no task holds a whole group
-    many = member.where("n > 1").select("rep", "id")
-    copies = many.select("rep", F.col("id").alias("a")).join(many.select("rep", F.col("id").alias("b")), "rep").where("a < b").select("a", "b")
-    across = links.join(member.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(member.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b")
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b")
+        links = stage(similar_pairs(sketches, n, m, threshold).select("a", "b"), "links")
+    member = sketches.where("set_hash is not null").select("set_hash", "id").distinct()
+    copies = block_pairs(blocks_of(member, "set_hash", "id", block))
+    # the rows of either set in blocks, so that no task expands a large group by itself
+    sizes = member.groupBy("set_hash").agg(F.ceil(F.count("*") / block).cast("int").alias("of"))
+    packs = member.join(sizes, "set_hash").groupBy("set_hash", F.pmod(F.xxhash64("id"), F.col("of")).alias("no")).agg(F.collect_list("id").alias("ids"))
+    packs = stage(packs.select("set_hash", "ids"), "packs")
+    across = links.join(packs.select(F.col("set_hash").alias("a"), F.col("ids").alias("x")), "a").join(packs.select(F.col("set_hash").alias("b"), F.col("ids").alias("y")), "b")
+    across = across.select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    across = across.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     return copies.unionByName(across).distinct()
 
 
@@ -357,12 +425,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classes(sketches: DataFrame, n: int, m: int, threshold: float) -> DataFrame:
-    """``id, class_id, links``: one row per document; class = connected documents, links = similar other representatives."""
+    """``id, class_id, links``: one row per document; class = the least id of connected documents, links = similar other sets."""
     with small_batches(sketches.sparkSession):
         links = stage(similar_pairs(sketches, n, m, threshold).select("a", "b"), "links")
-    member = sketches.groupBy("set_hash").agg(F.min("id").alias("rep")).where("set_hash is not null")
-    own = sketches.select("id", "set_hash").join(member, "set_hash", "left").select("id", F.coalesce("rep", "id").alias("rep"))
-    label = components(links).select(F.col("u").alias("rep"), F.col("v").alias("c"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
-    out = own.join(label, "rep", "left").join(degree, "rep", "left")
-    return out.select("id", F.coalesce("c", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    label = components(links).select(F.col("u").alias("set_hash"), F.col("v").alias("__c"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("set_hash")).groupBy("set_hash").agg(F.count("*").alias("links"))
+    least = sketches.where("set_hash is not null").groupBy("set_hash").agg(F.min("id").alias("__id"))
+    sets = stage(least.join(label, "set_hash", "left").join(degree, "set_hash", "left").select("set_hash", "__id", F.coalesce("__c", "set_hash").alias("__c"), "links"), "labels")
+    named = sets.join(sets.groupBy("__c").agg(F.min("__id").alias("class_id")), "__c").select("set_hash", "class_id", "links")
+    out = sketches.select("id", "set_hash").join(named, "set_hash", "left")
+    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))

@@ -78,6 +78,21 @@ def test_hot_buckets_lose_no_pair(spark):
         assert {tuple(r) for r in pairs.collect()} == set(itertools.combinations(range(60), 2))
 
 
+def test_hot_sub_keys_lose_no_pair(spark):
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*base, f"x{rng.random()}"]) for _ in range(70)] + _texts()
+    sk = neardup.sketched(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5), "id", "text", n=3)
+    plain = {tuple(r) for r in neardup.candidates(sk.select("id", "keys"), 9).collect()}
+    assert {tuple(r) for r in neardup.candidates(sk.select("id", "keys"), 9, block=8, hot=16).collect()} == plain >= set(itertools.combinations(range(70), 2))
+
+
+def test_repeated_ids_are_documents_of_their_own_text(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    sk = neardup.sketched(spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (3, b)], "id long, text string"), "id", "text", n=3)
+    assert {tuple(r) for r in neardup.row_pairs(sk, 3, 9, 0.5).collect()} == {(1, 2), (1, 3)}
+
+
 def test_copies(spark):
     text = " ".join(f"w{i}" for i in range(30))
     sk = neardup.sketched(spark.createDataFrame([(i, text) for i in range(5)], "id long, text string"), "id", "text", n=3)
@@ -180,4 +195,4 @@ def test_sub_keys_do_not_depend_on_the_batch():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 2**63, 50, dtype=np.uint64)) for _ in range(9)]
     seeds = neardup._seeds(36)
-    assert (neardup.sub_keys(sets, seeds, 2) == np.concatenate([neardup.sub_keys([s], seeds, 2, chunk=7) for s in sets])).all()
+    assert (neardup.minhashes(sets, seeds) == np.concatenate([neardup.minhashes([s], seeds, chunk=7) for s in sets])).all()
