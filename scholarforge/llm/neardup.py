@@ -2,23 +2,24 @@
 
 Documents are sets of hashed word n-grams.  Exact copies (equal sets) are grouped
 first and one of each group, its representative, goes on.  Two small collections of
-``m`` sub-keys each are made of ``width`` minhashes; a table's key combines one
-sub-key of either collection, so ``m * m`` tables need only ``2 * m * width``
+``m`` and ``2 m`` sub-keys are made of ``width`` minhashes each; a table's key combines one
+sub-key of either collection, so ``2 m * m`` tables need only ``3 * m * width``
 minhashes.  Pairs that share a key are candidates, and every candidate is verified
 on the whole sets.
 
-A pair of similarity s agrees in i sub-keys of the one and j of the other collection,
-both binomial with m and s^width, and meets in i * j tables; it is a candidate if it
-meets in two.  With m = 16 and width = 2 that has a probability of 0.977 at 0.5, 0.998
-at 0.6, 0.99995 at 0.7; unrelated pairs of similarity 0.05 one of 6e-5.
+A pair of similarity s agrees in i sub-keys of the one collection (m of them) and in j of
+the other (2 m), both binomial with s^width, and meets in i * j tables; it is a candidate
+if it meets in three tables of one sub-key of the first and if neither the sizes of the
+sets nor the minhashes of the second collection rule the threshold out (three deviations
+below the mean at the threshold).  With m = 16 and width = 2 a pair is found with a
+probability of 0.98 at 0.5, 0.999 at 0.6, 0.9999 at 0.7.
 
-Only the m sub-keys of the first collection are exchanged, each with all m of the second
+Only the m sub-keys of the first collection are exchanged, each with all of the second
 beside it; the tables are formed where documents with an equal first sub-key meet, so
 that the exchange grows with m and not with m * m.  No bucket is capped: first sub-keys
-that very many documents hold are exchanged by the whole key of their tables, and a table
-that is still large is cut into blocks by hash, every pair of blocks being a task's row.
-Candidates whose minhashes agree in far too few places (four deviations below the mean of
-a pair at the threshold) are put aside; all others are verified on their whole sets.
+that very many documents hold are exchanged by the whole key of their tables, and tables
+are cut into blocks by hash, every pair of blocks being a task's row.  Every candidate is
+verified on its whole sets.
 
 Defined results: documents with fewer than ``least_words`` words (or than n words)
 belong to no pair and to a class of their own, but with ``whole`` equal texts of fewer than
@@ -29,13 +30,12 @@ results; whole texts are used.
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,7 +43,6 @@ from pyspark.sql import types as T
 
 from scholarforge.runtime import small_batches, stage
 
-_TOKEN = re.compile(r"\w+")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -54,32 +53,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Shingler:
-    """Hashed word n-grams of texts; remembers the hashes of words it has met."""
-
-    def __init__(self, n: int, remember: int = 100_000) -> None:
-        self.n, self.remember, self.known = n, remember, {}
-
-    def __call__(self, text: str) -> tuple[np.ndarray, int]:
-        """The sorted distinct hashes of all n-grams, and the number of words."""
-        words = _TOKEN.findall(text.lower())
-        if len(words) < self.n:
-            return np.zeros(0, dtype=np.uint64), len(words)
-        known = self.known
-        if len(known) > self.remember:
-            known.clear()
-        try:
-            ids = [known[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh64_intdigest(w)
-            ids = [known[w] for w in words]
-        h = np.array(ids, dtype=np.uint64)
-        out = h[: len(h) - self.n + 1].copy()
-        for k in range(1, self.n):
-            out = _mix(out * _A + h[k : len(h) - self.n + 1 + k] + _B)
-        return np.unique(out), len(words)
+def shingles(texts: list[str | None], n: int, whole: bool = False) -> tuple[list[np.ndarray], np.ndarray]:
+    """The sorted distinct hashes of all word n-grams of every text, and its number of words; words are cut by Arrow.
+
+    ``whole``: a text of fewer than ``n`` words is one hash, that of all its words (no words: of its signs).
+    """
+    plain = pc.replace_substring_regex(pc.utf8_lower(pa.array([t or "" for t in texts], pa.large_string())), pattern=r"[^\pL\pN_]+", replacement=" ")
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(plain))
+    flat = parts.flatten().dictionary_encode()
+    words = flat.dictionary.to_pylist()
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)[flat.indices.to_numpy(zero_copy_only=False)]
+    counts = np.array(pc.list_value_length(parts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    counts[pc.equal(pc.binary_length(plain), 0).to_numpy(zero_copy_only=False) | pc.equal(plain, " ").to_numpy(zero_copy_only=False)] = -1
+    grams = hashes[: max(0, len(hashes) - n + 1)].copy()
+    for k in range(1, n):
+        grams = _mix(grams * _A + hashes[k : len(grams) + k] + _B)
+    sets, at = [], 0
+    for i, c in enumerate(counts):
+        size = max(int(c), 0)
+        if size >= n:
+            own = np.sort(grams[at : at + size - n + 1])
+            sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        elif whole and texts[i] and texts[i].strip():
+            said = _mix(hashes[at : at + size] + np.arange(1, size + 1, dtype=np.uint64) * _A).sum(dtype=np.uint64, keepdims=True) if size else np.array([xxhash.xxh64_intdigest(texts[i].strip())], dtype=np.uint64)
+            sets.append(_mix(said * _B + np.uint64(size)))
+        else:
+            sets.append(np.zeros(0, dtype=np.uint64))
+        at += 1 if c < 0 else size  # an empty text is one empty word
+    counts[counts < 0] = 0
+    return sets, counts
 
 
 def _seeds(count: int) -> np.ndarray:
@@ -112,43 +114,35 @@ def sub_keys(least: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-SKETCH = T.StructType([T.StructField("set_hash", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("signs", T.BinaryType()), T.StructField("text", T.StringType())])
+SKETCH = T.StructType([T.StructField("set_hash", T.LongType()), T.StructField("keys", T.BinaryType()), T.StructField("text", T.StringType())])
+#: Sub-keys of the second collection for each of the first; a pair must meet in LEAST_TABLES tables of one first sub-key.
+SECOND, LEAST_TABLES = 2, 3
 
 
 def sketch_udf(n: int, m: int, width: int, least_words: int, prepare: Callable[[str], str] | None = None, whole: bool = False):
-    """``text -> (set_hash, keys, signs, prepared text)``, null for texts with fewer words than ``least_words``.
+    """``text -> (set_hash, keys, prepared text)``, null for texts with fewer words than ``least_words``.
 
-    ``keys``: m sub-keys of 8 bytes and m of 3 bytes; ``signs``: one byte of every minhash.
+    ``keys``: m sub-keys of 8 bytes, one byte of each minhash of SECOND * m others, and the size of the set.
     ``whole``: texts of fewer than ``n`` words are sets of one hash, that of all their words.
     """
 
     @F.pandas_udf(SKETCH)
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        shingler, seeds = Shingler(n), _seeds(2 * m * width)
+        seeds = _seeds((1 + SECOND) * m * width)
         for texts in batches:
             own = [prepare(t) if prepare and t else t for t in texts]
-            rows: list[tuple] = [(None, None, None, None)] * len(own)
-            sets, places = [], []
-            for i, text in enumerate(own):
-                if text:
-                    found, count = shingler(text)
-                    if whole and count < n and text.strip():
-                        said = " ".join(_TOKEN.findall(text.lower())) or text.strip()
-                        found = _mix(np.array([xxhash.xxh64_intdigest(said)], dtype=np.uint64))
-                    elif count < max(least_words, n):
-                        found = None
-                    if found is not None:
-                        sets.append(found)
-                        places.append(i)
-            if sets:
+            rows: list[tuple] = [(None, None, None)] * len(own)
+            found, counts = shingles(own, n, whole)
+            places = [i for i, c in enumerate(counts) if len(found[i]) and (c >= max(least_words, n) or whole and c < n)]
+            if places:
+                sets = [found[i] for i in places]
                 least = minhashes(sets, seeds)
-                sub = sub_keys(least, width)
-                first = np.ascontiguousarray(sub[:, :m]).view(np.uint8)
-                second = np.ascontiguousarray(sub[:, m:]).view(np.uint8).reshape(len(sets), m, 8)[:, :, :3].reshape(len(sets), -1)
-                keys, signs = np.concatenate([first, second], axis=1), _mix(least).astype(np.uint8)
-                for i, found, k, s in zip(places, sets, keys, signs):
-                    rows[i] = (xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63), k.tobytes(), s.tobytes(), own[i])
-            yield pd.DataFrame(rows, columns=["set_hash", "keys", "signs", "text"])
+                first = sub_keys(least[:, : m * width], width).view(np.uint8)
+                second = _mix(least[:, m * width :]).astype(np.uint8)
+                sizes = np.array([len(x) for x in sets], dtype="<u4")[:, None].view(np.uint8)
+                for i, own_set, k in zip(places, sets, np.concatenate([first, second, sizes], axis=1)):
+                    rows[i] = (xxhash.xxh64_intdigest(own_set.tobytes()) - (1 << 63), k.tobytes(), own[i])
+            yield pd.DataFrame(rows, columns=["set_hash", "keys", "text"])
 
     return sketch
 
@@ -174,22 +168,13 @@ def jaccard(a: bytes, b: bytes) -> float:
     return shared / max(1, len(x) + len(y) - shared)
 
 
-def _whole_set(shingler: Shingler, text: str, n: int) -> bytes:
-    """The set of a text that has been sketched, 40 bits a hash; one of fewer than ``n`` words is the set of all its words."""
-    found, count = shingler(text)
-    if count < n:
-        found = np.array([xxhash.xxh64_intdigest(" ".join(_TOKEN.findall(text.lower())) or text.strip())], dtype=np.uint64)
-    return _pack(found >> np.uint64(24))
-
-
 def set_udf(n: int):
-    """``text -> packed set``: the distinct n-gram hashes, which tell the n-grams of a pair apart."""
+    """``text -> packed set``: the distinct n-gram hashes, 40 bits each, which tell the n-grams of a pair apart."""
 
     @F.pandas_udf(T.BinaryType())
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shingler = Shingler(n)
         for texts in batches:
-            yield pd.Series([_whole_set(shingler, t, n) for t in texts], dtype=object)
+            yield pd.Series([_pack(x >> np.uint64(24)) for x in shingles(list(texts), n, whole=True)[0]], dtype=object)
 
     return packed
 
@@ -199,54 +184,47 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([jaccard(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf(T.IntegerType())
-def _agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
-    if not len(a):
-        return pd.Series([], dtype="int32")
-    x, y = (np.frombuffer(b"".join(s), dtype=np.uint8).reshape(len(s), -1) for s in (a, b))
-    return pd.Series((x == y).sum(axis=1).astype("int32"))
-
-
-def least_agreeing(minhashes: int, threshold: float) -> int:
-    """Signs in which a pair at the threshold agrees but for once in some 50,000 pairs: four deviations below the mean."""
-    return max(0, math.ceil(minhashes * threshold - 4 * math.sqrt(minhashes * threshold * (1 - threshold))))
-
-
 _SENT = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("rows", T.BinaryType())])
-_TABLE_ROW = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("id", T.LongType())])
-_MET = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("n", T.LongType()), *_TABLE_ROW.fields])
+_PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def _record(m: int) -> np.dtype:
-    """What a document sends for one sub-key of the first collection: the sub-key, its id, all sub-keys of the second."""
-    return np.dtype([("x", "<u8"), ("id", "<i8"), ("y", "u1", (3 * m,))])
+def _record(m: int, width: int) -> np.dtype:
+    """What a document sends for one sub-key of the first collection: it, the id, the size, all sub-keys of the second."""
+    return np.dtype([("x", "<u8"), ("id", "<i8"), ("size", "<u4"), ("y", "u1", (SECOND * m, width))])
 
 
-def _records(batch: pa.RecordBatch, m: int) -> np.ndarray:
+def _records(batch: pa.RecordBatch, m: int, width: int) -> np.ndarray:
     ids = batch.column(0).to_numpy(zero_copy_only=False)
-    raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(len(ids), 11 * m)
-    out = np.empty((len(ids), m), dtype=_record(m))
+    raw = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(len(ids), 8 * m + SECOND * m * width + 4)
+    out = np.empty((len(ids), m), dtype=_record(m, width))
     out["x"] = np.ascontiguousarray(raw[:, : 8 * m]).view("<u8")
     out["id"] = ids[:, None]
-    out["y"] = raw[:, None, 8 * m :]
+    out["size"] = np.ascontiguousarray(raw[:, -4:]).view("<u4")
+    out["y"] = raw[:, 8 * m : -4].reshape(len(ids), 1, SECOND * m, width)
     return out.reshape(-1)
 
 
-def _table_keys(rows: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of the tables that the rows stand in, sorted, and their ids."""
-    y = np.zeros((len(rows), m, 4), dtype=np.uint8)
-    y[:, :, :3] = rows["y"].reshape(len(rows), m, 3)
-    second = y.view("<u4")[:, :, 0].astype(np.uint64) | (np.arange(m, dtype=np.uint64) << np.uint64(24))
-    key, who = _mix(rows["x"][:, None] * _A + second).ravel(), np.repeat(rows["id"], m)
-    order = np.lexsort((who, key))
-    return key[order], who[order]
+def _second(rows: np.ndarray) -> np.ndarray:
+    """Rows x sub-keys of the second collection."""
+    y = rows["y"]
+    out = np.zeros(y.shape[:2], dtype=np.uint16 if y.shape[2] <= 2 else np.uint64)
+    for k in range(y.shape[2]):
+        out = (out << out.dtype.type(8)) | y[:, :, k]
+    return out
+
+
+def _table_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the tables that the rows stand in, and their ids."""
+    tables = rows["y"].shape[1]
+    key = _second(rows).astype(np.uint64) * np.uint64(tables) + np.arange(tables, dtype=np.uint64)
+    return _mix(rows["x"][:, None] * _A + key).ravel(), np.repeat(rows["id"], tables)
 
 
 def _edges(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
 
 
-def _send(m: int, parts: int, hot: np.ndarray):
+def _send(m: int, width: int, parts: int, hot: np.ndarray):
     """Rows packed by the task that will meet them; rows of hot sub-keys go another way."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +232,7 @@ def _send(m: int, parts: int, hot: np.ndarray):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _records(batch, m)
+            rows = _records(batch, m, width)
             if len(hot):
                 rows = rows[~np.isin(rows["x"], hot)]
             to = ((rows["x"] >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int64)
@@ -266,50 +244,67 @@ def _send(m: int, parts: int, hot: np.ndarray):
     return walk
 
 
-def _meet(m: int, block: int):
-    """Pairs of the tables of one task, with the number of tables in which they meet; tables larger than ``block`` come out as rows."""
+def _alike(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the sizes of the sets and all minhashes of the second collection let a pair reach the threshold."""
+    same = (left["y"] == right["y"]).reshape(len(left), left["y"].shape[1] * left["y"].shape[2])
+    hashes = same.shape[1]
+    enough = hashes * threshold - 3 * np.sqrt(hashes * threshold * (1 - threshold))  # three deviations below the mean at the threshold
+    return (np.minimum(left["size"], right["size"]) >= threshold * np.maximum(left["size"], right["size"])) & (same.sum(axis=1) >= enough)
+
+
+def _meet(m: int, width: int, least: int, threshold: float, tile: int = 256):
+    """Pairs of one task that share a first sub-key and ``least`` second ones and are alike; large groups are met tile by tile."""
 
     def meet(sent: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(sent["rows"]), dtype=_record(m))
-        order = np.argsort(rows["x"], kind="stable")
-        size = np.diff(_edges(rows["x"][order]))
-        rows = rows[order][np.repeat(size > 1, size)]
-        key, who = _table_keys(rows, m)
-        edges = _edges(key) if len(key) else np.zeros(1, dtype=np.int64)
+        rows = np.frombuffer(b"".join(sent["rows"]), dtype=_record(m, width))
+        rows = rows[np.argsort(rows["x"], kind="stable")]
+        second = _second(rows)
+        edges = _edges(rows["x"]) if len(rows) else np.zeros(1, dtype=np.int64)
         size, start = np.diff(edges), edges[:-1]
-        aa, bb = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for n in np.unique(size[(size > 1) & (size <= block)]):
-            members = who[start[size == n][:, None] + np.arange(n)]
+        found = [np.zeros((0, 2), dtype=np.int64)]
+
+        def keep(left: np.ndarray, right: np.ndarray) -> None:
+            a, b = rows[left], rows[right]
+            hit = _alike(a, b, threshold) & (a["id"] != b["id"])
+            found.append(np.stack([np.minimum(a["id"], b["id"])[hit], np.maximum(a["id"], b["id"])[hit]], axis=1))
+
+        for n in np.unique(size[(size > 1) & (size <= 32)]):
             i, j = np.triu_indices(n, 1)
-            aa.append(members[:, i].ravel())
-            bb.append(members[:, j].ravel())
-        a, b = np.concatenate(aa), np.concatenate(bb)
-        a, b = a[a != b], b[a != b]
-        at = np.lexsort((b, a))
-        a, b = a[at], b[at]
-        cut = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]), [True]])) if len(a) else np.zeros(1, dtype=np.int64)
-        out = pd.DataFrame({"a": a[cut[:-1]], "b": b[cut[:-1]], "n": np.diff(cut)}).astype("Int64")
-        large = np.repeat(size > block, size)
-        if large.any():
-            out = pd.concat([out, pd.DataFrame({"bucket": key[large].view(np.int64), "id": who[large]}).astype("Int64")])
-        return out.reindex(columns=["a", "b", "n", "bucket", "id"])
+            of_size, step = start[size == n], max(1, 100_000 // len(i))
+            for at in range(0, len(of_size), step):
+                left, right = (of_size[at : at + step, None] + i).ravel(), (of_size[at : at + step, None] + j).ravel()
+                hit = (second[left] == second[right]).sum(axis=1) >= least
+                keep(left[hit], right[hit])
+        for at, n in zip(start[size > 32], size[size > 32]):
+            for lo in range(at, at + n, tile):
+                a = second[lo : min(lo + tile, at + n)]
+                for hi in range(lo, at + n, tile):
+                    b = second[hi : min(hi + tile, at + n)]
+                    shared = np.zeros((len(a), len(b)), dtype=np.uint16)
+                    for k in range(a.shape[1]):
+                        shared += a[:, k, None] == b[None, :, k]
+                    left, right = np.nonzero(shared >= least)
+                    once = (left < right) if lo == hi else slice(None)
+                    keep(left[once] + lo, right[once] + hi)
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return meet
 
 
-def _expand(m: int, hot: np.ndarray):
+def _expand(m: int, width: int, hot: np.ndarray):
     """Table rows ``bucket, id`` of the hot sub-keys."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _records(batch, m) if batch.num_rows else np.zeros(0, dtype=_record(m))
-            key, who = _table_keys(rows[np.isin(rows["x"], hot)], m)
+            rows = _records(batch, m, width) if batch.num_rows else np.zeros(0, dtype=_record(m, width))
+            key, who = _table_rows(rows[np.isin(rows["x"], hot)])
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who)], schema=pa.schema([("bucket", pa.int64()), ("id", pa.int64())]))
 
     return walk
 
 
-def _hot(keys: DataFrame, m: int, hot: int, share: int = 8, most: int = 500_000) -> np.ndarray:
+def _hot(keys: DataFrame, m: int, width: int, hot: int, share: int = 8, most: int = 500_000) -> np.ndarray:
     """Sub-keys of the first collection that about ``hot`` documents or more hold, counted over all tasks.
 
     Counted on every ``share``-th document by hash: this decides only which way a sub-key
@@ -318,7 +313,7 @@ def _hot(keys: DataFrame, m: int, hot: int, share: int = 8, most: int = 500_000)
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, n = np.unique(_records(batch, m)["x"], return_counts=True) if batch.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            x, n = np.unique(_records(batch, m, width)["x"], return_counts=True) if batch.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(n.astype(np.int64))], schema=pa.schema([("x", pa.int64()), ("n", pa.int64())]))
 
     some = keys.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).mapInArrow(firsts, "x long, n long")
@@ -341,24 +336,22 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
     return u.where("u != v and (lo != hi or u < v)").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
 
-def candidates(keys: DataFrame, m: int, block: int = 256, rows_a_part: int = 131_072, least_tables: int = 2, hot: int = 4_096) -> DataFrame:
-    """Pairs ``a < b`` of ids that meet in ``least_tables`` tables; ``keys`` has ``id`` and ``keys`` as :func:`sketch_udf` makes them."""
+def candidates(keys: DataFrame, m: int, block: int = 256, threshold: float = 0.5, width: int = 2, rows_a_part: int = 131_072, least: int = LEAST_TABLES, hot: int = 4_096) -> DataFrame:
+    """Pairs ``a < b`` of ids that meet in ``least`` tables; ``keys`` has ``id`` and ``keys`` as :func:`sketch_udf` makes them."""
     keys = keys.select("id", "keys")
     spark = keys.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() * m // rows_a_part, 1)
-    hot_keys = _hot(keys, m, hot)
-    met = keys.mapInArrow(_send(m, parts, hot_keys), _SENT).repartition(parts, "part").groupBy("part").applyInPandas(_meet(m, block), _MET)
-    met = stage(met, "met")
-    large = met.where("bucket is not null").select("bucket", "id")
+    hot_keys = _hot(keys, m, width, hot)
+    near = keys.mapInArrow(_send(m, width, parts, hot_keys), _SENT).repartition(parts, "part").groupBy("part").applyInPandas(_meet(m, width, least, threshold), _PAIR)
     if len(hot_keys):
-        large = large.unionByName(keys.mapInArrow(_expand(m, hot_keys), _TABLE_ROW))
-    pairs = block_pairs(blocks_of(stage(large, "large"), "bucket", "id", block)).select("a", "b", F.lit(1).cast("long").alias("n"))
-    near = met.where("bucket is null").select("a", "b", "n")
-    return near.unionByName(pairs).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least_tables).select("a", "b")
+        large = stage(keys.mapInArrow(_expand(m, width, hot_keys), "bucket long, id long"), "large")
+        pairs = block_pairs(blocks_of(large, "bucket", "id", block)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        near = near.unionByName(pairs.select("a", "b"))
+    return near.distinct()
 
 
 def sketched(df: DataFrame, key: str, text: str, n: int = 5, m: int = 9, width: int = 2, least_words: int = 20, prepare: Callable[[str], str] | None = None, whole: bool = False) -> DataFrame:
-    """``id, set_hash, keys, signs, text`` of every document, staged; null but for the id where it is too short."""
+    """``id, set_hash, keys, text`` of every document, staged; null but for the id where it is too short."""
     made = df.select(F.col(key).cast("long").alias("id"), sketch_udf(n, m, width, least_words, prepare, whole)(F.col(text)).alias("s")).select("id", "s.*")
     with small_batches(df.sparkSession):  # whole texts: many rows at once are much memory
         return stage(made, "sketches")
@@ -368,14 +361,9 @@ def similar_pairs(sketches: DataFrame, n: int, m: int, threshold: float, block:
     """``a, b, similarity`` between different sets, named by their hash; ``sketches`` as :func:`sketched` makes them."""
     spark = sketches.sparkSession
     known = sketches.where("set_hash is not null")
-    own = stage(known.groupBy(F.col("set_hash").alias("id")).agg(F.first("keys").alias("keys"), F.first("signs").alias("signs")), "sets")
-    width = own.select(F.length("signs").alias("w")).first()
+    own = stage(known.groupBy(F.col("set_hash").alias("id")).agg(F.first("keys").alias("keys")), "sets")
     with small_batches(spark):
-        met = stage(candidates(own, m, block), "candidates")
-    # Pairs whose signs differ by far too much for the threshold need no verification.
-    signs = own.select("id", "signs")
-    near = met.join(signs.select(F.col("id").alias("a"), F.col("signs").alias("sa")), "a").join(signs.select(F.col("id").alias("b"), F.col("signs").alias("sb")), "b")
-    near = stage(near.where(_agreeing("sa", "sb") >= least_agreeing(width["w"] if width else 0, threshold)).select("a", "b"), "near")
+        near = stage(candidates(own, m, block, threshold), "candidates")
     # One text of every set that stands in a pair is shingled, once; the sets travel to their pairs.
     wanted = near.select(F.explode(F.array("a", "b")).alias("set_hash")).distinct()
     texts = known.join(wanted, "set_hash", "left_semi").groupBy("set_hash").agg(F.first("text").alias("text"))

@@ -84,7 +84,7 @@ def test_hot_sub_keys_lose_no_pair(spark):
     texts = [" ".join([*base, f"x{rng.random()}"]) for _ in range(70)] + _texts()
     sk = neardup.sketched(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5), "id", "text", n=3)
     plain = {tuple(r) for r in neardup.candidates(sk.select("id", "keys"), 9).collect()}
-    assert {tuple(r) for r in neardup.candidates(sk.select("id", "keys"), 9, block=8, hot=16).collect()} == plain >= set(itertools.combinations(range(70), 2))
+    assert {tuple(r) for r in neardup.candidates(sk.select("id", "keys"), 9, block=8, hot=16).collect()} >= plain >= set(itertools.combinations(range(70), 2))
 
 
 def test_repeated_ids_are_documents_of_their_own_text(spark):
