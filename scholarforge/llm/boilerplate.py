@@ -9,10 +9,12 @@ and opens and closes the containers ``nav``, ``aside``, ``footer``, ``banner`` a
 container but ``main``; what stays keeps its order, blank lines, lists and table
 cells as they were.
 
-The elements a line implies come from a list of the usual wording of such
-furniture in four languages and from the shape of the line; words that head
-sections of a profile as well as menus are settled by their neighbours in the tree
-and, where these are silent, by the order of the site's own menus.
+The element a line implies comes from three sides: the collection itself - a wording
+that stands on a large share of the pages of one site and on few pages of all others is
+part of that site's structure (:func:`site_wording`), and is then known on every page -,
+a list of the usual wording of such furniture in four languages, and the shape of the
+line.  Words that head sections of a profile as well as menus, and wording learnt from
+sites, are settled by their neighbours in the tree.
 
 Defined results: a null page gives null, an empty page an empty one; blank lines
 are never furniture; whole pages are read, however long; repeated rows give the
@@ -25,10 +27,12 @@ import re
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scholarforge.runtime import stage
+
 # Entries of site menus.
 MENU = """
 home|people|our staff|about us|news|events|research|study|seminars|contact|library|graduate school|a–z index|vacancies|outreach|giving|alumni|facilities
@@ -75,7 +79,7 @@ _SEPARATORS = re.compile(r"[\t|/·•»›>�]|  ")
 
 
 def _is_footer(text: str) -> bool:
-    if _FOOT.match(text) or "all rights reserved" in text[-25:] or " estate is a smoke-free area" in text:
+    if _FOOT.match(text) or "all rights reserved" in text or " estate is a smoke-free area" in text:
         return True
     return text.rstrip(" .")[-4:].isdigit() and _UNIT.match(text) is not None
 
@@ -114,13 +118,17 @@ def _named(words: list[str]) -> bool:
     return len(words) > 1 and all(w[:1].isupper() for w in words)
 
 
+def _bar(text: str) -> str:
+    """``bar`` for a line of menu entries between separators."""
+    parts = [x for x in _SPLIT.split(text) if x]
+    return "bar" if len(parts) > 1 and sum(_is("menu", x) for x in parts) >= max(2, 0.6 * len(parts)) else ""
+
+
 def _implied(line: str) -> str:
-    """The element a line implies by itself."""
+    """The element a line implies by its wording and shape."""
     text = line.strip().lower()
     if not text:
         return ""
-    if len(text) > 220:
-        return "p"
     if "�" in text:
         text = re.sub("�+", "�", text)
     bullet = _BULLET.match(text)
@@ -148,11 +156,10 @@ def _implied(line: str) -> str:
             return "promo"
         if _is_footer(text):
             return "foot"
-        if first in "-–|" and len(text) < 2:
-            return "p"
-    parts = [x for x in _SPLIT.split(text) if x] if _SEPARATORS.search(text) else ()
-    if len(parts) > 1 and sum(_is("menu", x) for x in parts) >= max(2, 0.6 * len(parts)):
-        return "bar"
+        if first in "-–|" and len(text) < 2 or len(text) > 220:  # no list of links is that long without a separator
+            return "p" if len(text) < 2 or not _SEPARATORS.search(text) else _bar(text) or "p"
+    if bar := _SEPARATORS.search(text) and _bar(text):
+        return bar
     if bullet:
         return "li"
     words = text.split(" ")
@@ -163,17 +170,71 @@ def _implied(line: str) -> str:
 
 _short = lru_cache(maxsize=1 << 15)(_implied)
 
+
+def wording(line: str) -> str:
+    """A line as it is compared between pages: lower case, without a leading mark, digits as 0; the JVM's twin is in :func:`site_wording`."""
+    return re.sub(r"[0-9]+", "0", re.sub(r"^[•·▪‣◦*–»›-]\s+", "", line.strip(" \t").lower()))
+
+
+def _tag(line: str, learnt: dict[str, bool]) -> str:
+    """The element of a line; where its own wording says nothing, what the collection says of it."""
+    tag = _short(line) if len(line) < 90 else _implied(line)
+    if learnt and tag in ("p", "entry", "li", "h") and len(line) < _LONGEST and (firm := learnt.get(wording(line))) is not None and (firm or tag != "h"):
+        if len(line.split()) > 6:
+            return "foot" if firm else tag
+        return ("menu" if firm else "shared") + ("*" if tag == "li" else "")
+    return tag
+
+
+#: Lines of site furniture that are learnt have fewer characters.
+_LONGEST = 200
+
+
+def site_wording(df: DataFrame, site: Column, page: str, text: str, share: float = 0.0005, rate: float = 0.25, lift: float = 2.0, nats: float = 20.0, sites: int = 2) -> dict[str, bool]:
+    """Wording of lines that belongs to the structure of sites, and whether it belongs to nothing else.
+
+    A line counts if, on ``sites`` sites, it stands on the share ``rate`` of their different
+    pages at least (one site alone may hold many versions of one page; lines of more than
+    six words need ``2 * sites + 1``), ``lift`` times as often as on the pages of all other sites, and if
+    this is no chance (log-likelihood ratio over ``nats``).  It belongs to nothing else if
+    a quarter of the pages are on sites that never use it: what heads sections of pages is
+    met on every site now and then.  Only lines on the share ``share`` of all rows are
+    looked at, so at most (lines a page / ``share``) are, whatever the size of the
+    collection; all rows are counted, by hashes combined before the shuffle.
+    """
+    spark = df.sparkSession
+    pages = df.where(F.length(text) > 0).select(F.coalesce(site.cast("string"), F.lit("")).alias("site"), F.xxhash64(page).alias("page"), F.col(text).alias("t"))
+    said = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.col("l"), F.lit(" \t"))), r"^[•·▪‣◦*–»›-]\s+", ""), "[0-9]+", "0")
+    lines = pages.select("site", "page", F.explode(F.array_distinct(F.split("t", "\n"))).alias("l")).where((F.length("l") > 1) & (F.length("l") < _LONGEST)).select("site", "page", said.alias("l"))
+    all_pages = stage(pages.groupBy("site").agg(F.countDistinct("page").alias("n"), F.count("*").alias("rows")), "sites")
+    sums = all_pages.agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.sum(F.when(F.col("n") >= 20, F.col("n"))).alias("large")).first()
+    frequent = lines.where(F.col("l").rlike("[^0-9\\W_]{2}")).groupBy(F.xxhash64("l").alias("h")).agg(F.count("*").alias("c")).where(F.col("c") >= max(8.0, share * (sums["rows"] or 0)))
+    kept = [r["h"] for r in frequent.select("h").collect()]  # bounded, see above
+    if not kept:
+        return {}
+    wanted = F.broadcast(spark.createDataFrame(pd.DataFrame({"h": pd.Series(kept, dtype="int64")})))
+    by_site = lines.withColumn("h", F.xxhash64("l")).join(wanted, "h", "left_semi").groupBy("h", "site").agg(F.countDistinct("page").alias("c"), F.min("l").alias("l"))
+    each = stage(by_site.join(all_pages, "site"), "site-lines")
+    totals = each.groupBy("h").agg(F.sum("c").alias("all_c"), F.coalesce(F.sum(F.when(F.col("n") >= 20, F.col("n"))), F.lit(0)).alias("used"))
+    own = F.least(F.col("c") / F.col("n"), F.lit(0.999999))
+    other = F.greatest((F.col("all_c") - F.col("c") + 0.5) / (F.lit(float(sums["n"])) - F.col("n") + 1.0), F.lit(1e-9))
+    ratio = F.col("c") * F.log(own / other) + (F.col("n") - F.col("c")) * F.log((1 - own) / F.greatest(1 - other, F.lit(1e-9)))
+    found = each.join(totals, "h").where((F.col("n") < sums["n"]) & (own >= rate) & (own >= lift * other) & (ratio >= nats))
+    firm = F.col("used") <= 0.75 * (sums["large"] or 0)
+    return {r["l"]: r["firm"] for r in found.groupBy("l").agg(F.first(firm).alias("firm"), F.count("*").alias("sites")).where(F.col("sites") >= F.when(F.size(F.split("l", " ")) > 6, 2 * sites + 1).otherwise(sites)).collect()}
+
+
 HIDDEN = frozenset(("nav", "aside", "footer", "banner"))
 _HOLDER = {"tool": "nav", "crumb": "nav", "bar": "nav", "menu": "nav", "menu*": "nav", "notice": "banner", "promo": "aside", "aside": "aside", "foot": "footer"}
 
 
-def build(lines: list[str]) -> list[str]:
+def build(lines: list[str], learnt: dict[str, bool] | None = None) -> list[str]:
     """The container of every line: ``nav``, ``aside``, ``footer``, ``banner``, ``main`` or '' for a blank line.
 
     The builder keeps one open container below ``body``.  An implied element opens
     its container and closes any other; a blank line closes ``nav`` and ``aside``.
     """
-    tags = [_short(x) if len(x) < 90 else _implied(x) for x in lines]
+    tags = [_tag(x, learnt or {}) for x in lines]
     n = len(tags)
     out = [""] * n
     i = 0
@@ -219,39 +280,39 @@ def _looks_wrapped(lines: list[str], tags: list[str], i: int, broken: bool) -> b
     return not broken and len(lines[i]) > 30 and nxt[:1].islower() and tags[i + 1] == "p"
 
 
-def furniture(text: str | None) -> list[int]:
+def furniture(text: str | None, learnt: dict[str, bool] | None = None) -> list[int]:
     """Numbers, from 1, of the non-empty lines of ``text`` that belong to the site."""
     if not text:
         return []
-    return [k for k, hold in enumerate(build(text.split("\n")), 1) if hold in HIDDEN]
+    return [k for k, hold in enumerate(build(text.split("\n"), learnt), 1) if hold in HIDDEN]
 
 
-def main_lines(text: str) -> list[str]:
+def main_lines(text: str, learnt: dict[str, bool] | None = None) -> list[str]:
     """The lines of ``text`` that belong to the page's own content, blank ones included."""
     lines = text.split("\n")
-    return [x for x, hold in zip(lines, build(lines)) if hold not in HIDDEN]
+    return [x for x, hold in zip(lines, build(lines, learnt)) if hold not in HIDDEN]
 
 
-def own_text(text: str) -> str:
+def own_text(text: str, learnt: dict[str, bool] | None = None) -> str:
     """The page's own content as one text."""
-    return "\n".join(main_lines(text))
+    return "\n".join(main_lines(text, learnt))
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _furniture(text: pd.Series) -> pd.Series:
-    return text.map(furniture)
+def site_lines(df: DataFrame, key: str, text: str, learnt: dict[str, bool] | None = None) -> DataFrame:
+    """``key, line_no`` of every line that belongs to the site; ``learnt`` as :func:`site_wording` gives it."""
 
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def numbers(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: furniture(t, learnt))
 
-@F.pandas_udf(T.StringType())
-def _main(text: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else "\n".join(main_lines(t)) for t in text], dtype=object)
+    return df.where(F.length(text) > 0).select(key, F.explode(numbers(text)).alias("line_no"))
 
 
-def site_lines(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, line_no`` of every line that belongs to the site."""
-    return df.where(F.length(text) > 0).select(key, F.explode(_furniture(text)).alias("line_no"))
+def main_text(df: DataFrame, text: str, into: str | None = None, learnt: dict[str, bool] | None = None) -> DataFrame:
+    """``df`` with ``into`` (default: ``text`` itself) reduced to the page's own content."""
 
+    @F.pandas_udf(T.StringType())
+    def own(text: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else own_text(t, learnt) for t in text], dtype=object)
 
-def main_text(df: DataFrame, text: str, into: str | None = None) -> DataFrame:
-    """``df`` with ``into`` (default: ``text`` itself) reduced to the page's own content."""
-    return df.withColumn(into or text, _main(F.col(text)))
+    return df.withColumn(into or text, own(F.col(text)))

@@ -129,13 +129,19 @@ class LineModel:
             out += np.log(table[:, codes[:, f]]).T
         return out
 
-    def states(self, codes: list[np.ndarray], favour: np.ndarray | None = None, chunk: int = 1_000) -> list[np.ndarray]:
-        """Posterior of every state of every line, by forward-backward over many documents at once."""
+    def states(self, codes: list[np.ndarray], favour: np.ndarray | None = None, chunk: int = 60_000) -> list[np.ndarray]:
+        """Posterior of every state of every line, by forward-backward over many documents at once.
+
+        Documents of about equal length go together, as many as keep documents x longest
+        within ``chunk`` lines (one at least), so that memory follows the longest document only.
+        """
         out: list[np.ndarray] = [np.zeros((0, _STATES))] * len(codes)
-        # the longest first, so that fewer documents are left at every further line; few at a time, to bound memory
+        # the longest first, so that fewer documents are left at every further line
         order = [i for i in sorted(range(len(codes)), key=lambda i: -len(codes[i])) if len(codes[i])]
-        for at in range(0, len(order), chunk):
-            part = order[at : at + chunk]
+        at = 0
+        while at < len(order):
+            part = order[at : at + max(1, chunk // len(codes[order[at]]))]
+            at += len(part)
             sizes = np.array([len(codes[i]) for i in part])
             flat = self.log_likelihood(np.concatenate([codes[i] for i in part]))
             if favour is not None:

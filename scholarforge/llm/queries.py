@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +45,19 @@ def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repaired(df, "profile_id", "text_raw", _site()).select("profile_id", "text_raw")
 
 
+def _learnt(spark: SparkSession, sf_dir: str) -> dict[str, bool]:
+    """Wording of site furniture, learnt from all pages."""
+    return boilerplate.site_wording(_profiles(spark, sf_dir).select("profile_link", "text_raw"), _site(), "profile_link", "text_raw")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the page that belong to the site."""
-    return boilerplate.site_lines(_page_texts(spark, sf_dir), "profile_id", "text_raw")
+    return boilerplate.site_lines(_page_texts(spark, sf_dir), "profile_id", "text_raw", _learnt(spark, sf_dir))
 
 
 def p3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page's own content."""
-    return boilerplate.main_text(_page_texts(spark, sf_dir), "text_raw", "main_text").select("profile_id", "main_text")
+    return boilerplate.main_text(_page_texts(spark, sf_dir), "text_raw", "main_text", _learnt(spark, sf_dir)).select("profile_id", "main_text")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +95,7 @@ TABLES = 16
 
 def _page_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of three-word sequences of the main texts, as p5_found asks for."""
-    return neardup.sketched(_page_texts(spark, sf_dir), "profile_id", "text_raw", n=3, m=TABLES, width=2, least_words=20, prepare=boilerplate.own_text)
+    return neardup.sketched(_page_texts(spark, sf_dir), "profile_id", "text_raw", n=3, m=TABLES, width=2, least_words=20, prepare=partial(boilerplate.own_text, learnt=_learnt(spark, sf_dir)))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,13 +120,12 @@ MAX_LABELLED = 5_000
 
 
 def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _profiles(spark, sf_dir).select("profile_id", "profile_link", "text_raw").where(F.length("text_raw") > 0)
-    pages = _page_texts(spark, sf_dir)
+    pages, learnt = stage(_page_texts(spark, sf_dir), "pages"), _learnt(spark, sf_dir)
     labels = read_table(spark, sf_dir, "text_labels").where(F.col("text_kind").isin(*quality.KINDS))
     sample = labels.groupBy("profile_id").agg(F.min("text_kind").alias("text_kind")).orderBy(F.hash("profile_id"), "profile_id").limit(MAX_LABELLED)
-    labelled = df.join(F.broadcast(sample), "profile_id")  # at most MAX_LABELLED rows
-    model = quality.fit(boilerplate.main_text(labelled, "text_raw"), "text_raw", "text_kind", MAX_LABELLED)
-    return quality.describe(pages, "text_raw", model, prepare=boilerplate.own_text)
+    labelled = pages.join(F.broadcast(sample), "profile_id")  # at most MAX_LABELLED rows
+    model = quality.fit(boilerplate.main_text(labelled, "text_raw", learnt=learnt), "text_raw", "text_kind", MAX_LABELLED)
+    return quality.describe(pages, "text_raw", model, prepare=partial(boilerplate.own_text, learnt=learnt))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

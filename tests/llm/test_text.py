@@ -89,6 +89,27 @@ def test_site_lines_of_a_table(spark):
     assert boilerplate.site_lines(df.limit(0), "id", "text").count() == 0
 
 
+def test_long_notices_are_notices():
+    notice = "We use cookies " + "and similar small files " * 12 + "to remember your settings."
+    assert len(notice) > 220 and boilerplate.furniture(f"A text about rivers, floods and other things.\n{notice}") == [2]
+
+
+def test_wording_of_sites_is_learnt(spark):
+    menu = ["Campus shop", "Give to us", "Parents"]
+    rows = []
+    for site in range(6):
+        for page in range(40):
+            own = [f"Page {'abcdefghij'[page % 10]}{page} of site {site} tells of things.", "Biography", f"It goes on with word{site}x{page} and ends."]
+            rows.append((site, f"https://s{site}.example/{page}", "\n".join([*(menu if site < 2 else []), *own])))
+    df = spark.createDataFrame(rows, "site int, link string, text string")
+    learnt = boilerplate.site_wording(df, F.col("site"), "link", "text")
+    assert learnt == {"campus shop": True, "give to us": True, "parents": True}
+    assert boilerplate.furniture(rows[0][2]) == [] and boilerplate.furniture(rows[0][2], learnt) == [1, 2, 3]
+    assert boilerplate.site_lines(df, "link", "text", learnt).count() == 2 * 3 * 40
+    assert boilerplate.site_wording(df.limit(0), F.col("site"), "link", "text") == {}
+    assert boilerplate.site_wording(df.where("site = 0"), F.col("site"), "link", "text") == {}
+
+
 def _plain(text, counts=None):
     reps = {m: r for m, r in confusables.representatives(counts or {"e": 9, "o": 9, "P": 9, " ": 9}).items() if not m.isascii()}
     return confusables.Rewriter(reps)(text)
