@@ -13,6 +13,7 @@ ASSOCIATE = r"(associate|(assoc\.?)) prof[\.]?[ ]?"
 ASSISTANT = r"(assistant|(asst\.?)) prof[\.]?[ ]?"
 PROFESSOR = r"prof\.|professor"
 INSTITUTION = r"[A-Za-z ]*(?:University|Institute|College)[A-Za-z ]*|[A-Z][A-Z]{2,4}"
+INSTITUTION_NAME = r"(?:[ ]?([A-Za-z ]*(?:University|Institute|College)[A-Za-z ]*)[ ]?|[A-Z][A-Z]{2,4})"
 YEAR_IN_LINK = r"/(?:19|20)[0-9]{2}/"
 REFERENCE = r"[A-Z][a-z]+(?:, |,| )[A-Z](?:\. |\.| ).*(?:19|20)[0-9]{2}"
 
@@ -63,6 +64,41 @@ def promotion_year(lines: Column) -> Column:
     return latest_year(key_line(kept, "professor"))
 
 
+def blocks(text: Column) -> Column:
+    """Groups of lines that stand together, between blank lines; blank ones left out."""
+    groups = F.transform(F.split(text, r"\n[ \t]*\n"), lambda g: F.filter(F.split(g, "\n"), lambda x: F.trim(x) != ""))
+    return F.filter(groups, lambda g: F.size(g) > 0)
+
+
+def _first_with(groups: list[Column], facet: str) -> Column:
+    """The first piece with the facet, an institution and a year: of single lines first, then of whole groups joined by commas."""
+    has = lambda x: F.lower(x).rlike(facet) & x.rlike(INSTITUTION) & x.rlike(YEAR)
+    lines = F.concat(*[F.flatten(g) for g in groups])
+    joined = F.concat(*[F.transform(g, lambda x: F.array_join(x, ", ")) for g in groups])
+    return F.coalesce(F.get(F.filter(lines, has), 0), F.get(F.filter(joined, has), 0))
+
+
+def _dated(groups: Column) -> Column:
+    """Groups with a year that is no part of a link."""
+    return F.filter(groups, lambda g: F.exists(g, lambda x: x.rlike(YEAR)) & ~F.exists(g, lambda x: x.rlike(YEAR_IN_LINK)))
+
+
+def key_info(text: Column) -> tuple[Column, Column, Column]:
+    """PhD year, PhD school and promotion year by the cascade over lines, then over groups of lines.
+
+    Groups about a PhD that name an institution come before groups about a PhD with a year;
+    without a group of the first kind nothing is said of the PhD.  School: ``Unknown`` for an acronym.
+    """
+    groups = blocks(text)
+    phd = F.filter(groups, lambda g: F.exists(g, lambda x: F.lower(x).rlike(PHD)))
+    placed = F.filter(phd, lambda g: F.exists(g, lambda x: F.lower(x).rlike("university|institute|college") | x.rlike("(?i)[A-Z][A-Z]{2,4}")))
+    told = F.when(F.size(placed) > 0, _first_with([placed, _dated(phd)], PHD))
+    professor = _dated(F.filter(groups, lambda g: F.exists(g, lambda x: F.lower(x).contains("professor"))))
+    promoted = _first_with([professor], "professor")
+    school = F.trim(F.regexp_extract(told, INSTITUTION_NAME, 1))
+    return latest_year(told), F.when(F.coalesce(school, F.lit("")) == "", "Unknown").otherwise(school), latest_year(promoted)
+
+
 def main_lines(lines: Column) -> Column:
     """Lines of at least 20 words that are neither references nor about a PhD."""
     return F.array_distinct(F.filter(lines, lambda x: (F.size(F.split(x, " ")) >= 20) & ~x.rlike(REFERENCE) & ~F.lower(x).rlike(PHD)))
@@ -113,7 +149,7 @@ _RUN = r"(?U)\p{Lu}[\p{L}.’'-]*(?: (?:(?:of|for|and|the|de|du|von) )*\p{Lu}[\p
 def named_entities(c: Column, organisations: bool = True, only_organisations: bool = False) -> Column:
     """Runs of words with a capital, by rule where no model is given (M11); those with a filter word left out."""
     runs = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(_RUN), F.lit(0))
-    if only_organisations:
+    if only_organisations:  # names of schools hold filter words themselves, so these are not applied here
         return F.filter(runs, lambda x: x.rlike(ORGANISATION))
     kept = F.filter(runs, lambda x: ~contains_any(x, NO_ENTITY))
     return kept if organisations else F.filter(kept, lambda x: ~x.rlike(ORGANISATION))

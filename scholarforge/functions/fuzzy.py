@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +91,14 @@ def weighted(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([weighted_ratio(x, y) if x is not None and y is not None else None for x, y in zip(a, b)], dtype="Int32")
 
 
+def choices(listed: DataFrame, name: str, most: int = 5_000) -> list[str]:
+    """The names of a reference list, in order; raises if it has more than ``most`` entries."""
+    rows = listed.select(name).where(F.col(name).isNotNull()).distinct().orderBy(name).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the list has more than {most} entries")
+    return [r[0] for r in rows]
+
+
 def best_of(choices: list[str], least: float, score: str = "weighted"):
     """``value -> best choice`` of a bounded list, null below ``least`` (J3: weighted, 90; J4: sequence, 0.6)."""
     compare = weighted_ratio if score == "weighted" else ratio

@@ -14,8 +14,8 @@ from scholarforge.functions.fuzzy import ratio
 from scholarforge.runtime import stage
 
 # Phrases that links to departments and to people are compared with.
-DEPARTMENT_TARGETS = ["academic unit", "academics", "area of study", "department", "department of", "departments and programs", "faculty & department", "major", "major and minor", "school", "school & department", "school of"]
-PEOPLE_TARGETS = ["academic staff", "adjunct faculty", "courtesy faculty", "emeritus", "faculty", "faculty directory", "faculty list", "faculty people", "faculty profiles", "faculty staff", "our people", "people", "professors", "staff", "staff directory", "staff list", "teaching faculty", "teaching staff"]
+DEPARTMENT_TARGETS = ["area of study", "department", "department of", "school", "school of", "academic unit", "school & department", "major and minor", "major", "faculty & department", "academics", "departments and programs"]
+PEOPLE_TARGETS = ["academic staff", "faculty", "faculty staff", "faculty people", "faculty directory", "our people", "people", "teaching faculty", "courtesy faculty", "adjunct faculty", "professors", "staff list", "staff directory", "teaching staff", "emeritus", "faculty profiles", "faculty list", "staff"]
 # Thresholds of similarity, in general and where only people are wanted.
 GENERAL, PEOPLE_ONLY = 0.7, 0.85
 MODES = ("TEST", "PRIORITIZED", "SELECTED", "GENERIC", "PARTICULAR")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, Word2Vec
+from pyspark.ml.feature import HashingTF, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,18 +32,17 @@ def simple_tags(text: str) -> list[tuple[str, str]]:
     return out
 
 
+#: One letter for every part of speech that phrases are made of.
+_CODES = {"NOUN": "N", "PROPN": "P", "ADJ": "A"}
+#: A phrase in the codes of a text read backwards: its last word, the words before it, and the word that ends it.
+_PHRASE = re.compile("([NP][PA]*)[^PA]?")
+
+
 def noun_phrases(tagged: list[tuple[str, str]]) -> list[str]:
-    """Noun phrases from right to left; the word that stops a phrase is passed over (M2)."""
-    out, i = [], len(tagged) - 1
-    while i >= 0:
-        if tagged[i][1] in ("PROPN", "NOUN"):
-            j = i - 1
-            while j >= 0 and tagged[j][1] in ("PROPN", "ADJ"):
-                j -= 1
-            out.append(" ".join(w for w, _ in tagged[j + 1 : i + 1]))
-            i = j
-        i -= 1
-    return out
+    """Noun phrases, the last one first; the word before a phrase ends it and begins none itself (M2)."""
+    words, n = [w for w, _ in tagged], len(tagged)
+    backwards = "".join(_CODES.get(tag, "-") for _, tag in reversed(tagged))
+    return [" ".join(words[n - m.end(1) : n - m.start(1)]) for m in _PHRASE.finditer(backwards)]
 
 
 def phrases_udf(tagger: Callable[[str], list[tuple[str, str]]] = simple_tags):
@@ -73,45 +72,47 @@ def bigram_scores(df: DataFrame, sentences: str = "sentences", least: int = 5, t
     return scored.select("a", "b", ((F.col("n") - least) * F.col("v") / (F.col("na") * F.col("nb"))).alias("score")).where(F.col("score") > threshold)
 
 
-def joined_bigrams(df: DataFrame, scores: DataFrame, sentences: str = "sentences", into: str = "phrases", most: int = 200_000) -> DataFrame:
-    """Sentences with pairs of ``scores`` joined as ``a_b``, greedily from the left; the list must not exceed ``most``."""
-    rows = scores.select("a", "b").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} pairs: raise the threshold")
-    known = frozenset((r["a"], r["b"]) for r in rows)
+def joined_bigrams(df: DataFrame, key: str, scores: DataFrame, sentences: str = "sentences", into: str = "phrases") -> DataFrame:
+    """Sentences with pairs of ``scores`` joined as ``a_b``, greedily from the left; every text meets its own pairs by a join on them."""
+    steps = F.transform(F.filter(sentences, lambda s: F.size(s) > 1), lambda s: F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
+    own = df.select(key, F.explode(F.array_distinct(F.flatten(steps))).alias("p")).select(key, "p.a", "p.b")
+    known = own.join(scores.select("a", "b").distinct(), ["a", "b"]).groupBy(key).agg(F.collect_set(F.concat_ws("\t", "a", "b")).alias("__pairs"))
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
-    def join(batch: pd.Series) -> pd.Series:
-        def one(s: list[str]) -> list[str]:
-            out, i = [], 0
-            while i < len(s):
-                if i + 1 < len(s) and (s[i], s[i + 1]) in known:
-                    out.append(f"{s[i]}_{s[i + 1]}")
-                    i += 2
+    def join(batch: pd.Series, pairs: pd.Series) -> pd.Series:
+        def one(s: list[str], known: frozenset[str]) -> list[str]:
+            out: list[str] = []
+            open_end = False  # whether the last word may still be joined with the next
+            for w in s:
+                if open_end and f"{out[-1]}\t{w}" in known:
+                    out[-1], open_end = f"{out[-1]}_{w}", False
                 else:
-                    out.append(s[i])
-                    i += 1
+                    out.append(w)
+                    open_end = True
             return out
 
-        return batch.map(lambda sents: [one(list(s)) for s in sents] if sents is not None else None)
+        return pd.Series([None if b is None else [one(list(s), frozenset(() if p is None else p)) for s in b] for b, p in zip(batch, pairs)], dtype=object)
 
-    return df.withColumn(into, join(F.col(sentences)))
+    return df.join(known, key, "left").withColumn(into, join(F.col(sentences), F.col("__pairs"))).drop("__pairs")
 
 
-def topic_similarity(df: DataFrame, key: str, query: int, phrases: str = "phrases", topics: int = 25, seed: int = 124, rounds: int = 10, vocabulary: int = 50_000) -> DataFrame:
-    """``key, lda_score``: cosine of a document's topics with the query row's (M8, M9)."""
+def topic_similarity(df: DataFrame, key: str, query: int, phrases: str = "phrases", topics: int = 25, seed: int = 124, rounds: int = 10, features: int = 1 << 18) -> DataFrame:
+    """``key, lda_score``: cosine of a document's topics with the query row's (M8, M9); words are hashed, none is left out."""
     bags = df.select(key, F.flatten(phrases).alias("words"))
-    counts = CountVectorizer(inputCol="words", outputCol="counts", vocabSize=vocabulary).fit(bags.where(F.size("words") > 0)).transform(bags)
+    counts = stage(HashingTF(inputCol="words", outputCol="counts", numFeatures=features).transform(bags).select(key, "counts"), "bags")
     model = LDA(k=topics, optimizer="online", seed=seed, maxIter=rounds, featuresCol="counts").fit(counts)
     mixed = stage(model.transform(counts).select(key, vector_to_array("topicDistribution").alias("t")), "topics")
     asked = mixed.where(F.col(key) == query).select(F.col("t").alias("q"))
     return mixed.crossJoin(F.broadcast(asked)).select(key, cosine(F.col("t"), F.col("q")).alias("lda_score"))
 
 
-def embedding_similarity(df: DataFrame, key: str, query: int, phrases: str = "phrases", size: int = 50, rounds: int = 1, seed: int = 124) -> DataFrame:
-    """``key, word2vec_score``: highest cosine of mean sentence vectors with the query row's sentences, 0 at least."""
+def embedding_similarity(df: DataFrame, key: str, query: int, phrases: str = "phrases", size: int = 50, rounds: int = 1, seed: int = 124, least: int = 1) -> DataFrame:
+    """``key, word2vec_score``: highest cosine of mean sentence vectors with the query row's sentences, 0 at least.
+
+    Words met fewer than ``least`` times have no vector; raise it where the vocabulary would outgrow the driver.
+    """
     each = stage(df.select(key, F.explode(phrases).alias("words")), "sentences")
-    model = Word2Vec(vectorSize=size, minCount=1, maxIter=rounds, seed=seed, inputCol="words", outputCol="v").fit(each)
+    model = Word2Vec(vectorSize=size, minCount=least, maxIter=rounds, seed=seed, inputCol="words", outputCol="v").fit(each)
     vectors = stage(model.transform(each).select(key, vector_to_array("v").alias("v")), "vectors")
     asked = vectors.where(F.col(key) == query).agg(F.collect_list("v").alias("q"))  # the sentences of one text
     best = F.aggregate(F.transform("q", lambda q: F.coalesce(cosine(F.col("v"), q), F.lit(0.0))), F.lit(0.0), lambda a, x: F.greatest(a, x))
@@ -155,7 +156,7 @@ def research_scores(df: DataFrame, key: str, query: int, text: str = "text_raw",
     """``key, research_area_score`` from the three similarities (M10): mean of the two lowest, of the two highest, or of all."""
     clean = df.select(key, F.when(F.col(text) != "Unknown", F.coalesce(F.col(text), F.lit(""))).otherwise("").alias("t"))
     told = stage(sentence_tokens(clean, "t"), "tokens")
-    told = stage(joined_bigrams(told, bigram_scores(told)), "joined")
+    told = stage(joined_bigrams(told, key, bigram_scores(told)), "joined")
     scores = topic_similarity(told, key, query, topics=topics).join(phrase_similarity(clean, key, query, "t"), key).join(embedding_similarity(told, key, query), key)
     three = F.array("lda_score", "keyword_score", "word2vec_score")
     score = {"two_lowest": lowest_mean(three, 2), "two_highest": highest_mean(three, 2), "all": lowest_mean(three, 3)}[how]

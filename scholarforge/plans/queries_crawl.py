@@ -191,7 +191,7 @@ def e_promotions(spark, sf):
 
 def e_main_lines(spark, sf):
     """Lines of the main text."""
-    return _lines(spark, sf).select("profile_id", F.size(extract.main_lines(F.col("lines"))).alias("n"))
+    return _lines(spark, sf).select("profile_id", F.array_join(extract.main_lines(F.col("lines")), "\n").alias("main"))
 
 
 def e_resume_years(spark, sf):
@@ -227,19 +227,19 @@ def e_unique_lines(spark, sf):
     """Lines of a page that the crawl of the same link before it lacks."""
     df = _profiles(spark, sf).where("text_raw is not null").select("profile_id", "profile_link", F.split("text_raw", "\n").alias("lines"))
     before = F.lag("lines").over(Window.partitionBy("profile_link").orderBy("profile_id"))
-    return df.withColumn("b", F.coalesce(before, F.array().cast("array<string>"))).select("profile_id", F.size(F.array_except("lines", "b")).alias("n"))
+    return df.withColumn("b", F.coalesce(before, F.array().cast("array<string>"))).select("profile_id", F.array_join(F.array_except("lines", "b"), "\n").alias("own"))
 
 
 def e_neither(spark, sf):
     """Lines that are neither about assistants nor associates."""
     a = F.filter("lines", lambda x: ~F.lower(x).rlike(extract.ASSISTANT))
     b = F.filter("lines", lambda x: ~F.lower(x).rlike(extract.ASSOCIATE))
-    return _lines(spark, sf).select("profile_id", F.size(F.array_intersect(a, b)).alias("n"))
+    return _lines(spark, sf).select("profile_id", F.array_join(F.array_intersect(a, b), "\n").alias("neither"))
 
 
 def e_topic_words(spark, sf):
     """Words of the documents as topic models take them."""
-    return _documents(spark, sf).select("doc_id", F.size(X.cleaned_for_topics(F.regexp_replace("text", r"[^\x00-\x7f]", ""), ["the", "of", "and", "in", "to"])).alias("n"))
+    return _documents(spark, sf).select("doc_id", F.array_join(X.cleaned_for_topics(F.col("text"), research.STOP_WORDS), " ").alias("words"))
 
 
 def e_list_items(spark, sf):
@@ -249,13 +249,13 @@ def e_list_items(spark, sf):
 
 def e_bag(spark, sf):
     """Words of all documents by frequency."""
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     return _documents(spark, sf).select(words.alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 def e_bigrams(spark, sf):
     """Pairs of words that belong together (M5)."""
-    df = _documents(spark, sf).select(F.array(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("sentences"))
+    df = _documents(spark, sf).select(F.array(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("sentences"))
     return research.bigram_scores(df).select("a", "b", F.round("score", 6).alias("score"))
 
 
@@ -278,7 +278,7 @@ def e_rendered(spark, sf):
 
 def e_school_ratio(spark, sf):
     """Distinct schools with the closest university by sequence ratio."""
-    names = [r[0] for r in _universities(spark, sf).select("university").orderBy("university_id").limit(1000).collect()]  # the reference list
+    names = fuzzy.choices(_universities(spark, sf), "university")
     schools = _profiles(spark, sf).where("phd_school is not null").select("phd_school").distinct()
     return schools.select("phd_school", fuzzy.best_of(names, 0.6, "sequence")(F.col("phd_school")).alias("university"))
 
@@ -297,8 +297,8 @@ def e_entities(spark, sf):
 
 
 def e_names(spark, sf):
-    """Names resolved from titles and first lines."""
-    rows = _profiles(spark, sf).where("text_raw is not null").select("profile_id", F.coalesce("name", F.lit("")).alias("t"), F.slice(F.split("text_raw", "\n"), 1, 3).alias("h"))
+    """Names resolved from titles, else from the short lines of a page."""
+    rows = _profiles(spark, sf).where("text_raw is not null").select("profile_id", F.coalesce("name", F.lit("")).alias("t"), F.filter(F.split("text_raw", "\n"), lambda x: F.size(F.split(x, " ")) <= 6).alias("h"))
     return rows.select("profile_id", extract.resolved_name(F.col("t"), F.lit(""), F.col("h")).alias("name"))
 
 
@@ -323,39 +323,45 @@ def v_pair_max(spark, sf):
     return e.crossJoin(F.broadcast(asked)).select("vec_id", F.round(best, 5).alias("best"))
 
 
+def _three(spark, sf):
+    """Similarity of every vector with the first three."""
+    e = _embeddings(spark, sf)
+    asked = e.orderBy("vec_id").limit(3).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"]).alias("q"))
+    return e.crossJoin(F.broadcast(asked)).select("vec_id", *[F.round(vectors.cosine(F.col("embedding"), F.get("q", i)), 5).alias(f"s{i + 1}") for i in range(3)])
+
+
 def v_combined(spark, sf):
-    """Three scores combined: lowest two, highest two, all, and the mean of two."""
-    s = [F.round((F.col("profile_id") * k % 101) / 100.0, 6) for k in (37, 53, 71)]
+    """Three similarities combined: lowest two, highest two, all, and the mean of two."""
+    s = [F.col(c) for c in ("s1", "s2", "s3")]
     three = F.array(*s)
-    return _profiles(spark, sf).select("profile_id", F.round(vectors.lowest_mean(three, 2), 6).alias("two_lowest"), F.round(vectors.highest_mean(three, 2), 6).alias("two_highest"), F.round(vectors.lowest_mean(three, 3), 6).alias("all_three"), F.round((s[0] + s[1]) / 2, 6).alias("two"))
+    return _three(spark, sf).select("vec_id", F.round(vectors.lowest_mean(three, 2), 6).alias("two_lowest"), F.round(vectors.highest_mean(three, 2), 6).alias("two_highest"), F.round(vectors.lowest_mean(three, 3), 6).alias("all_three"), F.round((s[0] + s[1]) / 2, 6).alias("two"))
 
 
 def v_blended(spark, sf):
     """Scores blended unless the sequence decides."""
-    a, b = (F.col("profile_id") * 37 % 101) / 100.0, (F.col("profile_id") * 53 % 101) / 100.0
-    return _profiles(spark, sf).select("profile_id", F.round(vectors.blended(a, b), 6).alias("score"))
+    return _three(spark, sf).select("vec_id", F.round(vectors.blended(F.col("s1"), F.col("s2")), 6).alias("score"))
 
 
 def v_mean_nonzero(spark, sf):
     """Mean of scores that are not zero."""
-    s = F.array(*[((F.col("profile_id") * k) % 5).cast("double") for k in (1, 2, 3)])
-    return _profiles(spark, sf).select("profile_id", F.round(vectors.mean_nonzero(s), 6).alias("score"))
+    s = F.array(*[F.greatest(F.col(c), F.lit(0.0)) for c in ("s1", "s2", "s3")])
+    return _three(spark, sf).select("vec_id", F.round(vectors.mean_nonzero(s), 6).alias("score"))
 
 
 def v_topics(spark, sf):
-    """Topic similarity of news with the first of them (M8, M9)."""
-    df = _documents(spark, sf).where("doc_type = 'call' and length(text) > 0").select("doc_id", "text")
+    """Topic similarity of all documents with the first of them (M8, M9)."""
+    df = _documents(spark, sf).where("length(text) > 0").select("doc_id", "text")
     first = df.agg(F.min("doc_id")).first()[0]
     told = research.sentence_tokens(df, "text", "phrases")
-    return research.topic_similarity(told, "doc_id", first or 0, topics=5, rounds=3)
+    return research.topic_similarity(told, "doc_id", first or 0)
 
 
 def v_words(spark, sf):
-    """Embedding similarity of calls with the first of them (M6, M7)."""
-    df = _documents(spark, sf).where("doc_type = 'call' and length(text) > 0").select("doc_id", "text")
+    """Embedding similarity of all documents with the first of them (M6, M7)."""
+    df = _documents(spark, sf).where("length(text) > 0").select("doc_id", "text")
     first = df.agg(F.min("doc_id")).first()[0]
     told = research.sentence_tokens(df, "text", "phrases")
-    return research.embedding_similarity(told, "doc_id", first or 0, size=16)
+    return research.embedding_similarity(told, "doc_id", first or 0, size=16, least=5)
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and k[:2] in ("c_", "l_", "e_", "v_")}
@@ -377,6 +383,11 @@ _L = "L AS (SELECT profile_id, string_split(text_raw, chr(10)) AS lines FROM pro
 _W = "len(string_split(x, ' '))"
 
 
+_FIRST_SEEN = "list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+_RUNS = "regexp_extract_all({c}, '" + extract._RUN.replace("(?U)", "").replace("'", "''").replace("{", "{{").replace("}", "}}") + "')"
+_KEPT = f"lambda x: NOT regexp_matches(lower(x), '{'|'.join(extract.NO_ENTITY)}')"
+
+
 def _keyline(facet, more=""):
     return f"list_filter(lines, lambda x: {_W} <= 20 AND regexp_matches(lower(x), '{facet}') AND regexp_matches(x, '{extract.INSTITUTION}') AND regexp_matches(x, '(?:19|20)[0-9]{{2}}'){more})[1]"
 
@@ -405,7 +416,8 @@ def _position(lines):
 
 
 _COS = "round(CAST(list_sum(list_transform(list_zip(embedding, {q}), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform({q}, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))) AS DOUBLE), 5)"
-_S3 = ", ".join(f"round((profile_id * {k} % 101) / 100.0, 6)" for k in (37, 53, 71))
+_S3 = "[" + ", ".join(_COS.format(q=f"q[{i}]") for i in (1, 2, 3)) + "]"
+_THREE = f"(SELECT vec_id, {_S3} AS t FROM embeddings, (SELECT list(embedding ORDER BY vec_id) AS q FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 3)))"
 ORACLE = {
     "c_starts": "SELECT url AS link, title, school_name AS university_name, coalesce(tag, 'None') AS tag, CAST(0 AS INTEGER) AS depth FROM departments",
     "c_starts_selected": "SELECT url AS link, title, school_name AS university_name, coalesce(tag, 'None') AS tag, CAST(0 AS INTEGER) AS depth FROM departments WHERE title = 'Geography'",
@@ -437,23 +449,27 @@ SELECT page, link, text FROM n UNION ALL SELECT page, link, text FROM c WHERE pa
     "e_phd_years": f"WITH {_L} SELECT profile_id, list_max(list_transform({_YEARS.format(c=_keyline(extract.PHD))}, lambda y: CAST(y AS INTEGER))) AS phd_year FROM L",
     "e_phd_schools": f"WITH {_L} SELECT profile_id, coalesce(nullif(trim(regexp_extract({_keyline(extract.PHD)}, '([A-Za-z ]*(?:University|Institute|College)[A-Za-z ]*)', 1)), ''), 'Unknown') AS phd_school FROM L",
     "e_promotions": f"WITH {_L} SELECT profile_id, list_max(list_transform({_YEARS.format(c=_keyline('professor', " AND NOT regexp_matches(x, '" + extract.YEAR_IN_LINK + "')"))}, lambda y: CAST(y AS INTEGER))) AS promotion_year FROM L",
-    "e_main_lines": f"WITH {_L} SELECT profile_id, CAST(len(list_distinct(list_filter(lines, lambda x: {_W} >= 20 AND NOT regexp_matches(x, '{extract.REFERENCE}') AND NOT regexp_matches(lower(x), '{extract.PHD}')))) AS INTEGER) AS n FROM L",
+    "e_main_lines": f"WITH {_L} SELECT profile_id, array_to_string({_FIRST_SEEN.format(l='m')}, chr(10)) AS main FROM (SELECT profile_id, list_filter(lines, lambda x: {_W} >= 20 AND NOT regexp_matches(x, '{extract.REFERENCE}') AND NOT regexp_matches(lower(x), '{extract.PHD}')) AS m FROM L)",
     "e_resume_years": f"WITH {_L} SELECT profile_id, {_resume(extract.PHD)} AS phd_year, {_resume(extract.PROFESSOR)} AS promotion_year FROM L",
     "e_sensible": "SELECT profile_id, CASE WHEN p <= 2020 AND NOT coalesce(p > (CASE WHEN q <= 2020 THEN q END), false) THEN p END AS phd_year, CASE WHEN q <= 2020 THEN q END AS promotion_year FROM (SELECT profile_id, TRY_CAST(nullif(regexp_extract(phd_year, '(?:19|20)[0-9]{2}', 0), '') AS INTEGER) AS p, TRY_CAST(nullif(regexp_extract(promotion_year, '(?:19|20)[0-9]{2}', 0), '') AS INTEGER) AS q FROM profiles)",
     "e_unknowns": "SELECT profile_id, CAST((coalesce(phd_year, '') = 'Unknown')::INT + (coalesce(phd_school, '') = 'Unknown')::INT + (coalesce(promotion_year, '') = 'Unknown')::INT AS INTEGER) AS n FROM profiles",
     "e_personal": f"WITH {_L} SELECT profile_id, len(list_filter(lines, lambda x: regexp_matches(lower(x), 'publicati|interest|biograp') AND {_W} <= 5)) > 0 AS personal FROM L",
     "e_long_lines": f"WITH {_L} SELECT profile_id, CAST(len(k) AS INTEGER) AS kept, CAST(len(list_filter(k, lambda x: regexp_matches(lower(x), 'calendar|curriculum|event|news|resource|student|log'))) AS INTEGER) AS filtered, CAST(len(list_filter(k, lambda x: {_W} <= 5)) AS INTEGER) AS short FROM (SELECT profile_id, list_filter(lines, lambda x: length(x) >= 3) AS k FROM L)",
-    "e_unique_lines": "SELECT profile_id, CAST(len(list_filter(list_distinct(lines), lambda x: NOT list_contains(b, x))) AS INTEGER) AS n FROM (SELECT profile_id, lines, coalesce(lag(lines) OVER (PARTITION BY profile_link ORDER BY profile_id), []) AS b FROM (SELECT profile_id, profile_link, string_split(text_raw, chr(10)) AS lines FROM profiles WHERE text_raw IS NOT NULL))",
-    "e_neither": f"WITH {_L} SELECT profile_id, CAST(len(list_distinct(list_filter(lines, lambda x: NOT regexp_matches(lower(x), '{extract.ASSISTANT}') AND NOT regexp_matches(lower(x), '{extract.ASSOCIATE}')))) AS INTEGER) AS n FROM L",
-    "e_topic_words": "SELECT doc_id, CAST(len(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(regexp_replace(text, '[^\\x00-\\x7f]', '', 'g'), '\\s+', ' ', 'g'))), '[^a-zA-Z\\s]+', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w NOT IN ('', 'the', 'of', 'and', 'in', 'to'))) AS INTEGER) AS n FROM documents",
+    "e_unique_lines": f"SELECT profile_id, array_to_string(list_filter({_FIRST_SEEN.format(l='lines')}, lambda x: NOT list_contains(b, x)), chr(10)) AS own FROM (SELECT profile_id, lines, coalesce(lag(lines) OVER (PARTITION BY profile_link ORDER BY profile_id), []) AS b FROM (SELECT profile_id, profile_link, string_split(text_raw, chr(10)) AS lines FROM profiles WHERE text_raw IS NOT NULL))",
+    "e_neither": f"WITH {_L} SELECT profile_id, array_to_string({_FIRST_SEEN.format(l='m')}, chr(10)) AS neither FROM (SELECT profile_id, list_filter(lines, lambda x: NOT regexp_matches(lower(x), '{extract.ASSISTANT}') AND NOT regexp_matches(lower(x), '{extract.ASSOCIATE}')) AS m FROM L)",
+    "e_topic_words": "SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(text, '[\\s\\x0b\\x{85}\\p{Z}]+', ' ', 'g'))), '[^a-zA-Z\\s]+', '', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w NOT IN ('', " + ", ".join(f"'{w}'" for w in research.STOP_WORDS) + ")), ' ') AS words FROM documents",
     "e_list_items": "SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[()0-9.\\-]+', '')), '. ') AS text FROM documents",
-    "e_bag": "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents) GROUP BY word",
-    "e_bigrams": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), u AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM d) GROUP BY w), v AS (SELECT count(*) AS v FROM u),
+    "e_bag": "SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS word FROM documents) GROUP BY word",
+    "e_bigrams": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}+') AS w FROM documents), u AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM d) GROUP BY w), v AS (SELECT count(*) AS v FROM u),
 p AS (SELECT z[1] AS a, z[2] AS b, count(*) AS n FROM (SELECT unnest(list_zip(w[1:-2], w[2:])) AS z FROM d WHERE len(w) > 1) GROUP BY 1, 2 HAVING count(*) >= 5)
 SELECT a, b, round((p.n - 5) * v / CAST(x.n * y.n AS DOUBLE), 6) AS score FROM p JOIN u x ON x.w = a JOIN u y ON y.w = b, v WHERE (p.n - 5) * v / CAST(x.n * y.n AS DOUBLE) > 10""",
     "v_cosines": f"SELECT vec_id, {_COS.format(q='q')} AS cosine FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 1)",
     "v_pair_max": f"SELECT vec_id, greatest(max(c), 0) AS best FROM (SELECT vec_id, {_COS.format(q='q')} AS c FROM embeddings, (SELECT embedding AS q FROM embeddings ORDER BY vec_id LIMIT 10)) GROUP BY vec_id",
-    "v_combined": f"SELECT profile_id, round((s[1] + s[2]) / 2, 6) AS two_lowest, round((s[2] + s[3]) / 2, 6) AS two_highest, round((s[1] + s[2] + s[3]) / 3, 6) AS all_three, round((t[1] + t[2]) / 2, 6) AS two FROM (SELECT profile_id, [{_S3}] AS t, list_sort([{_S3}]) AS s FROM profiles)",
-    "v_blended": "SELECT profile_id, round(CASE WHEN b >= 0.8 THEN b ELSE 0.8 * a + (1 - 0.8) * b END, 6) AS score FROM (SELECT profile_id, CAST((profile_id * 37 % 101) / 100.0 AS DOUBLE) AS a, CAST((profile_id * 53 % 101) / 100.0 AS DOUBLE) AS b FROM profiles)",
-    "v_mean_nonzero": "SELECT profile_id, round(coalesce(list_avg(list_filter([profile_id % 5, profile_id * 2 % 5, profile_id * 3 % 5], lambda x: x <> 0)), 0.0), 6) AS score FROM profiles",
+    "v_combined": f"SELECT vec_id, round((s[1] + s[2]) / 2, 6) AS two_lowest, round((s[2] + s[3]) / 2, 6) AS two_highest, round((s[1] + s[2] + s[3]) / 3, 6) AS all_three, round((t[1] + t[2]) / 2, 6) AS two FROM (SELECT *, list_sort(t) AS s FROM {_THREE})",
+    "v_blended": f"SELECT vec_id, round(CASE WHEN t[2] >= 0.8 THEN t[2] ELSE 0.8 * t[1] + (1 - 0.8) * t[2] END, 6) AS score FROM {_THREE}",
+    "v_mean_nonzero": f"SELECT vec_id, round(coalesce(list_avg(list_filter(t, lambda x: x > 0)), 0.0), 6) AS score FROM {_THREE}",
+    "l_labels": "SELECT frontier_id, array_to_string(" + _FIRST_SEEN.format(l="t") + ", ' ') AS label FROM (SELECT frontier_id, list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(link, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '#.*$', ''), '[!-/:-@\\[-`{-~]+', ' ', 'g'), ' '), lambda t: t <> '' AND t NOT IN (" + ", ".join(f"'{e}'" for e in [*urls.EXTENSIONS, "htm", "html"]) + ")) AS t FROM frontier WHERE link IS NOT NULL)",
+    "l_absolute": f"SELECT frontier_id, regexp_extract(previous_link, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', 0) || array_to_string(string_split({_PATH.format(c='previous_link')}, '/')[1:-3], '/') || '/people/list.html' AS link FROM frontier WHERE link IS NOT NULL",
+    "e_entities": f"SELECT phd_school, CAST(len(list_filter(r, lambda x: NOT regexp_matches(lower(x), '{'|'.join(extract.NO_ENTITY)}'))) AS INTEGER) AS entities, CAST(len(list_filter(r, lambda x: regexp_matches(x, '{extract.ORGANISATION}'))) AS INTEGER) AS organisations FROM (SELECT DISTINCT phd_school, {_RUNS.format(c='phd_school')} AS r FROM profiles WHERE phd_school IS NOT NULL)",
+    "e_names": f"SELECT profile_id, CASE WHEN len(list_filter({_RUNS.format(c='t')}, {_KEPT})) > 0 THEN t ELSE coalesce(list_filter(flatten(list_transform(h, lambda y: {_RUNS.format(c='y')})), {_KEPT})[1], 'Unknown') END AS name FROM (SELECT profile_id, coalesce(name, '') AS t, list_filter(string_split(text_raw, chr(10)), lambda x: {_W} <= 6) AS h FROM profiles WHERE text_raw IS NOT NULL)",
 }

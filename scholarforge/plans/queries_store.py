@@ -225,7 +225,7 @@ def r_title_case(spark, sf):
 def r_sentinel(spark, sf):
     """Unknown texts as empty ones."""
     t = F.when(F.col("text_raw") == "Unknown", "").otherwise(F.col("text_raw"))
-    return _profiles(spark, sf).select("profile_id", F.length(t).alias("n"))
+    return _profiles(spark, sf).select("profile_id", t.alias("text_raw"))
 
 
 def r_cut(spark, sf):
@@ -260,14 +260,13 @@ def x_dates(spark, sf):
 
 def x_collapsed(spark, sf):
     """White space of names collapsed and removed."""
-    n = F.regexp_replace("phd_school", r"[^\x00-\x7f]", "?")
+    n = F.col("phd_school")
     return _profiles(spark, sf).where("phd_school is not null").select("profile_id", X.collapse(n).alias("collapsed"), X.without_space(n).alias("removed"))
 
 
 def x_person_name(spark, sf):
     """Names without titles, at most three words."""
-    plain = _profiles(spark, sf).where(r"name rlike '^[\\x20-\\x7e]+$'")
-    return plain.select("profile_id", X.person_name(F.col("name")).alias("name"))
+    return _profiles(spark, sf).select("profile_id", X.person_name(F.col("name")).alias("name"))
 
 
 def w_duplicates(spark, sf):
@@ -346,15 +345,16 @@ FROM s LEFT JOIN w USING (profile_link) WHERE s.user_updated = 1 OR w.profile_li
     "r_badges": "SELECT profile_id, CASE position WHEN 'Professor' THEN 'primary' WHEN 'Associate Professor' THEN 'info' WHEN 'Assistant Professor' THEN 'secondary' ELSE 'light' END AS position_badge, CASE tag WHEN 'peer' THEN 'success' WHEN 'aspirant' THEN 'warning' ELSE 'light' END AS tag_badge FROM profiles",
     "r_codes": "SELECT profile_id, CASE regexp_extract(profile_link, '//(bme|biochem|geo)\\.', 1) WHEN 'bme' THEN 'Biomedical Engineering' WHEN 'biochem' THEN 'Biochemistry' WHEN 'geo' THEN 'Geography' END AS department FROM profiles WHERE regexp_matches(profile_link, '//(bme|biochem|geo)\\.')",
     "r_catalogue": "SELECT DISTINCT title AS department, tag, school_name AS university FROM departments WHERE tag IN ('peer', 'aspirant')",
-    "r_sentinel": "SELECT profile_id, CAST(length(CASE WHEN text_raw = 'Unknown' THEN '' ELSE text_raw END) AS INTEGER) AS n FROM profiles",
+    "r_sentinel": "SELECT profile_id, CASE WHEN text_raw = 'Unknown' THEN '' ELSE text_raw END AS text_raw FROM profiles",
     "r_cut": "SELECT profile_id, substring(text_raw, 1, 100) AS head FROM profiles WHERE text_raw IS NOT NULL",
     "r_truncated": "SELECT profile_id, CASE WHEN length(text_raw) <= 100 THEN text_raw ELSE CASE WHEN h = '' THEN substring(text_raw, 1, 97) ELSE h END || '...' END AS head FROM (SELECT *, regexp_extract(substring(text_raw, 1, 97), '(?s)^(.*)\\s', 1) AS h FROM profiles WHERE text_raw IS NOT NULL)",
     "r_capitalised": "SELECT profile_id, upper(department[1]) || lower(department[2:]) AS department FROM profiles WHERE department IS NOT NULL",
     "x_rank": "SELECT university_id, TRY_CAST(split_part(rank_raw, '=', -1) AS INTEGER) AS rank FROM universities",
     "x_years": f"SELECT profile_id, {_Y.format(c='phd_year')} AS phd_year, {_Y.format(c='promotion_year')} AS promotion_year FROM profiles",
     "x_dates": f"SELECT activity_id, strftime(activity_timestamp, '%Y-%m-%d %H:%M') AS moment, CAST(year(activity_timestamp) AS INTEGER) AS year FROM {_AUDIT}",
-    "x_collapsed": "SELECT profile_id, trim(regexp_replace(n, '\\s+', ' ', 'g')) AS collapsed, regexp_replace(n, '\\s+', '', 'g') AS removed FROM (SELECT profile_id, regexp_replace(phd_school, '[^\\x00-\\x7f]', '?', 'g') AS n FROM profiles WHERE phd_school IS NOT NULL)",
-    "x_person_name": "SELECT profile_id, CASE WHEN trim(name) = '' THEN 'Unknown' WHEN lower(w[1]) IN ('prof.', 'dr.', 'prof', 'dr', 'professor') THEN array_to_string(w[2:3], ' ') ELSE array_to_string(w[1:3], ' ') END AS name FROM (SELECT *, string_split(regexp_replace(name, '\\(\\d+\\)', '', 'g'), ' ') AS w FROM profiles WHERE regexp_full_match(name, '[\\x20-\\x7e]+'))",
+    "x_collapsed": "SELECT profile_id, trim(regexp_replace(phd_school, '[\\s\\x0b\\x{85}\\p{Z}]+', ' ', 'g')) AS collapsed, regexp_replace(phd_school, '[\\s\\x0b\\x{85}\\p{Z}]+', '', 'g') AS removed FROM profiles WHERE phd_school IS NOT NULL",
+    "r_title_case": "SELECT profile_id, array_to_string(list_transform(regexp_extract_all(name, '\\p{L}+|\\P{L}+'), lambda x: upper(x[1]) || lower(x[2:])), '') AS name FROM profiles WHERE name IS NOT NULL",
+    "x_person_name": "SELECT profile_id, CASE WHEN trim(name) = '' THEN 'Unknown' WHEN lower(w[1]) IN ('prof.', 'dr.', 'prof', 'dr', 'professor') THEN array_to_string(w[2:3], ' ') ELSE array_to_string(w[1:3], ' ') END AS name FROM (SELECT *, string_split(regexp_replace(name, '\\(\\d+\\)', '', 'g'), ' ') AS w FROM profiles)",
     "w_duplicates": "SELECT profile_id, CAST(i AS INTEGER) AS i FROM (SELECT profile_id, row_number() OVER (PARTITION BY profile_link, crawled_at, md5(text_raw) ORDER BY profile_id) AS i FROM profiles) WHERE i > 1",
     "j_users_of_requests": "SELECT benchmark_id, b.user_id, institution FROM benchmarks b LEFT JOIN users u ON b.user_id = u.user_id",
     "j_edited_profiles": "SELECT profile_id FROM profiles WHERE profile_link IN (SELECT regexp_extract(remark, ' of (\\S+)$', 1) FROM activities WHERE activity_name = 'Edit profile' AND remark IS NOT NULL)",

@@ -112,10 +112,10 @@ def test_research_scores(spark):
 
 def test_bigrams(spark):
     sent = [["new", "york", "is", "big"], ["new", "york", "city"]] * 6 + [["a", "b"]]
-    df = spark.createDataFrame([(sent,)], "sentences array<array<string>>")
+    df = spark.createDataFrame([(1, sent)], "id int, sentences array<array<string>>")
     scores = research.bigram_scores(df, threshold=0.01)
     assert ("new", "york") in {(r["a"], r["b"]) for r in scores.collect()}
-    assert research.joined_bigrams(df, scores).first()["phrases"][0][0] == "new_york"
+    assert research.joined_bigrams(df, "id", scores).first()["phrases"][0][0] == "new_york"
 
 
 def test_closest_words(spark):
