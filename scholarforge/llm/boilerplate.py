@@ -27,6 +27,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,12 +172,13 @@ def _implied(line: str) -> str:
 _short = lru_cache(maxsize=1 << 15)(_implied)
 
 
-def wording(line: str) -> str:
-    """A line as it is compared between pages: lower case, without a leading mark, digits as 0; the JVM's twin is in :func:`site_wording`."""
-    return re.sub(r"[0-9]+", "0", re.sub(r"^[•·▪‣◦*–»›-]\s+", "", line.strip(" \t").lower()))
+def wording(line: str) -> int:
+    """Hash of a line as it is compared between pages: lower case, without a leading mark, digits as 0; the JVM's twin is in :func:`site_wording`."""
+    text = re.sub(r"[0-9]+", "0", re.sub(r"^[•·▪‣◦*–»›-]\s+", "", line.strip(" \t").lower()))
+    return xxhash.xxh64_intdigest(text.encode(), 42)
 
 
-def _tag(line: str, learnt: dict[str, bool]) -> str:
+def _tag(line: str, learnt: dict[int, bool]) -> str:
     """The element of a line; where its own wording says nothing, what the collection says of it."""
     tag = _short(line) if len(line) < 90 else _implied(line)
     if learnt and tag in ("p", "entry", "li", "h") and len(line) < _LONGEST and (firm := learnt.get(wording(line))) is not None and (firm or tag != "h"):
@@ -187,48 +189,45 @@ def _tag(line: str, learnt: dict[str, bool]) -> str:
 
 
 #: Lines of site furniture that are learnt have fewer characters.
-_LONGEST = 200
+_LONGEST = 120
 
 
-def site_wording(df: DataFrame, site: Column, page: str, text: str, share: float = 0.0005, rate: float = 0.25, lift: float = 2.0, nats: float = 20.0, sites: int = 2) -> dict[str, bool]:
-    """Wording of lines that belongs to the structure of sites, and whether it belongs to nothing else.
+def site_wording(df: DataFrame, site: Column, page: str, text: str, share: float = 0.0005, rate: float = 0.25, lift: float = 2.0, nats: float = 20.0, sites: int = 2) -> dict[int, bool]:
+    """Wording of lines (by hash) that belongs to the structure of sites, and whether it belongs to nothing else.
 
     A line counts if, on ``sites`` sites, it stands on the share ``rate`` of their different
     pages at least (one site alone may hold many versions of one page; lines of more than
-    six words need ``2 * sites + 1``), ``lift`` times as often as on the pages of all other sites, and if
-    this is no chance (log-likelihood ratio over ``nats``).  It belongs to nothing else if
-    a quarter of the pages are on sites that never use it: what heads sections of pages is
-    met on every site now and then.  Only lines on the share ``share`` of all rows are
-    looked at, so at most (lines a page / ``share``) are, whatever the size of the
-    collection; all rows are counted, by hashes combined before the shuffle.
+    six words need ``2 * sites + 1``), ``lift`` times as often as on the pages of all other
+    sites, and if this is no chance (log-likelihood ratio over ``nats``).  It belongs to
+    nothing else if a quarter of the pages are on sites that never use it: what heads
+    sections of pages is met on every site now and then.  Only lines on the share ``share``
+    of all pages are looked at, so at most (lines a page / ``share``) come to the driver,
+    whatever the size of the collection; all pages are counted, as hashes combined before
+    the shuffle.
     """
-    spark = df.sparkSession
-    pages = df.where(F.length(text) > 0).select(F.coalesce(site.cast("string"), F.lit("")).alias("site"), F.xxhash64(page).alias("page"), F.col(text).alias("t"))
+    pages = df.where(F.length(text) > 0).select(F.xxhash64(F.coalesce(site.cast("string"), F.lit(""))).alias("site"), F.xxhash64(page).alias("page"), F.col(text).alias("t"))
     said = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.col("l"), F.lit(" \t"))), r"^[•·▪‣◦*–»›-]\s+", ""), "[0-9]+", "0")
-    lines = pages.select("site", "page", F.explode(F.array_distinct(F.split("t", "\n"))).alias("l")).where((F.length("l") > 1) & (F.length("l") < _LONGEST)).select("site", "page", said.alias("l"))
-    all_pages = stage(pages.groupBy("site").agg(F.countDistinct("page").alias("n"), F.count("*").alias("rows")), "sites")
-    sums = all_pages.agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"), F.sum(F.when(F.col("n") >= 20, F.col("n"))).alias("large")).first()
-    frequent = lines.where(F.col("l").rlike("[^0-9\\W_]{2}")).groupBy(F.xxhash64("l").alias("h")).agg(F.count("*").alias("c")).where(F.col("c") >= max(8.0, share * (sums["rows"] or 0)))
-    kept = [r["h"] for r in frequent.select("h").collect()]  # bounded, see above
-    if not kept:
-        return {}
-    wanted = F.broadcast(spark.createDataFrame(pd.DataFrame({"h": pd.Series(kept, dtype="int64")})))
-    by_site = lines.withColumn("h", F.xxhash64("l")).join(wanted, "h", "left_semi").groupBy("h", "site").agg(F.countDistinct("page").alias("c"), F.min("l").alias("l"))
-    each = stage(by_site.join(all_pages, "site"), "site-lines")
-    totals = each.groupBy("h").agg(F.sum("c").alias("all_c"), F.coalesce(F.sum(F.when(F.col("n") >= 20, F.col("n"))), F.lit(0)).alias("used"))
+    lines = pages.select("site", "page", F.explode(F.split("t", "\n")).alias("l")).where((F.length("l") > 1) & (F.length("l") < _LONGEST) & F.col("l").rlike("[a-zA-Z]{2}"))
+    lines = lines.select("site", "page", said.alias("l")).select("site", "page", F.xxhash64("l").alias("h"), (F.size(F.split("l", " ")) > 6).alias("long"))
+    all_pages = stage(pages.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("n")), "sites")
+    sums = all_pages.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("n") >= 20, F.col("n"))).alias("large")).first()
+    each = stage(lines.distinct().groupBy("h", "long", "site").agg(F.count("*").alias("c")), "site-lines")
+    totals = each.groupBy("h").agg(F.sum("c").alias("all_c")).where(F.col("all_c") >= max(8.0, share * (sums["n"] or 0)))
+    each = each.join(totals, "h").join(all_pages, "site")
     own = F.least(F.col("c") / F.col("n"), F.lit(0.999999))
-    other = F.greatest((F.col("all_c") - F.col("c") + 0.5) / (F.lit(float(sums["n"])) - F.col("n") + 1.0), F.lit(1e-9))
+    other = F.greatest((F.col("all_c") - F.col("c") + 0.5) / (F.lit(float(sums["n"] or 0)) - F.col("n") + 1.0), F.lit(1e-9))
     ratio = F.col("c") * F.log(own / other) + (F.col("n") - F.col("c")) * F.log((1 - own) / F.greatest(1 - other, F.lit(1e-9)))
-    found = each.join(totals, "h").where((F.col("n") < sums["n"]) & (own >= rate) & (own >= lift * other) & (ratio >= nats))
-    firm = F.col("used") <= 0.75 * (sums["large"] or 0)
-    return {r["l"]: r["firm"] for r in found.groupBy("l").agg(F.first(firm).alias("firm"), F.count("*").alias("sites")).where(F.col("sites") >= F.when(F.size(F.split("l", " ")) > 6, 2 * sites + 1).otherwise(sites)).collect()}
+    hit = (F.col("n") < (sums["n"] or 0)) & (own >= rate) & (own >= lift * other) & (ratio >= nats)
+    found = each.groupBy("h", "long").agg(F.count_if(hit).alias("sites"), F.coalesce(F.sum(F.when(F.col("n") >= 20, F.col("n"))), F.lit(0)).alias("used"))
+    found = found.where(F.col("sites") >= F.when(F.col("long"), 2 * sites + 1).otherwise(sites))
+    return {r["h"] & 0xFFFFFFFFFFFFFFFF: r["used"] <= 0.75 * (sums["large"] or 0) for r in found.collect()}
 
 
 HIDDEN = frozenset(("nav", "aside", "footer", "banner"))
 _HOLDER = {"tool": "nav", "crumb": "nav", "bar": "nav", "menu": "nav", "menu*": "nav", "notice": "banner", "promo": "aside", "aside": "aside", "foot": "footer"}
 
 
-def build(lines: list[str], learnt: dict[str, bool] | None = None) -> list[str]:
+def build(lines: list[str], learnt: dict[int, bool] | None = None) -> list[str]:
     """The container of every line: ``nav``, ``aside``, ``footer``, ``banner``, ``main`` or '' for a blank line.
 
     The builder keeps one open container below ``body``.  An implied element opens
@@ -280,25 +279,25 @@ def _looks_wrapped(lines: list[str], tags: list[str], i: int, broken: bool) -> b
     return not broken and len(lines[i]) > 30 and nxt[:1].islower() and tags[i + 1] == "p"
 
 
-def furniture(text: str | None, learnt: dict[str, bool] | None = None) -> list[int]:
+def furniture(text: str | None, learnt: dict[int, bool] | None = None) -> list[int]:
     """Numbers, from 1, of the non-empty lines of ``text`` that belong to the site."""
     if not text:
         return []
     return [k for k, hold in enumerate(build(text.split("\n"), learnt), 1) if hold in HIDDEN]
 
 
-def main_lines(text: str, learnt: dict[str, bool] | None = None) -> list[str]:
+def main_lines(text: str, learnt: dict[int, bool] | None = None) -> list[str]:
     """The lines of ``text`` that belong to the page's own content, blank ones included."""
     lines = text.split("\n")
     return [x for x, hold in zip(lines, build(lines, learnt)) if hold not in HIDDEN]
 
 
-def own_text(text: str, learnt: dict[str, bool] | None = None) -> str:
+def own_text(text: str, learnt: dict[int, bool] | None = None) -> str:
     """The page's own content as one text."""
     return "\n".join(main_lines(text, learnt))
 
 
-def site_lines(df: DataFrame, key: str, text: str, learnt: dict[str, bool] | None = None) -> DataFrame:
+def site_lines(df: DataFrame, key: str, text: str, learnt: dict[int, bool] | None = None) -> DataFrame:
     """``key, line_no`` of every line that belongs to the site; ``learnt`` as :func:`site_wording` gives it."""
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -308,7 +307,7 @@ def site_lines(df: DataFrame, key: str, text: str, learnt: dict[str, bool] | Non
     return df.where(F.length(text) > 0).select(key, F.explode(numbers(text)).alias("line_no"))
 
 
-def main_text(df: DataFrame, text: str, into: str | None = None, learnt: dict[str, bool] | None = None) -> DataFrame:
+def main_text(df: DataFrame, text: str, into: str | None = None, learnt: dict[int, bool] | None = None) -> DataFrame:
     """``df`` with ``into`` (default: ``text`` itself) reduced to the page's own content."""
 
     @F.pandas_udf(T.StringType())

@@ -5,8 +5,9 @@ combining sequences, and the strings they are drawn like.  Edges come from Unico
 itself (width and font variants, canonical composition, kinds of space, invisible
 characters) and from a short list of letters of other scripts that are drawn like
 Latin ones; they are transitive.  The representative of a class is the member most
-frequent in the collection, and a multi-pattern automaton rewrites every other
-member to it, longest match first.
+frequent in the collection (of the members in ASCII, where there are any), and a
+multi-pattern automaton rewrites every other member to it, longest match first, until
+nothing changes.
 
 A word in another script is left alone: letters are only rewritten inside words
 that mix scripts, or in words that consist of look-alikes and stand among Latin
@@ -95,11 +96,11 @@ def edges() -> list[tuple[str, str]]:
     return out
 
 
-def representatives(counts: dict[str, int], prior: int = 50) -> dict[str, str]:
+def representatives(counts: dict[str, int]) -> dict[str, str]:
     """Member -> representative, for every member that is not its own.
 
-    ``prior`` occurrences are added to a member in ASCII, so that a handful of cells
-    does not decide against it in a small table.
+    The most frequent member stands for its class; where a class has members in ASCII, the
+    most frequent of these, so that ordinary letters and signs are never rewritten.
     """
     sets = UnionFind()
     for a, b in edges():
@@ -107,8 +108,8 @@ def representatives(counts: dict[str, int], prior: int = 50) -> dict[str, str]:
             sets.union(a, b)
     out = {chr(c): "" for c in _INVISIBLE}
     for members in sets.classes().values():
-        best = min(members, key=lambda m: (-counts.get(m, 0) - prior * m.isascii(), len(m) > 1 and unicodedata.normalize("NFC", m) != m, m))
-        out.update({m: best for m in members if m != best})
+        best = min(members, key=lambda m: (not m.isascii(), -counts.get(m, 0), len(m) > 1 and unicodedata.normalize("NFC", m) != m, m))
+        out.update({m: best for m in members if m != best and not m.isascii()})
     return out
 
 
@@ -165,13 +166,10 @@ class Rewriter:
         self.alien = frozenset(_letters())
 
     def __call__(self, text: str) -> str:
-        for _ in range(4):  # what one pass makes ordinary may show the next that a word mixes scripts
-            if text.isascii():
-                return text
-            new = self._once(text)
-            if new == text:
-                return text
-            text = new
+        seen = set()
+        while not text.isascii() and text not in seen:  # what one pass makes ordinary may show the next that a word mixes scripts
+            seen.add(text)
+            text = self._once(text)
         return text
 
     def _once(self, text: str) -> str:
@@ -195,8 +193,6 @@ class Rewriter:
 def one_form(df: DataFrame, fields: list[str], suffix: str = "_plain", counts: dict[str, int] | None = None) -> DataFrame:
     """``df`` with ``<field><suffix>``: equal-looking values are equal there."""
     reps = representatives(character_counts(df, fields) if counts is None else counts)
-    # an ordinary letter, blank or sign of ASCII is always its own representative's spelling
-    reps = {m: r for m, r in reps.items() if not m.isascii()}
 
     @F.pandas_udf(T.StringType())
     def rewrite(values: pd.Series) -> pd.Series:

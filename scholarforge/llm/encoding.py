@@ -48,8 +48,11 @@ CHAINS: dict[str, tuple[str, ...]] = {
 LOSSY = "lost"
 KEEP = "undamaged"
 
-# Code points whose damaged forms are looked for (Latin letters, usual punctuation and signs).
+# Code points whose damaged forms are looked for (Latin letters, usual punctuation and signs; Greek and Cyrillic).
 REPERTOIRE = [*range(0xA0, 0x180), 0x192, *range(0x218, 0x21C), *range(0x2010, 0x2028), *range(0x2030, 0x203B), 0x2044, 0x20AC, 0x2122]
+SCRIPTS = [*range(0x386, 0x3CF), *range(0x400, 0x460), 0x490, 0x491]
+# Chains in which the first bytes of these scripts become letters, not lines, dashes or the script itself.
+SCRIPT_CHAINS = ("latin1", "cp1252", "latin1x2", "cp1252x2")
 
 
 def _bytes_as(codec: str) -> list[str]:
@@ -74,7 +77,7 @@ def mangle(text: str, chain: str) -> str:
 def _forms(chain: str) -> dict[str, str]:
     tables = [_bytes_as(c) for c in CHAINS[chain]]
     out = {}
-    for cp in REPERTOIRE:
+    for cp in REPERTOIRE + (SCRIPTS if chain in SCRIPT_CHAINS else []):
         text = chr(cp)
         for table in tables:
             text = "".join(table[b] for b in text.encode("utf-8"))
@@ -142,13 +145,15 @@ def _evidence(text: pd.Series) -> pd.Series:
     return text.map(lambda t: _evidence_of(t) if t else [])
 
 
-def damaged_cells(df: DataFrame, key: str, fields: list[str], source: Column, rounds: int = 3, smoothing: float = 4.0) -> DataFrame:
+def damaged_cells(df: DataFrame, key: str, fields: list[str], source: Column, tolerance: float = 1e-3, smoothing: float = 4.0) -> DataFrame:
     """One row per damaged cell: ``key, field, chain, posterior``.
 
     ``source`` is the column expression by which evidence is pooled.  ``chain`` is
-    a name of :data:`CHAINS`, or ``lost`` where only lost bytes speak.  ``rounds``
-    is the number of EM rounds; ``smoothing`` the weight, in cells, of the field's
-    overall shares against those of a source.
+    a name of :data:`CHAINS`, or ``lost`` where only lost bytes speak.  EM goes on
+    until no chain's share of a field's cells changes by more than ``tolerance`` (made a
+    little wider every round, so that it ends);
+    ``smoothing`` is the weight, in cells, of the field's overall shares against those
+    of a source.
     """
     pattern = suspect_pattern()
     parts = []
@@ -175,14 +180,14 @@ def damaged_cells(df: DataFrame, key: str, fields: list[str], source: Column, ro
     overall = {(f, c): 0.02 for f in fields for c in CHAINS}
     cells = cells.withColumn("chain", F.coalesce("chain", F.lit(LOSSY)))
     post = None
-    for r in range(rounds):
-        post = _posterior(cells, model, prior, overall)
-        if r == rounds - 1:
-            break
-        post = stage(post, "posterior")
+    while True:
+        post = stage(_posterior(cells, model, prior, overall), "posterior")
         by = post.groupBy("__source", "__field", "chain").agg(F.sum("posterior").alias("w"))
         sums = {(x["__field"], x["chain"]): x["w"] for x in by.groupBy("__field", "chain").agg(F.sum("w").alias("w")).collect()}
-        overall = {(f, c): (sums.get((f, c), 0.0) + 0.5) / (total.get(f, 0.0) + 1.0) for f in fields for c in CHAINS}
+        before, overall = overall, {(f, c): (sums.get((f, c), 0.0) + 0.5) / (total.get(f, 0.0) + 1.0) for f in fields for c in CHAINS}
+        if max(abs(overall[x] - before[x]) for x in overall) <= tolerance:
+            break
+        tolerance *= 1.3
         grid = F.create_map(*[x for (f, c), p in overall.items() for x in (F.lit(f"{f}\t{c}"), F.lit(p))])
         prior = (
             by.join(sizes, ["__source", "__field"])
@@ -197,10 +202,11 @@ def damaged_cells(df: DataFrame, key: str, fields: list[str], source: Column, ro
 
 
 def _character_counts(df: DataFrame, fields: list[str]) -> dict[tuple[str, str], float]:
+    """Characters by field; those beside lost bytes are no undamaged text and left out."""
     used = sorted({c for ch in CHAINS for form, t in _forms(ch).items() for c in form + t if ord(c) > 127})
     rows = None
     for f in fields:
-        one = df.select(F.lit(f).alias("f"), F.regexp_replace(F.col(f).cast("string"), r"[\x00-\x7f]+", "").alias("s")).where("s != ''").select("f", F.explode(F.split("s", "")).alias("c"))
+        one = df.select(F.lit(f).alias("f"), F.regexp_replace(F.col(f).cast("string"), r"[\x00-\x7f]+|[^\x00-\x7f]?\ufffd+[^\x00-\x7f]?", "").alias("s")).where("s != ''").select("f", F.explode(F.split("s", "")).alias("c"))
         rows = one if rows is None else rows.unionByName(one)
     counts = rows.where(F.col("c").isin(used)).groupBy("f", "c").count().collect()  # at most fields x the fixed characters
     return {(r["f"], r["c"]): float(r["count"]) for r in counts}
@@ -302,7 +308,7 @@ def _restore_lost(broken: DataFrame, all_cells: DataFrame, key: str, text: str,
     return broken.join(fixes, key, "left").withColumn(text, put(F.col(text), F.col("__fix"))).drop("__fix")
 
 
-def repaired(df: DataFrame, key: str, field: str, source: Column, rounds: int = 3, cells: DataFrame | None = None, restore_lost: bool = True) -> DataFrame:
+def repaired(df: DataFrame, key: str, field: str, source: Column, cells: DataFrame | None = None, restore_lost: bool = True) -> DataFrame:
     """``df`` with ``field`` as it was before the damage, and ``<field>_chain`` naming what was undone (null: nothing).
 
     Rows without suspicious characters pass straight through, unshuffled; only the
@@ -310,7 +316,7 @@ def repaired(df: DataFrame, key: str, field: str, source: Column, rounds: int =
     """
     flag = f"{field}_chain"
     if cells is None:
-        cells = stage(damaged_cells(df, key, [field], source, rounds), "cells")
+        cells = stage(damaged_cells(df, key, [field], source), "cells")
     known = cells.where(F.col("field") == field).select(F.col(key), F.col("chain").alias(flag)).dropDuplicates([key])
     suspect = is_suspect(F.col(field))
     clean = df.where(~suspect).withColumn(flag, F.lit(None).cast("string"))

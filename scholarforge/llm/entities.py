@@ -2,9 +2,9 @@
 
 Three passes over the *distinct* values: (1) acronyms; (2) one multi-pattern
 automaton over canonical names and their aliases finds embedded mentions, the
-longest non-overlapping match wins; (3) what remains goes to token-set similarity:
-candidates that share most character pairs, accepted within a small edit distance
-of an alias.  A mention counts only if the rest of the value names no other kind
+longest non-overlapping match wins; (3) what remains goes to token-set similarity: the
+same words in any order, two edits in all; where edits have run words together, the
+closest alias as one string.  A mention counts only if the rest of the value names no other kind
 of institution, so that a school of nursing in the same town is no university.
 
 The list is broadcast; it must not exceed ``max_entries`` (checked).  Defined
@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -125,7 +126,7 @@ class Mapper:
 
     def __init__(self, entries: list[tuple[int, str, str | None]], edits: int = 2) -> None:
         self.edits = edits
-        self.acronyms: dict[str, int] = {}
+        acronyms: dict[str, dict[str, int]] = defaultdict(dict)
         self.exact: dict[str, int] = {}
         by_core: dict[str, list[tuple[int, frozenset]]] = defaultdict(list)
         self.core: dict[int, str] = {}
@@ -133,7 +134,7 @@ class Mapper:
         aliases: dict[str, set[int]] = defaultdict(set)
         for eid, name, acronym in sorted(entries):
             if acronym and acronym.strip():
-                self.acronyms.setdefault(re.sub(r"[^a-z0-9]", "", acronym.lower()), eid)
+                acronyms[re.sub(r"[^a-z0-9]", "", acronym.lower())].setdefault(name, eid)
             words = _words(normalise(name))
             kinds = [w for w in words if w in set(_KIND.values())]
             core = " ".join(w for w in words if w not in set(_KIND.values()))
@@ -146,6 +147,8 @@ class Mapper:
             for form in {full, " ".join([*kinds, core]), " ".join([core, *kinds]), " ".join([*(k for k in kinds if k != "university"), core, *(k for k in kinds if k == "university")])}:
                 if kinds or form == full:
                     aliases[form].add(eid)
+        #: An acronym that entries of different names share means none of them.
+        self.acronyms = {a: next(iter(ids.values())) if len(ids) == 1 else 0 for a, ids in acronyms.items() if a}
         for core, found in by_core.items():
             if core and len(found) == 1:
                 self.exact[core] = found[0][0]
@@ -166,16 +169,18 @@ class Mapper:
             for form in _spelt(self.core[eid], self.kinds[eid]):
                 squeezed[form].add(eid)
         self.forms = [(f, min(ids)) for f, ids in squeezed.items() if len(ids) == 1]
-        pairs = sorted({f[i : i + 2] for f, _ in self.forms for i in range(len(f) - 1)})
-        self.pair = {p: i for i, p in enumerate(pairs)}
-        self.matrix = np.zeros((len(self.forms), len(pairs)), dtype=np.float32)
-        for r, (f, _) in enumerate(self.forms):
-            for i in range(len(f) - 1):
-                self.matrix[r, self.pair[f[i : i + 2]]] = 1
-        self.length = np.array([len(f) for f, _ in self.forms])
-        self.most = np.minimum(self.edits, np.where(self.length < 8, 1, 2))
-        # An edit undoes at most three pairs of a form (an exchange of neighbours): what must be left of its pairs.
-        self.least = self.matrix.sum(axis=1) - 3 * self.most
+        self.index = PairIndex([f for f, _ in self.forms], self.edits)
+        # token sets: the words of every entry, kinds in one spelling
+        tokens: dict[frozenset[str], set[int]] = defaultdict(set)
+        for eid in self.core:
+            tokens[frozenset(self.core[eid].split()) | frozenset(self.kinds[eid])].add(eid)
+        self.sets = [(t, min(ids)) for t, ids in tokens.items() if len(ids) == 1 and t]
+        by_word: dict[str, list[int]] = defaultdict(list)
+        for i, (t, _) in enumerate(self.sets):
+            for w in t:
+                by_word[w].append(i)
+        self.by_word = dict(by_word)
+        self.word_index = PairIndex(sorted(by_word), self.edits)
 
     def _rest_allows(self, rest: str) -> bool:
         return not any(w in _OTHER or w in set(_KIND.values()) for w in rest.split())
@@ -228,33 +233,76 @@ class Mapper:
         return self._similar([*parts, *([whole] if not any(w in _OTHER for w in whole.split()) else [])])
 
     def _similar(self, parts: list[str]) -> int:
-        if not self.forms:
-            return 0
+        usable = [t for t in dict.fromkeys([*parts, " ".join(parts)]) if not any(w in _OTHER for w in t.split())]
+        found = self._token_sets(usable)
+        return self._run_together(usable) if found is None else found
+
+    def _token_sets(self, texts: list[str]) -> int | None:
+        """The entry whose words are the text's, in any order, within the edits in all; 0 if two fit as well; None if none does."""
+        best: list[tuple[int, int, int]] = []
+        for text in texts:
+            own = {_KIND.get(w, w) for w in text.split() if w not in _DROP}
+            near = {w: {self.word_index.forms[r]: d for r, d in self.word_index.near(w)} for w in own}
+            tried = {i for w in own for x in near[w] for i in self.by_word[x] if len(self.sets[i][0]) == len(own)}
+            for i in tried:
+                left, spent = set(self.sets[i][0]), 0
+                for w in sorted(own, key=lambda w: (w not in left, w)):
+                    fits = [(d, x) for x, d in near[w].items() if x in left]
+                    if not fits:
+                        spent = self.edits + 1
+                        break
+                    d, x = min(fits)
+                    left.discard(x)
+                    spent += d
+                if spent <= self.edits:
+                    best.append((spent, -len(own), self.sets[i][1]))
+        if not best:
+            return None
+        ids = {eid for d, n, eid in best if (d, n) == min(best)[:2]}
+        return ids.pop() if len(ids) == 1 else 0
+
+    def _run_together(self, texts: list[str]) -> int:
+        """For words that edits have run together or torn: the form closest as one string."""
         best: list[tuple[float, int]] = []  # fewest edits, then the longest form
-        for text in dict.fromkeys([*(p for p in parts), " ".join(parts)]):
-            if any(w in _OTHER for w in text.split()):
-                continue
+        for text in texts:
             t = text.replace(" ", "")
-            if len(t) < 5:
-                continue
-            vec = np.zeros(len(self.pair), dtype=np.float32)
-            for i in range(len(t) - 1):
-                if t[i : i + 2] in self.pair:
-                    vec[self.pair[t[i : i + 2]]] = 1
-            near = (self.matrix @ vec >= self.least) & (np.abs(self.length - len(t)) <= self.most)
-            for r in np.flatnonzero(near):
-                form, eid = self.forms[r]
-                most = int(self.most[r])
-                d = _distance(t, form, most)
-                if d <= most:
-                    best.append((d - len(form) / 1000, eid))
+            if len(t) >= 5:  # shorter ones are within two edits of half the list
+                best += [(d - len(self.forms[r][0]) / 1000, self.forms[r][1]) for r, d in self.index.near(t)]
         if not best:
             return 0
-        least = min(best)[0]
-        ids = {eid for d, eid in best if d == least}
+        ids = {eid for d, eid in best if d == min(best)[0]}
         return ids.pop() if len(ids) == 1 else 0
 
 
+class PairIndex:
+    """Strings by their letter pairs, to find all within some edits of a text (one edit below eight letters)."""
+
+    def __init__(self, forms: list[str], edits: int) -> None:
+        self.forms = forms
+        lists: dict[str, list[int]] = defaultdict(list)
+        for r, f in enumerate(forms):
+            for p in {f[i : i + 2] for i in range(len(f) - 1)}:
+                lists[p].append(r)
+        self.lists = {p: np.array(rows, dtype=np.int32) for p, rows in lists.items()}
+        self.length = np.array([len(f) for f in forms], dtype=np.int32)
+        self.most = np.minimum(edits, np.where(self.length < 8, 1, 2))
+        # An edit undoes at most three pairs of a form (an exchange of neighbours): what must be left of its pairs.
+        self.least = np.array([len({f[i : i + 2] for i in range(len(f) - 1)}) for f in forms], dtype=np.int32) - 3 * self.most
+
+    def near(self, text: str) -> list[tuple[int, int]]:
+        """``(row, edits)`` of every form within its edits of ``text``."""
+        if not self.forms:
+            return []
+        hits = [self.lists[p] for p in {text[i : i + 2] for i in range(len(text) - 1)} if p in self.lists]
+        shared = np.bincount(np.concatenate(hits), minlength=len(self.forms)) if hits else np.zeros(len(self.forms), dtype=np.int64)
+        out = []
+        for r in np.flatnonzero((shared >= self.least) & (np.abs(self.length - len(text)) <= self.most)):
+            d = _distance(text, self.forms[r], int(self.most[r]))
+            if d <= self.most[r]:
+                out.append((int(r), d))
+        return out
+
+
 def map_values(df: DataFrame, key: str, fields: list[str], reference: DataFrame, entry_id: str, entry_name: str, acronym: str | None = None, max_entries: int = 100_000) -> DataFrame:
     """``key, field, value, <entry_id>`` of every cell of ``fields`` that holds a value; id 0: means no entry.
 
@@ -273,9 +321,12 @@ def map_values(df: DataFrame, key: str, fields: list[str], reference: DataFrame,
         cells = one if cells is None else cells.unionByName(one)
 
     @F.pandas_udf(T.LongType())
-    def meant(values: pd.Series) -> pd.Series:
+    def meant(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         mapper = Mapper(entries)
-        return values.map(lambda v: names.get(v) or mapper(v)).astype("int64")
+        for values in batches:
+            yield values.map(lambda v: names.get(v) or mapper(v)).astype("int64")
 
-    distinct = cells.groupBy("value").count().withColumn(entry_id, meant("value")).select("value", entry_id)
+    # the values are few bytes but much work: they are spread over tasks by number, not by size
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = cells.select("value").distinct().repartition(tasks, "value").withColumn(entry_id, meant("value"))
     return cells.join(stage(distinct, "mapped"), "value").select(key, "field", "value", entry_id)

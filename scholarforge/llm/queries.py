@@ -45,7 +45,7 @@ def _page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repaired(df, "profile_id", "text_raw", _site()).select("profile_id", "text_raw")
 
 
-def _learnt(spark: SparkSession, sf_dir: str) -> dict[str, bool]:
+def _learnt(spark: SparkSession, sf_dir: str) -> dict[int, bool]:
     """Wording of site furniture, learnt from all pages."""
     return boilerplate.site_wording(_profiles(spark, sf_dir).select("profile_link", "text_raw"), _site(), "profile_link", "text_raw")
 
