@@ -172,9 +172,13 @@ def _implied(line: str) -> str:
 _short = lru_cache(maxsize=1 << 15)(_implied)
 
 
+#: Signs that open an entry of a list.
+_MARKS = "•·▪‣◦*–»›- "
+
+
 def wording(line: str) -> int:
     """Hash of a line as it is compared between pages: lower case, without a leading mark, digits as 0; the JVM's twin is in :func:`site_wording`."""
-    text = re.sub(r"[0-9]+", "0", re.sub(r"^[•·▪‣◦*–»›-]\s+", "", line.strip(" \t").lower()))
+    text = re.sub("[0-9]+", "0", line.strip(" ").lower().lstrip(_MARKS))
     return xxhash.xxh64_intdigest(text.encode(), 42)
 
 
@@ -206,7 +210,8 @@ def site_wording(df: DataFrame, site: Column, page: str, text: str, share: float
     the shuffle.
     """
     pages = df.where(F.length(text) > 0).select(F.xxhash64(F.coalesce(site.cast("string"), F.lit(""))).alias("site"), F.xxhash64(page).alias("page"), F.col(text).alias("t"))
-    said = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.col("l"), F.lit(" \t"))), r"^[•·▪‣◦*–»›-]\s+", ""), "[0-9]+", "0")
+    bare = F.ltrim(F.lower(F.trim("l")), F.lit(_MARKS))
+    said = F.when(bare.rlike("[0-9]"), F.regexp_replace(bare, "[0-9]+", "0")).otherwise(bare)
     lines = pages.select("site", "page", F.explode(F.split("t", "\n")).alias("l")).where((F.length("l") > 1) & (F.length("l") < _LONGEST) & F.col("l").rlike("[a-zA-Z]{2}"))
     lines = lines.select("site", "page", said.alias("l")).select("site", "page", F.xxhash64("l").alias("h"), (F.size(F.split("l", " ")) > 6).alias("long"))
     all_pages = stage(pages.select("site", "page").distinct().groupBy("site").agg(F.count("*").alias("n")), "sites")

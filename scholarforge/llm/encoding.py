@@ -99,17 +99,12 @@ def _regex(chain: str) -> re.Pattern:
     return re.compile("|".join("".join(map(_klass, by_len[n])) for n in sorted(by_len, reverse=True)))
 
 
-def suspect_pattern() -> str:
-    """Pattern, for the JVM, of texts that can hold damage under any chain.
+def is_suspect(text: Column) -> Column:
+    """Whether a text can hold damage under any chain: every form begins with two characters outside ASCII.
 
-    Every form begins with two characters outside ASCII; larger classes are far
-    slower in Java's regular expressions than this one.
+    Larger classes, alternatives and counted repeats are two to three times slower in Java.
     """
-    return r"[^\x00-\x7f]{2}|\ufffd"
-
-
-def is_suspect(text: Column) -> Column:
-    return F.coalesce(text.rlike(suspect_pattern()), F.lit(False))
+    return F.coalesce(text.rlike(r"[^\x00-\x7f][^\x00-\x7f]") | text.contains("\ufffd"), F.lit(False))
 
 
 _EVIDENCE = T.ArrayType(T.StructType([T.StructField("chain", T.StringType()), T.StructField("seq", T.StringType()), T.StructField("target", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("alone", T.IntegerType())]))
@@ -155,12 +150,11 @@ def damaged_cells(df: DataFrame, key: str, fields: list[str], source: Column, to
     ``smoothing`` is the weight, in cells, of the field's overall shares against those
     of a source.
     """
-    pattern = suspect_pattern()
     parts = []
     for f in fields:
         parts.append(
             df.select(F.col(key).alias("__key"), F.lit(f).alias("__field"), F.coalesce(source.cast("string"), F.lit("")).alias("__source"), F.col(f).cast("string").alias("__text"))
-            .where(F.col("__text").rlike(pattern))
+            .where(is_suspect(F.col("__text")))
         )
     cells = parts[0]
     for p in parts[1:]:
@@ -295,7 +289,9 @@ def _restore_lost(broken: DataFrame, all_cells: DataFrame, key: str, text: str,
     lost = broken.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))).alias("__w")).where(F.col("__w").contains("�"))
     lost = lost.withColumn("__s", _skeleton(F.col("__w"))).where(F.length("__s") > 2)
     wanted = lost.select("__s").distinct()
-    words = all_cells.where(F.col(text).rlike(r"[\u00c0-\u024f]")).select(F.explode(F.regexp_extract_all(text, F.lit(r"(?<!\p{L})[a-zA-Z]*+[\u00c0-\u024f][\p{L}\p{M}]*"), F.lit(0))).alias("__v"))
+    # pieces between blanks are told apart by their bytes, far cheaper than by a pattern over whole texts
+    pieces = all_cells.where(F.octet_length(text) != F.length(text)).select(F.explode(F.filter(F.split(F.col(text), " "), lambda w: F.octet_length(w) != F.length(w))).alias("__p")).where(F.col("__p").rlike(r"[\u00c0-\u024f]"))
+    words = pieces.select(F.explode(F.regexp_extract_all("__p", F.lit(r"(?<!\p{L})[a-zA-Z]*+[\u00c0-\u024f][\p{L}\p{M}]*"), F.lit(0))).alias("__v"))
     words = words.groupBy("__v").count().withColumn("__s", _skeleton(F.col("__v"))).join(wanted, "__s", "left_semi")
     best = words.groupBy("__s").agg(F.max_by("__v", F.struct("count", "__v")).alias("__v"), (F.max("count") / F.sum("count")).alias("share")).where(F.col("share") >= least).select("__s", "__v")
     fixes = lost.join(best, "__s").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("__w", "__v"))).alias("__fix"))

@@ -46,7 +46,8 @@ _BULLET = re.compile(r"[•·▪‣◦*–»›-]\s")
 _NUMBERED = re.compile(r"\(?\d{1,3}[.)]\s")
 _CODED = re.compile(r"[A-Z]{1,4}[ -]?\d{2,5}\b")
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
-_PLAIN = frozenset(" .,;:!?'’‘“”\"()-–—/\t%°\n")
+#: Signs other than those of ordinary text.
+_ODD = re.compile(r"[^\w .,;:!?'’‘“”\"()\-–—/\t%°\n]|_")
 
 #: Number of values of each feature of a line.
 SIZES = (35, 3, 4, 5, 4, 5, 6, 6, 4, 4)
@@ -69,7 +70,7 @@ def line_features(line: str) -> tuple[tuple[int, ...], int, int, int, int]:
             mixed += 1
     size = max(1, len(line))
     digits = sum(map(line.count, "0123456789")) / size
-    symbols = sum(1 for c in line if not c.isalnum() and c not in _PLAIN) if not line.replace(" ", "").isalnum() else 0
+    symbols = len(_ODD.findall(line))
     seps = len(_SEPARATED.findall(line))
     end = line[-1:]
     start = 0 if _BULLET.match(line) else 1 if _NUMBERED.match(line) else 2 if _CODED.match(line) else 3 if line[:1].isupper() else 4 if line[:1].islower() else 5

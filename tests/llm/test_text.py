@@ -134,7 +134,12 @@ def test_classes_are_transitive():
     for a, b in (("a", "b"), ("b", "c"), ("x", "y")):
         sets.union(a, b)
     assert sets.find("a") == sets.find("c") != sets.find("x")
-    assert confusables.representatives({"a": 1, "а": 90})["a"] == "а" and confusables.representatives({"a": 5, "а": 1})["а"] == "a"
+    # an ordinary letter or sign is never rewritten, however frequent its look-alikes are
+    for counts in ({"a": 1, "а": 90}, {"a": 5, "а": 1}, {"\u2010": 900, "-": 1}):
+        reps = confusables.representatives(counts)
+        assert reps["а"] == "a" and reps["\u2010"] == reps["\u2011"] == "-" and not {"a", "-"} & set(reps)
+    put = confusables.Rewriter(confusables.representatives({"\u2010": 900}))
+    assert {put(x) for x in ("Bio-chem", "Bio\u2010chem", "Bio\u2011chem", "Вio-сhеm")} == {"Bio-chem"}
 
 
 def test_variant_cells(spark):
