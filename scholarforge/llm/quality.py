@@ -45,6 +45,7 @@ _SEPARATED = re.compile(r"\t|\s\|\s|;|,|\s{2,}")
 _BULLET = re.compile(r"[•·▪‣◦*–»›-]\s")
 _NUMBERED = re.compile(r"\(?\d{1,3}[.)]\s")
 _CODED = re.compile(r"[A-Z]{1,4}[ -]?\d{2,5}\b")
+_USUAL = ".,;:()!?'’‘“”\"–—-/%•*"
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 #: Signs other than those of ordinary text.
 _ODD = re.compile(r"[^\w .,;:!?'’‘“”\"()\-–—/\t%°\n]|_")
@@ -57,21 +58,27 @@ def line_features(line: str) -> tuple[tuple[int, ...], int, int, int, int]:
     """Coarse features of a line; its words, letters in words, common words and symbols."""
     words = line.split()
     n = len(words)
-    letters = common = mixed = 0
-    for w in words:
-        w = w if w.isalpha() else _EDGE.sub("", w)
-        letters += len(w)
-        low = w.lower()
-        if low in _COMMON:
-            common += 1
-        elif w and not w.isalpha() and not w.isdigit() and not w.replace("-", "").replace("’", "").replace("'", "").isalpha():
-            mixed += not w.replace(".", "").replace(",", "").isdigit()
-        elif not w:
-            mixed += 1
+    plain = list(filter(str.isalpha, words))
+    letters = len("".join(plain))
+    common = sum(map(_COMMON.__contains__, " ".join(plain).lower().split(" "))) if plain else 0
+    mixed = 0
+    for w in words if len(plain) < n else ():
+        if not w.isalpha():
+            w = w.strip(_USUAL)
+            if w and not (w[0].isalnum() and w[-1].isalnum()):
+                w = _EDGE.sub("", w)
+            letters += len(w)
+            if w.lower() in _COMMON:
+                common += 1
+            elif not w:
+                mixed += 1
+            elif not w.isalpha() and not w.isdigit() and not w.replace("-", "").replace("’", "").replace("'", "").isalpha():
+                mixed += not w.replace(".", "").replace(",", "").isdigit()
     size = max(1, len(line))
     digits = sum(map(line.count, "0123456789")) / size
     symbols = len(_ODD.findall(line))
-    seps = len(_SEPARATED.findall(line))
+    simple = line.count(" ") == n - 1 == len(line) - sum(map(len, words)) and "|" not in line  # every space is a single blank
+    seps = line.count(";") + line.count(",") if simple else len(_SEPARATED.findall(line))
     end = line[-1:]
     start = 0 if _BULLET.match(line) else 1 if _NUMBERED.match(line) else 2 if _CODED.match(line) else 3 if line[:1].isupper() else 4 if line[:1].islower() else 5
     mean = letters / max(1, n)
