@@ -3,10 +3,12 @@
 How strongly a term reveals a protected entity is estimated from the whole
 collection.  For words with a capital: the pointwise mutual information between the
 word and person contexts, first those that a title opens, then those beside words
-already known to be strong.  For the words that label a number: the mutual
-information between the label and a person named in the same line.  A mention is
-replaced if its terms exceed the disclosure thresholds.  Mail addresses, telephone
-numbers and street addresses are recognised by form.
+already known to be strong.  For numbers, mail addresses, telephone numbers and
+street addresses, which are met once each, the term is what stands for them: the
+words that label a number, the shape of a telephone number, the word for a way, the
+sign of a mail address; it counts how much more often a person is named on their
+lines than on any line.  An item is replaced if its terms exceed the disclosure
+threshold; the lists of labels and the forms weigh two and a half bits at the start, no more.
 
 Found items become typed placeholders such as ``[NAME]``; all else stays as it is.
 
@@ -35,6 +37,9 @@ TITLES = frozenset("dr prof professor mr mrs ms miss mx sir dame herr herrn frau
 PERSON_LABELS = frozenset("staff no|staff number|staff id|personnel number|personnel no|employee number|employee no|student number|student no|student id|matriculation|matriculation number|passport|passport no|passport number|ssn|social security|security number|national id|card no|card number|identity no|identity number|id no|id number|insurance number|insurance no|tax number|tax id|licence no|dni|nif|nie|matrikelnummer|personalnummer|ausweis|reisepass|pasaporte|passeport|patient no|patient number".split("|"))
 # Labels of numbers that belong to things.
 THING_LABELS = frozenset("budget line|serial|serial number|serial no|accession|accession number|isbn|issn|doi|reference|grant reference|grant|firmware|module|room|catalogue no|order no|invoice no|invoice number|order number|version|volume|account|station|line|lot|batch|item|part number|pp|page|pages|hours|tel|phone|telephone|fax".split("|"))
+#: Bits by which a listed label, or a form made for reaching a person, is believed before the collection has spoken.
+PRIOR_BITS = 2.5
+_WAY = re.compile(r"street|st\b|avenue|ave\b|avenida|avda|road|rd\b|lane|drive|dr\b|blvd|boulevard|close|crescent|terrace|way\b|place|square|court|gardens|grove|row\b|hill|rue|chemin|allée|impasse|quai|straße|strasse|weg|gasse|allee|platz|damm|ufer|calle|plaza|paseo|camino|c/")
 _GENERIC = frozenset("no number id nr num nº n° # nummer número numéro".split())
 
 _AT = re.compile(r" ?(?:@|[\[({] ?at ?[\])}]) ?| at (?=[\w-]+(?:\.[\w-]+)* dot [\w-])", re.IGNORECASE)
@@ -114,6 +119,16 @@ def fixed_forms(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def term_of(kind: str, said: str) -> str:
+    """What stands for an item of a fixed form in the collection."""
+    if kind == "email":
+        return "@" if "@" in said else "at"
+    if kind == "phone":
+        return re.sub(r"\d+", "0", said)
+    way = _WAY.search(said.lower())
+    return way.group() if way else ""
+
+
 def _capitals(text: str) -> list[tuple[int, int, str]]:
     """Words with a capital; parts of addresses and codes are none."""
     out = []
@@ -188,14 +203,16 @@ def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
         seen: Counter = Counter()
+        lines = 0
         for key, text in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
             if not text:
                 continue
             breaks = [i for i, c in enumerate(text) if c == "\n"] if "\n" in text else []
+            lines += len(breaks) + 1
             tokens = _capitals(text)
             seen.update(t[2] for t in tokens)
             for kind, a, b in fixed_forms(text):
-                label = _label(text, a) if kind == "number" else ""
+                label = _label(text, a) if kind == "number" else term_of(kind, text[a:b])
                 rows.append((key, bisect_right(breaks, a) + 1, kind, "", label, "", a, b, 1))
             for form, first, second, a, b in name_candidates(text, tokens):
                 rows.append((key, bisect_right(breaks, a) + 1, "candidate", form, first, second, a, b, 1))
@@ -203,11 +220,12 @@ def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for w, n in seen.items():
             words[_proper(w)] += n
         rows += [(None, 0, "word", "", w, "", 0, 0, n) for w, n in words.items() if len(w) > 1]
+        rows.append((None, 0, "lines", "", "", "", 0, 0, lines))
         yield pd.DataFrame(rows, columns=names)
 
 
 def extract(df: DataFrame, key: str, text: str) -> DataFrame:
-    """All items and candidates, staged; ``first`` of a number is its label."""
+    """All items and candidates, staged; ``first`` of a number is its label, of another form its term."""
     return stage(df.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).mapInPandas(_items, ITEM), "items")
 
 
@@ -253,28 +271,43 @@ def found_items(df: DataFrame, key: str, text: str, bits: float = 2.0) -> DataFr
     judged = pairs.withColumn("__part", F.when(F.col("second").contains("-"), F.substring_index("second", "-", 1)))
     judged = judged.join(first, "first", "left").join(second, "second", "left").join(part, "__part", "left").withColumn("s_surname", F.greatest("s_surname", "p_surname"))
     v = lambda c: F.coalesce(F.col(c), F.lit(-9.0))
+    # a word met once after an initial is told by the form itself: by most words after initials that are met more often
+    initials = judged.where("form = 'I' and s_n > 1").agg(F.coalesce(F.avg((v("s_surname") > bits).cast("double")), F.lit(1.0)).alias("__share"))
+    judged = judged.crossJoin(F.broadcast(initials.select((F.col("__share") > 0.5).alias("__initials"))))  # one row
     rare = -2.0  # a word met once or twice tells nothing against a person
     strong = (
         F.when(F.col("form") == "T", (v("s_surname") > bits))
         .when(F.col("form") == "G", ((v("f_given") > bits) & (v("s_surname") > rare)) | ((v("s_surname") > bits) & (v("f_given") > rare)))
         .when(F.col("form") == "C", ((v("f_surname") > bits) & ((v("s_given") > bits) | (F.length("second") == 1))))
-        .when(F.col("form") == "I", (v("s_surname") > bits) | (F.col("s_n") == 1))
+        .when(F.col("form") == "I", (v("s_surname") > bits) | ((F.col("s_n") == 1) & F.col("__initials")))
         .otherwise(v("f_surname") > bits)
     )
     named = judged.where(strong).select("form", "first", "second")
     names = items.where("kind = 'candidate'").join(named, ["form", "first", "second"], "left_semi").select("key", "line_no", F.lit("name").alias("kind"), "start", "stop")
     names = stage(names, "names")
-    # Numbers: how much their label tells of a person in the same line.
-    numbers = items.where("kind = 'number' and first != ''")
+    fixed = items.where("kind = 'number' and first != '' or kind in ('email', 'phone', 'address')")
+    strong_terms = _term_scores(items, fixed, names).where(F.col("told") > bits).select("kind", "first")
+    rest = fixed.join(strong_terms, ["kind", "first"], "left_semi").select("key", "line_no", F.when(F.col("kind") == "number", "id_number").otherwise(F.col("kind")).alias("kind"), "start", "stop")
+    return names.unionByName(rest)
+
+
+def _term_scores(items: DataFrame, fixed: DataFrame, names: DataFrame, few: float = 5.0) -> DataFrame:
+    """``kind, first, told``: bits by which a person is likelier on a line with the term than on any line.
+
+    A term met ``few`` times or less leans on its kind as a whole; a label of numbers met
+    less often than that has its prior only.  Shapes of numbers and labels are many, but each is one row; none is collected.
+    """
     people = names.select("key", "line_no").distinct().withColumn("p", F.lit(1))
-    labels = numbers.join(people, ["key", "line_no"], "left").groupBy("first").agg(F.count("*").alias("n"), F.sum(F.coalesce("p", F.lit(0))).alias("p"))
-    base = labels.agg((F.sum("p") + 1.0).alias("bp"), (F.sum("n") + 2.0).alias("bn"))
-    prior = F.when(F.col("first").isin(*PERSON_LABELS), 50.0).when(F.col("first").isin(*THING_LABELS), -50.0).otherwise(0.0)
-    labels = labels.crossJoin(F.broadcast(base)).withColumn("told", F.log2(((F.col("p") + 0.5) / (F.col("n") + 1.0)) / (F.col("bp") / F.col("bn"))) + prior)
-    personal = labels.where("told > 0.5 and (n >= 5 or told > 10)").select("first")
-    ids = numbers.join(personal, "first", "left_semi").select("key", "line_no", F.lit("id_number").alias("kind"), "start", "stop")
-    rest = items.where("kind in ('email', 'phone', 'address')").select("key", "line_no", "kind", "start", "stop")
-    return names.unionByName(ids).unionByName(rest)
+    lines = items.where("kind = 'lines'").agg(F.sum("n").alias("lines"))
+    base = people.agg(F.count("*").alias("named")).crossJoin(lines).select(((F.col("named") + 1.0) / (F.coalesce("lines", F.lit(0)) + 50.0)).alias("base"))
+    terms = fixed.join(people, ["key", "line_no"], "left").groupBy("kind", "first").agg(F.count("*").alias("n"), F.sum(F.coalesce("p", F.lit(0))).alias("p"))
+    kinds = terms.groupBy("kind").agg(F.sum("n").alias("kn"), F.sum("p").alias("kp"))
+    both = terms.join(F.broadcast(kinds), "kind").crossJoin(F.broadcast(base))  # four rows, one row
+    lean = F.when(F.col("kind") == "number", F.col("base")).otherwise((F.col("kp") + F.col("base")) / (F.col("kn") + 1.0))
+    prior = F.when(F.col("kind") != "number", PRIOR_BITS).when(F.col("first").isin(*PERSON_LABELS), PRIOR_BITS).when(F.col("first").isin(*THING_LABELS), -PRIOR_BITS).otherwise(0.0)
+    told = F.log2((F.col("p") + few * lean) / (F.col("n") + few) / F.col("base"))
+    told = F.when((F.col("kind") == "number") & (F.col("n") < few), 0.0).otherwise(told)  # so few lines tell nothing of a label
+    return both.select("kind", "first", (told + prior).alias("told"))
 
 
 def sanitised(df: DataFrame, key: str, text: str, into: str = "sanitised", bits: float = 2.0) -> DataFrame:
