@@ -83,7 +83,7 @@ def line_features(line: str) -> tuple[tuple[int, ...], int, int, int, int]:
     start = 0 if _BULLET.match(line) else 1 if _NUMBERED.match(line) else 2 if _CODED.match(line) else 3 if line[:1].isupper() else 4 if line[:1].islower() else 5
     mean = letters / max(1, n)
     semis = line.count(";")
-    distinct = len(set(words)) / max(1, n)
+    distinct = len(set(words)) / n if n >= 10 else 1.0
     long = 0 if n <= 1 else 1 if n <= 3 else 2 if n <= 6 else 3 if n <= 9 else 4 if n <= 14 else 5 if n <= 25 else 6
     usual = 0 if not common else 1 if common < 0.08 * n else 2 if common < 0.16 * n else 3 if common < 0.28 * n else 4
     features = (
