@@ -39,11 +39,12 @@ def candidates(profiles: DataFrame, person: Person) -> DataFrame:
     return profiles.where((F.col("department") == person.department) & (F.col("position") == person.position))
 
 
-def _scaled(df: DataFrame, difference: Column, score: str) -> DataFrame:
-    """``score`` = 1 - difference / largest difference; the largest is one aggregate joined back, no global window."""
-    df = df.withColumn("__d", difference)
-    largest = df.agg(F.max("__d").alias("__max"))
-    return df.crossJoin(F.broadcast(largest)).withColumn(score, closeness(F.col("__d"), F.col("__max"))).drop("__d", "__max")
+def _scaled(df: DataFrame, away: dict[str, Column]) -> DataFrame:
+    """Every score = 1 - difference / largest difference; all largest ones are one aggregate joined back, no global window."""
+    df = df.withColumns({f"__d_{s}": d for s, d in away.items()})
+    largest = df.agg(*[F.max(f"__d_{s}").alias(f"__max_{s}") for s in away])
+    df = df.crossJoin(F.broadcast(largest)).withColumns({s: closeness(F.col(f"__d_{s}"), F.col(f"__max_{s}")) for s in away})
+    return df.drop(*[f"__{x}_{s}" for x in ("d", "max") for s in away])
 
 
 def school_ranks(profiles: DataFrame, universities: DataFrame, fuzzy: bool, most: int = 5_000) -> DataFrame:
@@ -71,10 +72,11 @@ def scored(profiles: DataFrame, person: Person, metrics: list[str], universities
     """
     check_metrics(metrics)
     df = candidates(profiles, person)
+    away: dict[str, Column] = {}
     if "PHD YEAR" in metrics:
-        df = _scaled(df, F.abs(year(F.col("phd_year")) - F.lit(person.phd_year).cast("int")), "phd_year_score")
+        away["phd_year_score"] = F.abs(year(F.col("phd_year")) - F.lit(person.phd_year).cast("int"))
     if "PROMO YEAR" in metrics:
-        df = _scaled(df, F.abs(year(F.col("promotion_year")) - F.lit(person.promotion_year).cast("int")), "promotion_year_score")
+        away["promotion_year_score"] = F.abs(year(F.col("promotion_year")) - F.lit(person.promotion_year).cast("int"))
     if "PHD UNIVERSITY" in metrics:
         spark = profiles.sparkSession
         asked = school_ranks(spark.createDataFrame([(person.phd_school,)], "phd_school string"), universities, fuzzy).first() if person.phd_school else None
@@ -83,31 +85,48 @@ def scored(profiles: DataFrame, person: Person, metrics: list[str], universities
         else:
             ranks = stage(school_ranks(df, universities, fuzzy), "ranks")
             df = df.join(ranks, "phd_school", "left")
-            away = F.when(F.col("school_rank") != -1, F.abs(F.col("school_rank") - asked["school_rank"]))
-            df = _scaled(df, away, "phd_school_score").drop("school_rank")
+            away["phd_school_score"] = F.when(F.col("school_rank") != -1, F.abs(F.col("school_rank") - asked["school_rank"]))
+    if away:
+        df = _scaled(df, away).drop("school_rank")
     if "RESEARCH AREA SIMILARITY" in metrics:
         df = df.join(research.select(key, "research_area_score"), key, "left")
     return df.withColumn("final_score", mean_known(*[F.col(SCORES[m]) for m in metrics]))
 
 
-def ranked(scores: DataFrame, key: str = "profile_id") -> DataFrame:
-    """Peers and aspirants with their place in their list (W1, K3); missing scores last, ties by key."""
+def _placed(scores: DataFrame, key: str) -> DataFrame:
+    """Places within the lists by one window: for heads of lists, which are short."""
     place = Window.partitionBy("tag").orderBy(F.desc_nulls_last("final_score"), F.col(key))
     return scores.where(F.col("tag").isin("peer", "aspirant")).withColumn("place", F.row_number().over(place))
 
 
+def ranked(scores: DataFrame, key: str = "profile_id") -> DataFrame:
+    """Peers and aspirants with their place in their list (W1, K3); missing scores last, ties by key.
+
+    Ranges of scores are numbered each by itself and moved by the number of rows in the
+    ranges before, so that no task sorts a whole list.
+    """
+    order = [F.col("tag"), F.desc_nulls_last("final_score"), F.col(key)]
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scores.where(F.col("tag").isin("peer", "aspirant")).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    rows = stage(rows, "ranges")
+    sizes = rows.groupBy("tag", "__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("tag", "__part", (F.sum("__n").over(Window.partitionBy("tag").orderBy("__part")) - F.col("__n")).alias("__before"))  # at most two rows a range
+    own = F.row_number().over(Window.partitionBy("tag", "__part").orderBy(F.desc_nulls_last("final_score"), F.col(key)))
+    return rows.join(F.broadcast(before), ["tag", "__part"]).withColumn("place", (F.col("__before") + own).cast("int")).select(*scores.columns, "place")
+
+
 def preview(scores: DataFrame, key: str = "profile_id", total: int = 10, peers: int = 6) -> DataFrame:
     """Quota list of ``total`` (W2): six peers and four aspirants, each list making up for the other.
 
     Only the first ``total`` of either list can appear, so each is cut by a top-k
     before the quota is taken; no window runs over a whole list.
     """
-    known = scores.where(F.col("name") != "Unknown")
+    known = stage(scores.where(F.col("name") != "Unknown").select(key, "tag", "final_score", *[c for c in scores.columns if c not in (key, "tag", "final_score")]), "scores")
     counts = known.groupBy("tag").agg(F.count("*").alias("n"))
     counts = counts.agg(F.coalesce(F.max(F.when(F.col("tag") == "peer", F.col("n"))), F.lit(0)).alias("p"), F.coalesce(F.max(F.when(F.col("tag") == "aspirant", F.col("n"))), F.lit(0)).alias("a"))
     order = [F.desc_nulls_last("final_score"), F.col(key)]
     heads = [known.where(F.col("tag") == t).orderBy(*order).limit(total) for t in ("peer", "aspirant")]
-    top = ranked(heads[0].unionByName(heads[1]), key).crossJoin(F.broadcast(counts))
+    top = _placed(heads[0].unionByName(heads[1]), key).crossJoin(F.broadcast(counts))
     rest = total - peers
     most_peers = F.when(F.col("p") < peers, F.col("p")).when(F.col("a") >= rest, peers).otherwise(total - F.col("a"))
     most_asp = F.when(F.col("p") < peers, total - F.col("p")).when(F.col("a") >= rest, rest).otherwise(F.col("a"))

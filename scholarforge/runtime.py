@@ -22,6 +22,9 @@ _STAGED: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share; made and set only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()  # set by setCheckpointDir alone
+        found = given.get() if given.isDefined() else None
     if not found:
         master = spark.sparkContext.master
         if not master.startswith("local"):

@@ -144,7 +144,7 @@ def test_sources_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", "A", "x", 0)], S)
     for _ in range(2):
         sinks.upsert_folder(spark, str(tmp_path / "store"), df)
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 1
+    assert sinks.read_store(spark, str(tmp_path / "store")).count() == 1 and sinks.read_store(spark, str(tmp_path / "none")) is None
     sinks.set_process(spark, str(tmp_path / "process"), "core", True)
     sinks.export_csv(df, str(tmp_path / "csv"))
     sinks.ranking_json(df, str(tmp_path / "json"))
@@ -157,7 +157,31 @@ def test_streams(spark, tmp_path):
     rows = [(i, f"l{i % 3}", f"n{i}", 0, dt.datetime(2022, 1, 1) + dt.timedelta(days=i)) for i in range(9)]
     spark.createDataFrame(rows, schema).repartition(3).write.parquet(src)
     ingest.into_store(ingest.page_stream(spark, src, schema, 1), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    assert sinks.read_store(spark, str(tmp_path / "out")).count() == 3
     q = ingest.counted_stream(ingest.page_stream(spark, src, schema), "profile_link", "name", 3).writeStream.format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.sql("select max(hit_no), sum(int(needs_match)) from counted").first()[:] == (3, 3)
+
+
+def test_store_rewrites_only_what_is_touched(spark, tmp_path):
+    path = str(tmp_path / "store")
+    sinks.upsert_folder(spark, path, spark.createDataFrame([(f"l{i}", "A", "x", int(i == 1)) for i in range(40)], S), buckets=8)
+    before = sinks._current(spark, path)[1]
+    sinks.upsert_folder(spark, path, spark.createDataFrame([("l1", "B", "y", 0), ("l2", "B", "y", 0), ("new", "C", "z", 1)], S), buckets=8)
+    got = {r["profile_link"]: r for r in sinks.read_store(spark, path).collect()}
+    assert len(got) == 41 and got["l1"][1] == "B" and got["l2"][1] == "B" and got["new"]["user_updated"] == 0 and got["l3"][1] == "A"
+    after = sinks._current(spark, path)[1]
+    assert 5 <= sum(after[b] == v for b, v in before.items()) < 8
+    # a crash before the switch leaves the store as it was
+    spark.createDataFrame([("l9", "Z", "z", 0)], S).write.parquet(f"{path}/data/version=3/bucket=0")
+    assert sinks.read_store(spark, path).count() == 41
+    sinks.upsert_folder(spark, path, spark.createDataFrame([("l9", "D", "z", 0)], S), buckets=8)
+    assert sinks.read_store(spark, path).where("profile_link = 'l9'").count() == 1 and sinks.read_store(spark, path).count() == 41
+
+
+def test_ranges_are_numbered_like_one_list(spark):
+    rows = [(i, "peer" if i % 3 else "aspirant", None if i % 7 == 0 else (i * 37 % 50) / 50.0, "n") for i in range(200)] + [(500, None, 0.5, "n")]
+    scores = spark.createDataFrame(rows, "profile_id long, tag string, final_score double, name string")
+    got = {tuple(r) for r in ranking.ranked(scores).select("profile_id", "place").collect()}
+    assert got == {tuple(r) for r in ranking._placed(scores, "profile_id").select("profile_id", "place").collect()} and len(got) == 200
+    assert ranking.ranked(scores.limit(0)).count() == 0
