@@ -134,7 +134,7 @@ class LineModel:
         """Lines x features -> lines x states."""
         out = np.zeros((len(codes), _STATES))
         for f, table in enumerate(self.emit):
-            out += np.log(table[:, codes[:, f]]).T
+            out += np.ascontiguousarray(np.log(table).T)[codes[:, f]]
         return out
 
     def states(self, codes: list[np.ndarray], favour: np.ndarray | None = None, chunk: int = 60_000) -> list[np.ndarray]:
@@ -218,14 +218,15 @@ class LineModel:
 def _coded(text: str | None) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Features of the non-blank lines, their lengths, and the document's statistics."""
     lines = [x for x in (y.strip() for y in (text or "").split("\n")) if x]
-    codes = np.zeros((len(lines), len(SIZES)), dtype=np.int64)
-    sizes = np.zeros(len(lines))
+    rows = []
+    sizes = np.array([len(x) for x in lines], dtype=np.float64)
     words = letters = common = symbols = ends = 0
-    for i, line in enumerate(lines):
-        codes[i], n, l, c, s = line_features(line)
-        sizes[i] = len(line)
+    for line in lines:
+        row, n, l, c, s = line_features(line)
+        rows += row
         words, letters, common, symbols = words + n, letters + l, common + c, symbols + s
         ends += line[-1] in ".!?:;"
+    codes = np.array(rows, dtype=np.int64).reshape(-1, len(SIZES))
     size = max(1.0, float(sizes.sum()))
     return codes, sizes, [len(lines), words, letters / max(1, words), symbols / size, ends / max(1, len(lines)), common / max(1, words)]
 
