@@ -21,7 +21,7 @@ def without_space(c: Column) -> Column:
 def title_case(c: Column) -> Column:
     """Every run of letters with a capital first and the rest lower case, as Python's ``str.title``."""
     parts = F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "")
+    return F.array_join(F.transform(parts, lambda x: F.concat(F.replace(F.upper(F.substring(x, 1, 1)), F.lit("SS"), F.lit("Ss")), F.lower(F.substr(x, F.lit(2))))), "")
 
 
 def capitalised(c: Column) -> Column:

@@ -117,11 +117,10 @@ def e_cv_schools(spark, sf):
 
 
 def e_person_pages(spark, sf):
-    """Links of the frontier that are persons' pages, by title, page and title before."""
-    pages = _profiles(spark, sf).groupBy("profile_link").agg(F.max_by(F.struct("name", "university", "text_raw"), "profile_id").alias("p"))
-    f = _frontier(spark, sf).where("link is not null").select("frontier_id", "link", "title", "depth").join(pages, F.col("link") == F.col("profile_link"))
-    text = F.coalesce("p.text_raw", F.lit(""))
-    return f.select("frontier_id", navigation.is_person_page(F.coalesce("title", F.lit("")), F.col("p.name"), F.col("p.university"), F.split(text, "\n"), F.col("depth")).alias("personal"))
+    """Pages that are persons', by the link's title, the page's, the one before and the lines."""
+    title = F.concat_ws(" - ", "university", "name")
+    personal = navigation.is_person_page(F.coalesce("department", F.lit("")), title, F.coalesce("university", F.lit("")), F.split(F.coalesce("text_raw", F.lit("")), "\n"), urls.level(F.col("profile_link")))
+    return _profiles(spark, sf).select("profile_id", personal.alias("personal"))
 
 
 def x_normalised(spark, sf):

@@ -353,7 +353,7 @@ FROM s LEFT JOIN w USING (profile_link) WHERE s.user_updated = 1 OR w.profile_li
     "x_years": f"SELECT profile_id, {_Y.format(c='phd_year')} AS phd_year, {_Y.format(c='promotion_year')} AS promotion_year FROM profiles",
     "x_dates": f"SELECT activity_id, strftime(activity_timestamp, '%Y-%m-%d %H:%M') AS moment, CAST(year(activity_timestamp) AS INTEGER) AS year FROM {_AUDIT}",
     "x_collapsed": "SELECT profile_id, trim(regexp_replace(phd_school, '[\\s\\x0b\\x{85}\\p{Z}]+', ' ', 'g')) AS collapsed, regexp_replace(phd_school, '[\\s\\x0b\\x{85}\\p{Z}]+', '', 'g') AS removed FROM profiles WHERE phd_school IS NOT NULL",
-    "r_title_case": "SELECT profile_id, array_to_string(list_transform(regexp_extract_all(name, '\\p{L}+|\\P{L}+'), lambda x: upper(x[1]) || lower(x[2:])), '') AS name FROM profiles WHERE name IS NOT NULL",
+    "r_title_case": "SELECT profile_id, array_to_string(list_transform(regexp_extract_all(name, '\\p{L}+|\\P{L}+'), lambda x: CASE x[1] WHEN 'ß' THEN 'Ss' ELSE upper(x[1]) END || lower(x[2:])), '') AS name FROM profiles WHERE name IS NOT NULL",
     "x_person_name": "SELECT profile_id, CASE WHEN trim(name) = '' THEN 'Unknown' WHEN lower(w[1]) IN ('prof.', 'dr.', 'prof', 'dr', 'professor') THEN array_to_string(w[2:3], ' ') ELSE array_to_string(w[1:3], ' ') END AS name FROM (SELECT *, string_split(regexp_replace(name, '\\(\\d+\\)', '', 'g'), ' ') AS w FROM profiles)",
     "w_duplicates": "SELECT profile_id, CAST(i AS INTEGER) AS i FROM (SELECT profile_id, row_number() OVER (PARTITION BY profile_link, crawled_at, md5(text_raw) ORDER BY profile_id) AS i FROM profiles) WHERE i > 1",
     "j_users_of_requests": "SELECT benchmark_id, b.user_id, institution FROM benchmarks b LEFT JOIN users u ON b.user_id = u.user_id",
