@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from scholarforge.llm import encoding, entities, neardup, queries
@@ -78,3 +79,35 @@ def test_short_documents_are_grouped(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r["class_id"] for r in queries.p5_document_classes(spark, str(tmp_path)).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 5, 7: 7, 8: 8, 9: 9}
+
+
+def test_other_scripts_read_as_western_are_found(spark, tmp_path):
+    names = ["Иван Петров", "Мария Соколова", "Γιώργος Παπάς", "Ελένη Δήμου"]
+    rows = [(i, names[i % 4] if i % 3 else "Ann Lee", "A page about rivers and floods.") for i in range(80)]
+    rows += [(100 + i, encoding.mangle(names[i % 4], ("cp1252", "latin1")[i % 2]), None) for i in range(8)]
+    sf = _profiles(spark, tmp_path, rows)
+    got = {r["profile_id"]: r["repaired"] for r in queries.p1_repaired(spark, sf).collect()}
+    assert got == {100 + i: names[i % 4] for i in range(8)}
+
+
+def test_shared_acronyms_and_words_in_any_order():
+    mapper = entities.Mapper([(1, "University of Abrin", "UA"), (2, "University of Arkan", "UA"), (3, "Velk Institute of Technology", "VIT"), (4, "Royal Corvan Medical University", None)])
+    assert mapper("UA") == 0 and mapper("vit") == 3
+    assert mapper("Corvan University, Royal Medcal") == 4 and mapper("Medical Royal Univeristy Corvan") == 4
+    assert mapper("Royal Corvan Polytechnic") == 0 and mapper("") == 0
+
+
+def test_pairs_at_the_threshold_are_candidates():
+    rng = np.random.default_rng(5)
+    m, width = queries.TABLES, 2
+    seeds = neardup._seeds((1 + neardup.SECOND) * m * width)
+    found = 0
+    for _ in range(400):  # 60 of 120 sequences are shared
+        common, a, b = (rng.integers(0, 2**63, n, dtype=np.uint64) for n in (60, 30, 30))
+        least = neardup.minhashes([np.unique(np.concatenate([common, x])) for x in (a, b)], seeds)
+        x = neardup.sub_keys(least[:, : m * width], width)
+        y = neardup._mix(least[:, m * width :]).astype(np.uint8).reshape(2, -1, width)
+        same = y[0] == y[1]
+        hashes = same.size
+        found += (x[0] == x[1]).any() and same.all(axis=1).sum() >= neardup.LEAST_TABLES and same.sum() >= hashes / 2 - 1.5 * hashes**0.5
+    assert found >= 0.96 * 400
