@@ -20,6 +20,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -180,7 +181,9 @@ class Mapper:
             for w in t:
                 by_word[w].append(i)
         self.by_word = dict(by_word)
-        self.word_index = PairIndex(sorted(by_word), self.edits)
+        words = PairIndex(sorted(by_word), self.edits)
+        #: The words of entries near a word, with the edits between them; values share most of their words.
+        self.near_words = lru_cache(100_000)(lambda w: {words.forms[r]: d for r, d in words.near(w)})
 
     def _rest_allows(self, rest: str) -> bool:
         return not any(w in _OTHER or w in set(_KIND.values()) for w in rest.split())
@@ -242,8 +245,12 @@ class Mapper:
         best: list[tuple[int, int, int]] = []
         for text in texts:
             own = {_KIND.get(w, w) for w in text.split() if w not in _DROP}
-            near = {w: {self.word_index.forms[r]: d for r, d in self.word_index.near(w)} for w in own}
-            tried = {i for w in own for x in near[w] for i in self.by_word[x] if len(self.sets[i][0]) == len(own)}
+            near = {w: self.near_words(w) for w in own}
+            if not own or not all(near.values()):
+                continue
+            # every word must be met, so the entries that meet the rarest one are all that can
+            rarest = min(own, key=lambda w: (sum(len(self.by_word[x]) for x in near[w]), w))
+            tried = {i for x in near[rarest] for i in self.by_word[x] if len(self.sets[i][0]) == len(own)}
             for i in tried:
                 left, spent = set(self.sets[i][0]), 0
                 for w in sorted(own, key=lambda w: (w not in left, w)):
@@ -328,5 +335,5 @@ def map_values(df: DataFrame, key: str, fields: list[str], reference: DataFrame,
 
     # the values are few bytes but much work: they are spread over tasks by number, not by size
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = cells.select("value").distinct().repartition(tasks, "value").withColumn(entry_id, meant("value"))
+    distinct = cells.select("value").distinct().repartition(tasks, F.xxhash64("value")).withColumn(entry_id, meant("value"))
     return cells.join(stage(distinct, "mapped"), "value").select(key, "field", "value", entry_id)
