@@ -16,10 +16,10 @@ probability of 0.98 at 0.5, 0.999 at 0.6, 0.9999 at 0.7.
 
 Only the m sub-keys of the first collection are exchanged, each with all of the second
 beside it; the tables are formed where documents with an equal first sub-key meet, so
-that the exchange grows with m and not with m * m.  No bucket is capped: first sub-keys
-that very many documents hold are exchanged by the whole key of their tables, and tables
-are cut into blocks by hash, every pair of blocks being a task's row.  Every candidate is
-verified on its whole sets.
+that the exchange grows with m and not with m * m.  No bucket is capped: the documents of a
+first sub-key that very many hold are cut into blocks by hash, and every pair of blocks is
+met on its own in the same way, so that only pairs that pass all tests are ever written.
+Every candidate is verified on its whole sets.
 
 Defined results: documents with fewer than ``least_words`` words (or than n words)
 belong to no pair and to a class of their own, but with ``whole`` equal texts of fewer than
@@ -213,13 +213,6 @@ def _second(rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _table_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of the tables that the rows stand in, and their ids."""
-    tables = rows["y"].shape[1]
-    key = _second(rows).astype(np.uint64) * np.uint64(tables) + np.arange(tables, dtype=np.uint64)
-    return _mix(rows["x"][:, None] * _A + key).ravel(), np.repeat(rows["id"], tables)
-
-
 def _edges(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
 
@@ -252,7 +245,39 @@ def _alike(left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     return (np.minimum(left["size"], right["size"]) >= threshold * np.maximum(left["size"], right["size"])) & (same.sum(axis=1) >= enough)
 
 
-def _meet(m: int, width: int, least: int, threshold: float, tile: int = 256):
+def _tiles(a: np.ndarray, b: np.ndarray | None, least: int, threshold: float, tile: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs between the rows ``a`` and ``b`` (``None``: within ``a``) that share ``least`` second sub-keys, tile by tile.
+
+    Rows come in the order of their sizes; tiles whose sizes rule the threshold out are left out.
+    """
+    within, b = b is None, a if b is None else b
+    x, y = (np.ascontiguousarray(_second(rows).T) for rows in (a, b))
+    count = np.uint8 if len(x) < 256 else np.uint16
+    for lo in range(0, len(a), tile):
+        hi_a = min(lo + tile, len(a))
+        for hi in range(lo if within else 0, len(b), tile):
+            hi_b = min(hi + tile, len(b))
+            if a["size"][hi_a - 1] < threshold * b["size"][hi]:
+                break
+            if b["size"][hi_b - 1] < threshold * a["size"][lo]:
+                continue
+            shared = np.zeros((hi_a - lo, hi_b - hi), dtype=count)
+            same = np.empty(shared.shape, dtype=bool)
+            for p, q in zip(x[:, lo:hi_a], y[:, hi:hi_b]):
+                np.equal(p[:, None], q, out=same)
+                shared += same.view(np.uint8)
+            left, right = np.nonzero(shared >= least)
+            once = (left < right) if within and lo == hi else slice(None)
+            yield left[once] + lo, right[once] + hi
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Ids, the lesser first, of the pairs of rows that are alike."""
+    hit = _alike(a, b, threshold) & (a["id"] != b["id"])
+    return np.stack([np.minimum(a["id"], b["id"])[hit], np.maximum(a["id"], b["id"])[hit]], axis=1)
+
+
+def _meet(m: int, width: int, least: int, threshold: float):
     """Pairs of one task that share a first sub-key and ``least`` second ones and are alike; large groups are met tile by tile."""
 
     def meet(sent: pd.DataFrame) -> pd.DataFrame:
@@ -263,52 +288,74 @@ def _meet(m: int, width: int, least: int, threshold: float, tile: int = 256):
         size, start = np.diff(edges), edges[:-1]
         found = [np.zeros((0, 2), dtype=np.int64)]
 
-        def keep(left: np.ndarray, right: np.ndarray) -> None:
-            a, b = rows[left], rows[right]
-            hit = _alike(a, b, threshold) & (a["id"] != b["id"])
-            found.append(np.stack([np.minimum(a["id"], b["id"])[hit], np.maximum(a["id"], b["id"])[hit]], axis=1))
-
         for n in np.unique(size[(size > 1) & (size <= 32)]):
             i, j = np.triu_indices(n, 1)
             of_size, step = start[size == n], max(1, 100_000 // len(i))
             for at in range(0, len(of_size), step):
                 left, right = (of_size[at : at + step, None] + i).ravel(), (of_size[at : at + step, None] + j).ravel()
                 hit = (second[left] == second[right]).sum(axis=1) >= least
-                keep(left[hit], right[hit])
+                found.append(_pairs(rows[left[hit]], rows[right[hit]], threshold))
         for at, n in zip(start[size > 32], size[size > 32]):
-            for lo in range(at, at + n, tile):
-                a = second[lo : min(lo + tile, at + n)]
-                for hi in range(lo, at + n, tile):
-                    b = second[hi : min(hi + tile, at + n)]
-                    shared = np.zeros((len(a), len(b)), dtype=np.uint16)
-                    for k in range(a.shape[1]):
-                        shared += a[:, k, None] == b[None, :, k]
-                    left, right = np.nonzero(shared >= least)
-                    once = (left < right) if lo == hi else slice(None)
-                    keep(left[once] + lo, right[once] + hi)
+            own = rows[at : at + n]
+            own = own[np.argsort(own["size"], kind="stable")]
+            found += [_pairs(own[left], own[right], threshold) for left, right in _tiles(own, None, least, threshold)]
         pairs = np.unique(np.concatenate(found), axis=0)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return meet
 
 
-def _expand(m: int, width: int, hot: np.ndarray):
-    """Table rows ``bucket, id`` of the hot sub-keys."""
+#: Documents of a hot sub-key that stand in one block.
+BLOCK = 16_384
+_BLOCKS = T.StructType([T.StructField("x", T.LongType()), T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType()), T.StructField("no", T.IntegerType()), T.StructField("rows", T.BinaryType())])
+
+
+def _send_blocks(m: int, width: int, hot: np.ndarray, of: np.ndarray):
+    """Rows of the hot sub-keys, each in its block (by hash of the id, of ``of`` blocks), once for every pair of blocks it stands in."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = _records(batch, m, width) if batch.num_rows else np.zeros(0, dtype=_record(m, width))
-            key, who = _table_rows(rows[np.isin(rows["x"], hot)])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who)], schema=pa.schema([("bucket", pa.int64()), ("id", pa.int64())]))
+            rows = rows[np.isin(rows["x"], hot)]
+            key = np.searchsorted(hot, rows["x"])
+            no = _mix(rows["id"].view(np.uint64) * _A) % of[key].astype(np.uint64)
+            order = np.lexsort([no, key])
+            rows, key, no = rows[order], key[order], no[order].astype(np.int64)
+            at = _edges(key * (int(of.max()) + 1) + no) if len(rows) else np.zeros(1, dtype=np.int64)
+            out: list[tuple] = []
+            for i, j in zip(at[:-1], at[1:]):
+                x, own, packed = int(rows["x"][i : i + 1].view(np.int64)[0]), int(no[i]), rows[i:j].tobytes()
+                out += [(x, min(own, other), max(own, other), own, packed) for other in range(int(of[key[i]]))]
+            columns = list(zip(*out)) if out else [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=_BLOCKS.names)
 
     return walk
 
 
-def _hot(keys: DataFrame, m: int, width: int, hot: int, share: int = 8, most: int = 500_000) -> np.ndarray:
-    """Sub-keys of the first collection that about ``hot`` documents or more hold, counted over all tasks.
+def _meet_blocks(m: int, width: int, least: int, threshold: float):
+    """Pairs between two blocks of a hot sub-key, or within one, that share ``least`` second sub-keys and are alike."""
+
+    def meet(sent: pd.DataFrame) -> pd.DataFrame:
+        blocks = []
+        for _, part in sent.groupby("no"):
+            rows = np.frombuffer(b"".join(part["rows"]), dtype=_record(m, width))
+            blocks.append(rows[np.argsort(rows["size"], kind="stable")])
+        found = [np.zeros((0, 2), dtype=np.int64)]
+        if len(blocks) == 2 or sent["lo"].iloc[0] == sent["hi"].iloc[0]:
+            a, b = blocks[0], blocks[1] if len(blocks) == 2 else None
+            found += [_pairs(a[left], (a if b is None else b)[right], threshold) for left, right in _tiles(a, b, least, threshold)]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return meet
+
+
+def _hot(keys: DataFrame, m: int, width: int, hot: int, share: int = 8, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sub-keys of the first collection that about ``hot`` documents or more hold, in order, and about how many do, over all tasks.
 
     Counted on every ``share``-th document by hash: this decides only which way a sub-key
-    goes, never a result.  At most the ``most`` most frequent come to the driver (4 MB).
+    goes, never a result.  At most the ``most`` most frequent come to the driver (8 MB).
     """
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +365,9 @@ def _hot(keys: DataFrame, m: int, width: int, hot: int, share: int = 8, most: in
 
     some = keys.where(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).mapInArrow(firsts, "x long, n long")
     found = some.groupBy("x").agg(F.sum("n").alias("n")).where(F.col("n") * share >= hot).orderBy(F.desc("n")).limit(most).collect()
-    return np.sort(np.array([r["x"] for r in found], dtype=np.int64).view(np.uint64))
+    keys_found = np.array([r["x"] for r in found], dtype=np.int64).view(np.uint64)
+    order = np.argsort(keys_found)
+    return keys_found[order], np.array([r["n"] * share for r in found], dtype=np.int64)[order]
 
 
 def blocks_of(rows: DataFrame, bucket: str, member: str, block: int) -> DataFrame:
@@ -336,17 +385,19 @@ def block_pairs(blocks: DataFrame) -> DataFrame:
     return u.where("u != v and (lo != hi or u < v)").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
 
 
-def candidates(keys: DataFrame, m: int, block: int = 256, threshold: float = 0.5, width: int = 2, rows_a_part: int = 131_072, least: int = LEAST_TABLES, hot: int = 4_096) -> DataFrame:
-    """Pairs ``a < b`` of ids that meet in ``least`` tables; ``keys`` has ``id`` and ``keys`` as :func:`sketch_udf` makes them."""
+def candidates(keys: DataFrame, m: int, block: int = BLOCK, threshold: float = 0.5, width: int = 2, rows_a_part: int = 131_072, least: int = LEAST_TABLES, hot: int = 4_096) -> DataFrame:
+    """Pairs ``a < b`` of ids that meet in ``least`` tables and are alike; ``keys`` has ``id`` and ``keys`` as :func:`sketch_udf` makes them.
+
+    Sub-keys that ``hot`` documents or more hold are met in pairs of blocks of about ``block`` documents.
+    """
     keys = keys.select("id", "keys")
     spark = keys.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), keys.count() * m // rows_a_part, 1)
-    hot_keys = _hot(keys, m, width, hot)
+    hot_keys, held = _hot(keys, m, width, hot)
     near = keys.mapInArrow(_send(m, width, parts, hot_keys), _SENT).repartition(parts, "part").groupBy("part").applyInPandas(_meet(m, width, least, threshold), _PAIR)
     if len(hot_keys):
-        large = stage(keys.mapInArrow(_expand(m, width, hot_keys), "bucket long, id long"), "large")
-        pairs = block_pairs(blocks_of(large, "bucket", "id", block)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-        near = near.unionByName(pairs.select("a", "b"))
+        blocks = keys.mapInArrow(_send_blocks(m, width, hot_keys, -(-held // block)), _BLOCKS).repartition(parts, "x", "lo", "hi")
+        near = near.unionByName(blocks.groupBy("x", "lo", "hi").applyInPandas(_meet_blocks(m, width, least, threshold), _PAIR))
     return near.distinct()
 
 
@@ -357,7 +408,7 @@ def sketched(df: DataFrame, key: str, text: str, n: int = 5, m: int = 9, width:
         return stage(made, "sketches")
 
 
-def similar_pairs(sketches: DataFrame, n: int, m: int, threshold: float, block: int = 256) -> DataFrame:
+def similar_pairs(sketches: DataFrame, n: int, m: int, threshold: float, block: int = BLOCK) -> DataFrame:
     """``a, b, similarity`` between different sets, named by their hash; ``sketches`` as :func:`sketched` makes them."""
     spark = sketches.sparkSession
     known = sketches.where("set_hash is not null")

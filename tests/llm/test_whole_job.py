@@ -111,3 +111,15 @@ def test_pairs_at_the_threshold_are_candidates():
         hashes = same.size
         found += (x[0] == x[1]).any() and same.all(axis=1).sum() >= neardup.LEAST_TABLES and same.sum() >= hashes / 2 - 1.5 * hashes**0.5
     assert found >= 0.96 * 400
+
+
+def test_hot_sub_keys_give_the_candidates_of_all_others(spark):
+    rng = random.Random(9)
+    common = [f"c{k}" for k in range(40)]
+    rows = [(i, " ".join([*common, *(f"u{i}_{k}" for k in range(rng.choice((50, 60, 140))))])) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + f" more{i} words{i}") for i in range(0, 120, 3)]
+    sk = neardup.sketched(spark.createDataFrame(rows, "id long, text string").repartition(4), "id", "text", n=3, m=queries.TABLES)
+    plain = {tuple(r) for r in neardup.candidates(sk, queries.TABLES, hot=10**9).collect()}
+    assert plain >= {(i, 200 + i) for i in range(0, 120, 3)} and len(plain) < 2_000
+    for block in (7, 40, 1_000):  # several blocks of a sub-key, a few, one
+        assert {tuple(r) for r in neardup.candidates(sk, queries.TABLES, block=block, hot=8).collect()} == plain
