@@ -5,8 +5,9 @@ the same link), with the value most of them hold, the latest on ties.  Gaps that
 record of the group can fill go through chained equations: starting from the
 overall mean or most frequent value, every incomplete field in turn is modelled on
 all others - numeric fields by a distributed linear regression, categorical fields
-of few values by a multinomial logistic regression, categorical fields of many
-values by predictive matching with a donor of the same context, or of a wider one where
+of few frequent values by a multinomial logistic regression in which all rare values
+are one class, categorical fields of many values - and which of the rare values it is -
+by predictive matching with a donor of the same context, or of a wider one where
 that has none - and its gaps are drawn anew from the model, with residual variation;
 several rounds.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from scholarforge.functions.missing import has_value, plain
 from scholarforge.runtime import stage
 
-#: A category needs this share of the known values to be a level of a model; rarer ones share one indicator.
+#: A category needs this share of the known values to be a level of a model; rarer ones share one indicator and one class.
 LEAST_SHARE = 0.005
 #: Up to so many levels a categorical field is modelled by logistic regression, one indicator a level as a predictor;
 #: a field of more levels is filled from donors and predicts by the mean, at its value, of every numeric field.
@@ -78,14 +79,16 @@ def _year(c: Column) -> Column:
     return F.try_to_number(F.regexp_extract(plain(c), r"(\d{1,9})(?:\.0+)?\b", 1), F.lit("999999999")).cast("double")
 
 
-def _levels(df: DataFrame, columns: list[str]) -> tuple[dict[str, list[str]], dict[str, str]]:
-    """By column, the frequent values, the most frequent first; and the most frequent value, however rare."""
+def _levels(df: DataFrame, columns: list[str]) -> tuple[dict[str, list[str]], dict[str, str], set[str]]:
+    """By column, the frequent values, the most frequent first; and the most frequent value, however rare; the columns that have rare values."""
     cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns])).alias("x")).where("x.v is not null")
     counts = stage(cells.groupBy("x.c", "x.v").count(), "levels")
     total = counts.groupBy("c").agg(F.sum("count").alias("__all"), F.min_by("v", F.struct(-F.col("count"), F.col("v"))).alias("__mode"))
     # at most 1 / LEAST_SHARE rows a column
     frequent = counts.join(F.broadcast(total), "c").where(F.col("count") >= LEAST_SHARE * F.col("__all")).orderBy(F.desc("count"), "v").collect()
-    return {c: [r["v"] for r in frequent if r["c"] == c] for c in columns}, {r["c"]: r["__mode"] for r in total.collect()}
+    totals = total.collect()
+    rare = {r["c"] for r in totals if sum(x["count"] for x in frequent if x["c"] == r["c"]) < r["__all"]}
+    return {c: [r["v"] for r in frequent if r["c"] == c] for c in columns}, {r["c"]: r["__mode"] for r in totals}, rare
 
 
 def _with_means(df: DataFrame, columns: list[str], numeric: list[str], scale: dict, weight: float = 5.0) -> DataFrame:
@@ -123,23 +126,31 @@ def _draw_numeric(df: DataFrame, key: str, f: str, numeric: list[str], levels: d
     return model.transform(data).withColumn(f"__{f}", F.when(F.col(f"__gap_{f}"), bounded).otherwise(F.col(f"__{f}"))).drop("__features", "__p")
 
 
-def _draw_class(df: DataFrame, key: str, f: str, numeric: list[str], levels: dict, scale: dict, salt: str) -> DataFrame:
-    names = levels[f]
+def _draw_class(df: DataFrame, key: str, f: str, numeric: list[str], levels: dict, scale: dict, names: list[str], rare: bool, context: list[str], salt: str) -> DataFrame:
+    """The classes are ``names`` and, if there are ``rare`` values, one of all these; which of them it is, a donor that holds one says."""
     place = F.create_map(*[x for i, v in enumerate(names) for x in (F.lit(v), F.lit(float(i)))])
     data = _design(df, f, numeric, levels, scale)
-    train = data.where(f"not __gap_{f}").withColumn("__label", place[F.col(f"__{f}")]).where("__label is not null").select("__features", "__label")
+    label = F.coalesce(place[F.col(f"__{f}")], F.lit(float(len(names))))
+    train = data.where(f"not __gap_{f}").withColumn("__label", label).select("__features", "__label")
     model = LogisticRegression(featuresCol="__features", labelCol="__label", probabilityCol="__p", family="multinomial", maxIter=8, regParam=1e-3).fit(train)
     out = model.transform(data).withColumn("__p", vector_to_array("__p"))
     # the first class at which the summed probability passes a uniform number
     u = _uniform(key, f"{f}{salt}")
     at = F.aggregate("__p", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, p: F.struct((a["s"] + p).alias("s"), (a["n"] + F.when(a["s"] + p < u, 1).otherwise(0)).alias("n")), lambda a: a["n"])
-    drawn = F.element_at(F.array(*[F.lit(v) for v in names]), F.least(at + 1, F.lit(len(names))))
-    return out.withColumn(f"__{f}", F.when(F.col(f"__gap_{f}"), drawn).otherwise(F.col(f"__{f}"))).drop("__features", "__p", "rawPrediction", "prediction", "__label")
+    classes = [F.lit(v) for v in names] + [F.lit(None).cast("string")] * rare
+    drawn = F.element_at(F.array(*classes), F.least(at + 1, F.lit(len(classes))))
+    out = out.withColumn(f"__{f}", F.when(F.col(f"__gap_{f}"), drawn).otherwise(F.col(f"__{f}"))).drop("__features", "__p", "rawPrediction", "prediction", "__label")
+    if not rare:
+        return out
+    out = stage(out, "classes")
+    return _draw_donor(out, key, f, numeric, context, salt, ~F.col(f"__gap_{f}") & ~F.col(f"__{f}").isin(names), F.col(f"__{f}").isNull())
 
 
-def _draw_donor(df: DataFrame, key: str, f: str, numeric: list[str], context: list[str], salt: str, bucket: int = 16) -> DataFrame:
+def _draw_donor(df: DataFrame, key: str, f: str, numeric: list[str], context: list[str], salt: str, own: Column | None = None, gaps: Column | None = None, bucket: int = 16) -> DataFrame:
     """Predictive matching: one of the donors that are closest in the numeric fields, of those of the same context.
 
+    Donors are the rows ``own`` (all known ones), asked for by the rows ``gaps`` (all unknown ones).
+
     The context is all of ``context`` if it has donors, else the first column of it, else
     all rows.  Distances are taken between the distinct numeric values of gaps and donors
     of a context, so every donor is compared and none pairwise; the donor is drawn from all
@@ -147,7 +158,7 @@ def _draw_donor(df: DataFrame, key: str, f: str, numeric: list[str], context: li
     """
     at = lambda names, level: F.xxhash64(F.lit(level), *[F.coalesce(F.col(f"__{c}"), F.lit("")) for c in names])
     wide = [at(context, 0), at(context[:1], 1), at([], 2)]
-    own, gaps = df.where(f"not __gap_{f}"), df.where(f"__gap_{f}")
+    own, gaps = df.where(f"not __gap_{f}" if own is None else own), df.where(f"__gap_{f}" if gaps is None else gaps)
     donors = own.select(F.explode(F.array(*wide)).alias("__ctx"), *[F.col(f"__{n}").alias(f"__g_{n}") for n in numeric], F.col(f"__{f}").alias("__value"), F.col(key).cast("string").alias("__donor"))
     had = [own.select(w.alias(f"__h{i}")).distinct().withColumn(f"__has{i}", F.lit(True)) for i, w in enumerate(wide[:2])]
     asked = gaps.select(F.col(key).alias("__who"), *[w.alias(f"__w{i}") for i, w in enumerate(wide)], *[F.col(f"__{n}").alias(f"__r_{n}") for n in numeric])
@@ -163,6 +174,7 @@ def _draw_donor(df: DataFrame, key: str, f: str, numeric: list[str], context: li
     drawn = asked.join(nearest, ["__ctx", *wanted]).select("__who", "__ctx", *[F.col(f"__n.{g}").alias(g) for g in given], F.pmod(F.xxhash64(F.col("__who").cast("string"), F.lit(salt)), F.col("__n.__b")).alias("__k"))
     offered = donors.join(kinds, ["__ctx", *given]).withColumn("__k", F.pmod(F.xxhash64("__donor", F.lit(salt)), F.col("__b"))).drop("__b")
     best = drawn.join(offered, ["__ctx", *given, "__k"]).groupBy("__who").agg(F.min_by("__value", F.struct(F.xxhash64("__donor", F.col("__who").cast("string"), F.lit(salt)), F.col("__donor"))).alias("__drawn"))
+    best = stage(best, "drawn")
     out = df.join(best, df[key] == best["__who"], "left")
     return out.withColumn(f"__{f}", F.when(F.col(f"__gap_{f}"), F.coalesce("__drawn", f"__{f}")).otherwise(F.col(f"__{f}"))).drop("__who", "__drawn")
 
@@ -199,11 +211,12 @@ def impute(df: DataFrame, key: str, group: str, numeric: list[str], categorical:
         if m is not None:
             scale[n] = (m, max(s, 1e-9), max(stats[f"{n}_a"], round(m - 5 * s)), min(stats[f"{n}_b"], round(m + 5 * s)))
     numeric_known = [n for n in numeric if n in scale]
-    found, modes = _levels(work, [f"__{c}" for c in [*categorical, *context]])
+    found, modes, has_rare = _levels(work, [f"__{c}" for c in [*categorical, *context]])
     levels = {c.removeprefix("__"): v for c, v in found.items()}
-    modelled = [c for c in categorical if 1 < len(levels[c]) <= MOST_LEVELS]
+    rare = {c: f"__{c}" in has_rare for c in categorical}
+    modelled = [c for c in categorical if levels[c] and 1 < len(levels[c]) + rare[c] and len(levels[c]) <= MOST_LEVELS]
     matched = [c for c in categorical if len(levels[c]) > MOST_LEVELS or not levels[c]]
-    few = {c: v for c, v in levels.items() if 1 < len(v) <= MOST_LEVELS}
+    few = {c: v for c, v in levels.items() if v and 1 < len(v) + (f"__{c}" in has_rare) and len(v) <= MOST_LEVELS}
     start = work
     for n in numeric_known:
         start = start.withColumn(f"__{n}", F.coalesce(f"__{n}", F.lit(round(scale[n][0]) * 1.0)))
@@ -216,7 +229,7 @@ def impute(df: DataFrame, key: str, group: str, numeric: list[str], categorical:
         for n in numeric_known:
             work = _draw_numeric(work, key, n, numeric_known, few, scale, f"{seed}:{r}")
         for c in modelled:
-            work = _draw_class(work, key, c, numeric_known, few, scale, f"{seed}:{r}")
+            work = _draw_class(work, key, c, numeric_known, few, scale, levels[c], rare[c], context, f"{seed}:{r}")
         for c in matched:
             work = _draw_donor(work, key, c, numeric_known, context, f"{seed}:{r}")
         work = stage(work, f"round{r}")

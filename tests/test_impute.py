@@ -84,3 +84,24 @@ def test_measured(spark):
     by = {(r["field"], r["source"]): r for r in rows}
     assert set(by) == {(f, "model") for f in FIELDS} and all(20 < r["cells"] < 150 for r in rows)
     assert by["phd_year", "model"]["mean_abs_error"] < 4 and 0.7 < by["phd_year", "model"]["spread_ratio"] < 1.4 and by["position", "model"]["equal"] > 0.8
+
+
+def test_rare_categories_are_drawn(spark):
+    rows = []
+    for i in range(900):  # every fifth position occurs once, and these are of late years
+        y = 1980 + i % 30
+        position = f"Chair {i}" if y >= 2004 else "Professor" if i % 3 else "Lecturer"
+        rows.append((i, f"l{i}", None, str(y), "S", str(y + 10), None if i % 4 == 0 else position, "Geo", "U", "peer"))
+    got = {r["profile_id"]: r for r in _run(spark.createDataFrame(rows, SCHEMA)).collect()}
+    drawn = [(int(r[3]), got[r[0]]["position_filled"]) for r in rows if r[6] is None]
+    known = {r[6] for r in rows if r[6]}
+    assert {v for _, v in drawn} <= known
+    chairs = [y for y, v in drawn if v.startswith("Chair")]
+    assert 25 <= len(chairs) <= 65 and sum(y >= 1999 for y in chairs) >= 0.7 * len(chairs)
+    assert len({v for _, v in drawn if v.startswith("Chair")}) > 10
+
+
+def test_one_frequent_category_beside_rare_ones(spark):
+    rows = [(i, f"l{i}", None, str(1980 + i % 30), "S", None, None if i % 4 == 0 else f"Chair {i}" if i % 3 == 0 else "Professor", "Geo", "U", "peer") for i in range(800)]
+    got = [r["position_filled"] for r in _run(spark.createDataFrame(rows, SCHEMA)).collect() if r["position"] is None]
+    assert 30 <= sum(v.startswith("Chair") for v in got) <= 110
