@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -54,6 +56,20 @@ _ODD = re.compile(r"[^\w .,;:!?'’‘“”\"()\-–—/\t%°\n]|_")
 SIZES = (35, 3, 4, 5, 4, 5, 6, 6, 4, 4)
 
 
+@lru_cache(maxsize=1 << 16)
+def _of_word(word: str) -> tuple[int, int, int]:
+    """Letters, common words and mixed words in a word that is not of letters only."""
+    w = word.strip(_USUAL)
+    if w and not (w[0].isalnum() and w[-1].isalnum()):
+        w = _EDGE.sub("", w)
+    if w.lower() in _COMMON:
+        return len(w), 1, 0
+    if not w:
+        return 0, 0, 1
+    mixed = not w.isalpha() and not w.isdigit() and not w.replace("-", "").replace("’", "").replace("'", "").isalpha() and not w.replace(".", "").replace(",", "").isdigit()
+    return len(w), 0, int(mixed)
+
+
 def line_features(line: str) -> tuple[tuple[int, ...], int, int, int, int]:
     """Coarse features of a line; its words, letters in words, common words and symbols."""
     words = line.split()
@@ -62,27 +78,20 @@ def line_features(line: str) -> tuple[tuple[int, ...], int, int, int, int]:
     letters = len("".join(plain))
     common = sum(map(_COMMON.__contains__, " ".join(plain).lower().split(" "))) if plain else 0
     mixed = 0
-    for w in words if len(plain) < n else ():
-        if not w.isalpha():
-            w = w.strip(_USUAL)
-            if w and not (w[0].isalnum() and w[-1].isalnum()):
-                w = _EDGE.sub("", w)
-            letters += len(w)
-            if w.lower() in _COMMON:
-                common += 1
-            elif not w:
-                mixed += 1
-            elif not w.isalpha() and not w.isdigit() and not w.replace("-", "").replace("’", "").replace("'", "").isalpha():
-                mixed += not w.replace(".", "").replace(",", "").isdigit()
+    rest = list(filterfalse(str.isalpha, words)) if len(plain) < n else []
+    for w in rest:
+        own, usual, odd = _of_word(w) if len(w) < 40 else _of_word.__wrapped__(w)
+        letters, common, mixed = letters + own, common + usual, mixed + odd
     size = max(1, len(line))
-    digits = sum(map(line.count, "0123456789")) / size
-    symbols = len(_ODD.findall(line))
-    simple = line.count(" ") == n - 1 == len(line) - sum(map(len, words)) and "|" not in line  # every space is a single blank
-    seps = line.count(";") + line.count(",") if simple else len(_SEPARATED.findall(line))
+    blanks = line.count(" ") == n - 1 == len(line) - sum(map(len, words))  # every space is a single blank
+    signs = "".join(rest)  # digits and signs stand in these words only
+    digits = sum(map(signs.count, "0123456789")) / size if signs else 0
+    symbols = len(_ODD.findall(signs if blanks else line)) if signs or not blanks else 0
+    semis = signs.count(";")
+    seps = semis + signs.count(",") if blanks and "|" not in signs else len(_SEPARATED.findall(line))
     end = line[-1:]
     start = 0 if _BULLET.match(line) else 1 if _NUMBERED.match(line) else 2 if _CODED.match(line) else 3 if line[:1].isupper() else 4 if line[:1].islower() else 5
     mean = letters / max(1, n)
-    semis = line.count(";")
     distinct = len(set(words)) / n if n >= 10 else 1.0
     long = 0 if n <= 1 else 1 if n <= 3 else 2 if n <= 6 else 3 if n <= 9 else 4 if n <= 14 else 5 if n <= 25 else 6
     usual = 0 if not common else 1 if common < 0.08 * n else 2 if common < 0.16 * n else 3 if common < 0.28 * n else 4

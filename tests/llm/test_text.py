@@ -169,3 +169,9 @@ def test_quality(spark):
     assert quality.describe(df.limit(0), "text", quality.LineModel()).count() == 0
     assert quality.fit(df.limit(0), "text", "kind").least_prose == 0.5
     assert quality.line_features("Two words.")[1:] == (2, 8, 1, 0)  # words, letters, common words, symbols
+
+
+def test_signs_between_and_inside_words_are_counted():
+    lines = ["plain words only", "a\u2009b c", "a @b, c_d", "a\u3000b #1", "a # b"]
+    assert [quality.line_features(x)[4] for x in lines] == [0, 1, 2, 2, 1]
+    assert quality.line_features("the 12, of Paris; x-y")[1:4] == (5, 15, 2)
