@@ -9,7 +9,7 @@ of few frequent values by a multinomial logistic regression in which all rare va
 are one class, categorical fields of many values - and which of the rare values it is -
 by predictive matching with a donor of the same context, or of a wider one where
 that has none - and its gaps are drawn anew from the model, with residual variation;
-several rounds.
+several rounds.  Donors are searched after the last one, as no round reads what they give.
 
 Every field keeps its mask: ``<field>_filled`` is the completed field and
 ``<field>_from`` says where it comes from: ``own``, ``group`` or ``model``.
@@ -126,8 +126,8 @@ def _draw_numeric(df: DataFrame, key: str, f: str, numeric: list[str], levels: d
     return model.transform(data).withColumn(f"__{f}", F.when(F.col(f"__gap_{f}"), bounded).otherwise(F.col(f"__{f}"))).drop("__features", "__p")
 
 
-def _draw_class(df: DataFrame, key: str, f: str, numeric: list[str], levels: dict, scale: dict, names: list[str], rare: bool, context: list[str], salt: str) -> DataFrame:
-    """The classes are ``names`` and, if there are ``rare`` values, one of all these; which of them it is, a donor that holds one says."""
+def _draw_class(df: DataFrame, key: str, f: str, numeric: list[str], levels: dict, scale: dict, names: list[str], rare: bool, salt: str) -> DataFrame:
+    """The classes are ``names`` and, if there are ``rare`` values, one of all these, drawn as null."""
     place = F.create_map(*[x for i, v in enumerate(names) for x in (F.lit(v), F.lit(float(i)))])
     data = _design(df, f, numeric, levels, scale)
     label = F.coalesce(place[F.col(f"__{f}")], F.lit(float(len(names))))
@@ -139,44 +139,42 @@ def _draw_class(df: DataFrame, key: str, f: str, numeric: list[str], levels: dic
     at = F.aggregate("__p", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, p: F.struct((a["s"] + p).alias("s"), (a["n"] + F.when(a["s"] + p < u, 1).otherwise(0)).alias("n")), lambda a: a["n"])
     classes = [F.lit(v) for v in names] + [F.lit(None).cast("string")] * rare
     drawn = F.element_at(F.array(*classes), F.least(at + 1, F.lit(len(classes))))
-    out = out.withColumn(f"__{f}", F.when(F.col(f"__gap_{f}"), drawn).otherwise(F.col(f"__{f}"))).drop("__features", "__p", "rawPrediction", "prediction", "__label")
-    if not rare:
-        return out
-    out = stage(out, "classes")
-    return _draw_donor(out, key, f, numeric, context, salt, ~F.col(f"__gap_{f}") & ~F.col(f"__{f}").isin(names), F.col(f"__{f}").isNull())
+    return out.withColumn(f"__{f}", F.when(F.col(f"__gap_{f}"), drawn).otherwise(F.col(f"__{f}"))).drop("__features", "__p", "rawPrediction", "prediction", "__label")
 
 
-def _draw_donor(df: DataFrame, key: str, f: str, numeric: list[str], context: list[str], salt: str, own: Column | None = None, gaps: Column | None = None, bucket: int = 16) -> DataFrame:
+def _draw_donors(df: DataFrame, key: str, fields: dict[str, tuple[Column, Column]], numeric: list[str], context: list[str], salt: str, bucket: int = 16) -> DataFrame:
     """Predictive matching: one of the donors that are closest in the numeric fields, of those of the same context.
 
-    Donors are the rows ``own`` (all known ones), asked for by the rows ``gaps`` (all unknown ones).
+    ``fields`` has, by field, which rows are donors and which ask for one; all fields are searched at once.
 
     The context is all of ``context`` if it has donors, else the first column of it, else
     all rows.  Distances are taken between the distinct numeric values of gaps and donors
     of a context, so every donor is compared and none pairwise; the donor is drawn from all
     that are as close, through buckets of about ``bucket`` donors.
     """
-    at = lambda names, level: F.xxhash64(F.lit(level), *[F.coalesce(F.col(f"__{c}"), F.lit("")) for c in names])
+    at = lambda names, level: F.xxhash64(F.col("__c.f"), F.lit(level), *[F.coalesce(F.col(f"__{c}"), F.lit("")) for c in names])
     wide = [at(context, 0), at(context[:1], 1), at([], 2)]
-    own, gaps = df.where(f"not __gap_{f}" if own is None else own), df.where(f"__gap_{f}" if gaps is None else gaps)
-    donors = own.select(F.explode(F.array(*wide)).alias("__ctx"), *[F.col(f"__{n}").alias(f"__g_{n}") for n in numeric], F.col(f"__{f}").alias("__value"), F.col(key).cast("string").alias("__donor"))
+    cells = lambda side: df.withColumn("__c", F.explode(F.array_compact(F.array(*[F.when(rows[side], F.struct(F.lit(f).alias("f"), F.col(f"__{f}").alias("v"))) for f, rows in fields.items()]))))
+    own, gaps = cells(0), cells(1)
+    donors = own.select(F.explode(F.array(*wide)).alias("__ctx"), *[F.col(f"__{n}").alias(f"__g_{n}") for n in numeric], F.col("__c.v").alias("__value"), F.col(key).cast("string").alias("__donor"))
     had = [own.select(w.alias(f"__h{i}")).distinct().withColumn(f"__has{i}", F.lit(True)) for i, w in enumerate(wide[:2])]
-    asked = gaps.select(F.col(key).alias("__who"), *[w.alias(f"__w{i}") for i, w in enumerate(wide)], *[F.col(f"__{n}").alias(f"__r_{n}") for n in numeric])
+    asked = gaps.select(F.col(key).alias("__who"), F.col("__c.f").alias("__f"), *[w.alias(f"__w{i}") for i, w in enumerate(wide)], *[F.col(f"__{n}").alias(f"__r_{n}") for n in numeric])
     for i, h in enumerate(had):
         asked = asked.join(h, F.col(f"__w{i}") == F.col(f"__h{i}"), "left")
-    asked = asked.select("__who", F.when(F.col("__has0"), F.col("__w0")).when(F.col("__has1"), F.col("__w1")).otherwise(F.col("__w2")).alias("__ctx"), *[f"__r_{n}" for n in numeric])
+    asked = asked.select("__who", "__f", F.when(F.col("__has0"), F.col("__w0")).when(F.col("__has1"), F.col("__w1")).otherwise(F.col("__w2")).alias("__ctx"), *[f"__r_{n}" for n in numeric])
     asked = stage(asked, "asked")
     given = [f"__g_{n}" for n in numeric]
     wanted = [f"__r_{n}" for n in numeric]
     kinds = donors.join(asked.select("__ctx").distinct(), "__ctx", "left_semi").groupBy("__ctx", *given).agg(F.ceil(F.count("*") / bucket).alias("__b"))
     away = reduce(lambda a, b: a + b, [F.abs(F.col(g) - F.col(r)) for g, r in zip(given, wanted)], F.lit(0.0))
     nearest = asked.select("__ctx", *wanted).distinct().join(kinds, "__ctx").groupBy("__ctx", *wanted).agg(F.min_by(F.struct("__b", *given), F.struct(away, F.xxhash64(F.lit(salt), *given, *wanted))).alias("__n"))
-    drawn = asked.join(nearest, ["__ctx", *wanted]).select("__who", "__ctx", *[F.col(f"__n.{g}").alias(g) for g in given], F.pmod(F.xxhash64(F.col("__who").cast("string"), F.lit(salt)), F.col("__n.__b")).alias("__k"))
+    drawn = asked.join(nearest, ["__ctx", *wanted]).select("__who", "__f", "__ctx", *[F.col(f"__n.{g}").alias(g) for g in given], F.pmod(F.xxhash64(F.col("__who").cast("string"), F.lit(salt)), F.col("__n.__b")).alias("__k"))
     offered = donors.join(kinds, ["__ctx", *given]).withColumn("__k", F.pmod(F.xxhash64("__donor", F.lit(salt)), F.col("__b"))).drop("__b")
-    best = drawn.join(offered, ["__ctx", *given, "__k"]).groupBy("__who").agg(F.min_by("__value", F.struct(F.xxhash64("__donor", F.col("__who").cast("string"), F.lit(salt)), F.col("__donor"))).alias("__drawn"))
+    rank = F.struct(F.xxhash64("__donor", F.col("__who").cast("string"), F.lit(salt)), F.col("__donor"))
+    best = drawn.join(offered, ["__ctx", *given, "__k"]).groupBy("__who").agg(*[F.min_by("__value", F.when(F.col("__f") == f, rank)).alias(f"__drawn_{f}") for f in fields])
     best = stage(best, "drawn")
     out = df.join(best, df[key] == best["__who"], "left")
-    return out.withColumn(f"__{f}", F.when(F.col(f"__gap_{f}"), F.coalesce("__drawn", f"__{f}")).otherwise(F.col(f"__{f}"))).drop("__who", "__drawn")
+    return out.withColumns({f"__{f}": F.when(F.col(f"__gap_{f}"), F.coalesce(f"__drawn_{f}", f"__{f}")).otherwise(F.col(f"__{f}")) for f in fields}).drop("__who", *[f"__drawn_{f}" for f in fields])
 
 
 def impute(df: DataFrame, key: str, group: str, numeric: list[str], categorical: list[str], context: list[str], order: str | None = None, rounds: int = 3, seed: int = 7) -> DataFrame:
@@ -229,10 +227,14 @@ def impute(df: DataFrame, key: str, group: str, numeric: list[str], categorical:
         for n in numeric_known:
             work = _draw_numeric(work, key, n, numeric_known, few, scale, f"{seed}:{r}")
         for c in modelled:
-            work = _draw_class(work, key, c, numeric_known, few, scale, levels[c], rare[c], context, f"{seed}:{r}")
-        for c in matched:
-            work = _draw_donor(work, key, c, numeric_known, context, f"{seed}:{r}")
+            work = _draw_class(work, key, c, numeric_known, few, scale, levels[c], rare[c], f"{seed}:{r}")
         work = stage(work, f"round{r}")
+    # What donors give is no predictor: rare values share one indicator with missing ones, and fields of many values have
+    # none.  So no round reads it, and a search in each would be overwritten by that of the last.
+    asking = {c: (~F.col(f"__gap_{c}") & ~F.col(f"__{c}").isin(levels[c]), F.col(f"__{c}").isNull()) for c in modelled if rare[c]}
+    asking |= {c: (~F.col(f"__gap_{c}"), F.col(f"__gap_{c}")) for c in matched}
+    if rounds and asking:
+        work = _draw_donors(work, key, asking, numeric_known, context, f"{seed}:{rounds - 1}")
     return _finish(df, first, work, key, numeric, categorical)
 
 

@@ -105,3 +105,18 @@ def test_one_frequent_category_beside_rare_ones(spark):
     rows = [(i, f"l{i}", None, str(1980 + i % 30), "S", None, None if i % 4 == 0 else f"Chair {i}" if i % 3 == 0 else "Professor", "Geo", "U", "peer") for i in range(800)]
     got = [r["position_filled"] for r in _run(spark.createDataFrame(rows, SCHEMA)).collect() if r["position"] is None]
     assert 30 <= sum(v.startswith("Chair") for v in got) <= 110
+
+
+def test_donors_of_all_fields_are_searched_once(spark, monkeypatch):
+    rows = []
+    for i in range(1200):
+        y = 1980 + i % 30
+        position = f"Chair {y} {i}" if y >= 2004 else "Professor" if i % 2 else "Lecturer"
+        rows.append((i, f"l{i}", None, str(y), None if i % 7 == 0 else f"School {y}", str(y + 10), None if i % 11 == 0 else position, "Geo", "U", "peer"))
+    staged, real = [], impute.stage
+    monkeypatch.setattr(impute, "stage", lambda df, label="stage": staged.append(label) or real(df, label))
+    got = {r["profile_id"]: r for r in _run(spark.createDataFrame(rows, SCHEMA), rounds=3).collect()}
+    assert staged.count("asked") == staged.count("drawn") == 1  # a search a field and round: six, whose plans fill the driver's memory
+    assert all(got[r[0]]["phd_school_filled"] == f"School {r[3]}" for r in rows)
+    chairs = [(int(r[3]), got[r[0]]["position_filled"].split()) for r in rows if r[6] is None and got[r[0]]["position_filled"].startswith("Chair")]
+    assert len(chairs) > 5 and all(v[1] == str(max(y, 2004)) for y, v in chairs)
