@@ -167,7 +167,9 @@ def _draw_donors(df: DataFrame, key: str, fields: dict[str, tuple[Column, Column
     wanted = [f"__r_{n}" for n in numeric]
     kinds = donors.join(asked.select("__ctx").distinct(), "__ctx", "left_semi").groupBy("__ctx", *given).agg(F.ceil(F.count("*") / bucket).alias("__b"))
     away = reduce(lambda a, b: a + b, [F.abs(F.col(g) - F.col(r)) for g, r in zip(given, wanted)], F.lit(0.0))
-    nearest = asked.select("__ctx", *wanted).distinct().join(kinds, "__ctx").groupBy("__ctx", *wanted).agg(F.min_by(F.struct("__b", *given), F.struct(away, F.xxhash64(F.lit(salt), *given, *wanted))).alias("__n"))
+    # few bytes become many pairs here, so adaptive execution must not put all contexts into one task
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nearest = asked.select("__ctx", *wanted).distinct().repartition(parts, "__ctx").join(kinds, "__ctx").groupBy("__ctx", *wanted).agg(F.min_by(F.struct("__b", *given), F.struct(away, F.xxhash64(F.lit(salt), *given, *wanted))).alias("__n"))
     drawn = asked.join(nearest, ["__ctx", *wanted]).select("__who", "__f", "__ctx", *[F.col(f"__n.{g}").alias(g) for g in given], F.pmod(F.xxhash64(F.col("__who").cast("string"), F.lit(salt)), F.col("__n.__b")).alias("__k"))
     offered = donors.join(kinds, ["__ctx", *given]).withColumn("__k", F.pmod(F.xxhash64("__donor", F.lit(salt)), F.col("__b"))).drop("__b")
     rank = F.struct(F.xxhash64("__donor", F.col("__who").cast("string"), F.lit(salt)), F.col("__donor"))
