@@ -47,11 +47,12 @@ def _scaled(df: DataFrame, away: dict[str, Column]) -> DataFrame:
     return df.drop(*[f"__{x}_{s}" for x in ("d", "max") for s in away])
 
 
-def school_ranks(profiles: DataFrame, universities: DataFrame, fuzzy: bool, most: int = 5_000) -> DataFrame:
+def school_ranks(profiles: DataFrame, universities: DataFrame, fuzzy: bool, most: int = 5_000, tasks: int | None = None) -> DataFrame:
     """``phd_school, school_rank``: rank of the listed university that a school name means; -1: none.
 
     ``fuzzy`` compares distinct names with the list by weighted ratio, 90 at least;
     else names must be equal but for case. The list is broadcast, ``most`` entries at most.
+    ``tasks`` is the number of tasks that compare, by default that of a shuffle.
     """
     listed = universities.select("university", rank_number(F.col("rank_raw")).alias("school_rank")).where("university is not null")
     names = profiles.select("phd_school").where("phd_school is not null and phd_school != 'Unknown'").distinct()
@@ -61,7 +62,9 @@ def school_ranks(profiles: DataFrame, universities: DataFrame, fuzzy: bool, most
     rows = listed.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} universities")
-    picked = names.withColumn("university", best_of([r["university"] for r in rows], 90)(F.col("phd_school")))
+    # the names are few bytes but much work: they are spread over tasks by number, not by size
+    tasks = tasks or int(profiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    picked = names.repartition(tasks, F.xxhash64("phd_school")).withColumn("university", best_of([r["university"] for r in rows], 90)(F.col("phd_school")))
     return picked.join(F.broadcast(listed), "university", "left").select("phd_school", F.coalesce("school_rank", F.lit(-1)).alias("school_rank"))
 
 
@@ -79,7 +82,7 @@ def scored(profiles: DataFrame, person: Person, metrics: list[str], universities
         away["promotion_year_score"] = F.abs(year(F.col("promotion_year")) - F.lit(person.promotion_year).cast("int"))
     if "PHD UNIVERSITY" in metrics:
         spark = profiles.sparkSession
-        asked = school_ranks(spark.createDataFrame([(person.phd_school,)], "phd_school string"), universities, fuzzy).first() if person.phd_school else None
+        asked = school_ranks(spark.createDataFrame([(person.phd_school,)], "phd_school string"), universities, fuzzy, tasks=1).first() if person.phd_school else None
         if asked is None or asked["school_rank"] < 0:
             df = df.withColumn("phd_school_score", F.lit(None).cast("double"))
         else:

@@ -60,6 +60,45 @@ def test_weighted_ratio():
     assert fuzzy.weighted_ratio("University of Abcde", "Zzz Polytechnic") < 60
 
 
+def _weighted(a, b):
+    """The weighted ratio with every comparison made."""
+    a, b = fuzzy._plain(a), fuzzy._plain(b)
+    if not a or not b:
+        return 0
+    s, t = set(a.split()), set(b.split())
+    join = lambda words: " ".join(sorted(words))
+    both = join(s & t)
+    x, y = f"{both} {join(s - t)}".strip(), f"{both} {join(t - s)}".strip()
+    long = max(len(a), len(b)) / min(len(a), len(b))
+    score = fuzzy._percent if long < 1.5 else fuzzy._partial
+    weight = 1 if long < 1.5 else 0.6 if long > 8 else 0.9
+    tokens = 0.95 * weight * max(score(join(a.split()), join(b.split())), score(both, x), score(both, y), score(x, y))
+    return round(max(fuzzy._percent(a, b), weight * score(a, b), tokens))
+
+
+_NAME = st.lists(st.sampled_from("university of the oska oskar by st uni é".split()), max_size=6).map(" ".join) | st.text("ab cÉ-", max_size=14) | st.text("abcdefghij ", min_size=198, max_size=204)
+
+
+@settings(max_examples=100, deadline=None)
+@given(_NAME, st.lists(_NAME, max_size=5), st.sampled_from([0, 60, 85, 90, 95, 100]))
+def test_closest_is_that_of_all_comparisons(value, choices, least):
+    scores = [_weighted(value, c) for c in choices]
+    assert [fuzzy.weighted_ratio(value, c) for c in choices] == scores
+    want = choices[scores.index(max(scores))] if choices and max(scores) >= least else None
+    assert fuzzy.Closest(choices, least)(value) == want
+
+
+def test_closest_compares_few(monkeypatch):
+    made = []
+    monkeypatch.setattr(fuzzy, "SequenceMatcher", lambda *a: made.append(a) or SequenceMatcher(*a))
+    towns = [f"{a}{b}" for a in ("Osk", "Marn", "Vel", "Quen", "Tharn", "Yarne", "Lumb", "Drunn", "Cor", "Zel") for b in ("reby", "holt", "stad", "dior", "mere", "burg", "haven")]
+    listed = [f"University of {t}" for t in towns] + [f"{t} State University" for t in towns]
+    closest = fuzzy.Closest(listed, 90)
+    assert [closest(n.replace("University", "Univeristy")) for n in listed] == listed
+    assert closest("Nowhere Polytechnic") is None
+    assert len(made) < 10 * len(listed)  # of 140 entries for each name, by up to five comparisons
+
+
 def test_vectors(spark):
     df = spark.createDataFrame([([0.9, 0.5, 0.1],)], "s array<double>")
     low, high, none = df.select(F.round(vectors.lowest_mean(F.col("s"), 2), 6), F.round(vectors.highest_mean(F.col("s"), 2), 6), vectors.mean_known(F.lit(None).cast("double"))).first()

@@ -42,6 +42,13 @@ def test_school_ranks(spark):
     assert fuzzy["University of A"] == 1 and fuzzy["A, University of"] == 1 and fuzzy["B Institut"] == 10 and fuzzy["Zzz"] == -1 and len(fuzzy) == 4
 
 
+def test_school_names_are_spread_over_tasks(spark):
+    unis = spark.createDataFrame([("University of A", "1")], "university string, rank_raw string")
+    rows = spark.range(400).select(F.concat(F.lit("School "), F.col("id").cast("string")).alias("phd_school"))
+    ranks = ranking.school_ranks(rows, unis, True).withColumn("task", F.spark_partition_id())
+    assert ranks.groupBy("task").count().where("count > 50").count() == 4  # few bytes, which adaptive execution would put into one task
+
+
 S = "profile_link string, name string, position string, user_updated int"
 
 
